@@ -1,0 +1 @@
+"""Minimum end-to-end slice."""
