@@ -66,6 +66,11 @@ def settle(df: DataFrame) -> tuple[DataFrame, int]:
     return done, int(seen.get["n"])
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """Store a derived panel once before an operator that scans it several times."""
+    return settle(df)[0]
+
+
 def small_side(df: DataFrame) -> DataFrame:
     """Settle an aggregate and hint a broadcast only when its measured size allows it."""
     done, n = settle(df)

@@ -26,9 +26,10 @@ def market_return(panel: DataFrame, mv: str = "mv", r: str = "r", rf: ColumnOrNa
     return panel.groupBy("date_idx").agg(total.alias(out))
 
 
-def with_excess(panel: DataFrame, rf: ColumnOrName = F.lit(0.0), mv: str = "mv", r: str = "r") -> DataFrame:
+def with_excess(panel: DataFrame, rf: ColumnOrName | None = None, mv: str = "mv",
+                r: str = "r") -> DataFrame:
     """panel + xr (excess return) and xm (excess market return)."""
-    base = panel.withColumn("_rf", as_col(rf))
+    base = panel.withColumn("_rf", F.lit(0.0) if rf is None else as_col(rf))
     market = market_return(base, mv, r, "_rf", out="xm")
     return attach(base, market, ["date_idx"]).withColumn("xr", F.col(r) - F.col("_rf")).drop("_rf")
 

@@ -2,7 +2,7 @@
 
 import importlib
 
-TOPICS = ("panel", "rolling", "xsection")
+TOPICS = ("rolling", "xsection", "evaluate")
 
 
 def load():

@@ -61,22 +61,25 @@ P1 = """with p1_bars as (select user_id as tick, cast(ts as date) as date, arg_m
 
 # --- P2: monthly bars of suppliers, with nation as industry and region as sector ---------------
 
-_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"]
-
-
 def p2_bars(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").select("l_suppkey", *_ORDER)
+    """open and close are the volume-weighted prices of the two halves of the month."""
+    li = table(spark, sf, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    last = F.struct(*_ORDER)
-    return (li.withColumn("price", price)
-            .groupBy(F.col("l_suppkey").alias("tick"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("date"))
-            .agg(F.min_by("price", last).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
-                 F.max_by("price", last).alias("close"), F.count(F.lit(1)).cast("double").alias("volume"),
+    late = F.dayofmonth("l_shipdate") > 15
+    paid = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+
+    def vwap(keep):
+        return F.sum(F.when(keep, paid)) / 100.0 / F.sum(F.when(keep, F.col("l_quantity")))
+
+    whole = vwap(F.lit(True))
+    return (li.groupBy(F.col("l_suppkey").alias("tick"), F.trunc(F.to_date("l_shipdate"), "month").alias("date"))
+            .agg(F.coalesce(vwap(~late), whole).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
+                 F.coalesce(vwap(late), whole).alias("close"), F.count(F.lit(1)).cast("double").alias("volume"),
                  cents("l_extendedprice").alias("amount")))
 
 
 def p2_days(spark: SparkSession, sf: str) -> DataFrame:
-    return calendar(table(spark, sf, "lineitem").select(F.to_date(F.date_trunc("month", "l_shipdate")).alias("date")))
+    return calendar(table(spark, sf, "lineitem").select(F.trunc(F.to_date("l_shipdate"), "month").alias("date")))
 
 
 def p2(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,10 +99,14 @@ def p2g(spark: SparkSession, sf: str) -> DataFrame:
     return p2(spark, sf).join(p2_groups(spark, sf), "tick", "left")
 
 
-_ORDER_SQL = "(" + ", ".join(_ORDER) + ")"
+def _vwap(keep: str) -> str:
+    return (f"sum(case when {keep} then cast(round(l_extendedprice * 100) as bigint) end) / 100.0::double "
+            f"/ sum(case when {keep} then l_quantity end)")
+
+
 P2 = f"""with p2_bars as (select l_suppkey as tick, cast(date_trunc('month', l_shipdate) as date) as date,
-  arg_min(l_extendedprice / l_quantity, {_ORDER_SQL}) as open, max(l_extendedprice / l_quantity) as high,
-  min(l_extendedprice / l_quantity) as low, arg_max(l_extendedprice / l_quantity, {_ORDER_SQL}) as close,
+  coalesce({_vwap("day(l_shipdate) <= 15")}, {_vwap("true")}) as open, max(l_extendedprice / l_quantity) as high,
+  min(l_extendedprice / l_quantity) as low, coalesce({_vwap("day(l_shipdate) > 15")}, {_vwap("true")}) as close,
   count(*)::double as volume, sum(cast(round(l_extendedprice * 100) as bigint)) / 100.0::double as amount
   from lineitem group by 1, 2),""" + _grid_sql("p2").replace("\np2 as (", "\np2_base as (") + """,
 p2 as (select *, sum(amount) over (partition by tick order by date_idx rows between 11 preceding and current row) as mv

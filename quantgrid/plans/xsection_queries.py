@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quantgrid.core import stage
 from quantgrid.factors.style import market_return
 from quantgrid.operators import xsection as X
-from quantgrid.operators.rolling import rolling_retprod
 from quantgrid.plans.fixtures import P1, P2, p1, p2, p2g
 from quantgrid.plans.registry import query, show, sql_cols
 
@@ -32,7 +32,7 @@ def clip_sql(x: str, lo: str, hi: str) -> str:
 query("winsor_quantile", f"""{P1}, q as (select date_idx, quantile_cont(close, 0.05) as lo,
   quantile_cont(close, 0.95::double) as hi from p1 group by 1)
 select date_idx, tick, {sql_cols(w=clip_sql("close", "lo", "hi"))} from p1 join q using (date_idx)""")(
-    lambda s, d: show(X.winsor(p1(s, d), ["close"], "quantile", p=0.05), KEYS, w="close"))
+    lambda s, d: show(X.winsor(stage(p1(s, d)), ["close"], "quantile", p=0.05), KEYS, w="close"))
 
 query("winsor_sigma", f"""{P1}, q as (select date_idx, avg(close) - 1.5 * stddev_pop(close) as lo,
   avg(close) + 1.5 * stddev_pop(close) as hi from p1 group by 1)
@@ -49,7 +49,7 @@ def mad_sql(x: str, n: float = 3) -> str:
 
 query("winsor_mad", f"""{P1}, {MAD.format(x="amount", t="p1")}
 select date_idx, tick, {sql_cols(w=mad_sql("amount"))} from p1 join mm using (date_idx)""")(
-    lambda s, d: show(X.winsor(p1(s, d), ["amount"], "mad", n=3), KEYS, w="amount"))
+    lambda s, d: show(X.winsor(stage(p1(s, d)), ["amount"], "mad", n=3), KEYS, w="amount"))
 
 TAILS = """q as (select date_idx, quantile_cont(close, 0.1::double) as lo, quantile_cont(close, 0.9::double) as hi
   from p1 group by 1)"""
@@ -57,17 +57,17 @@ query("winsor_tail_mean", f"""{P1}, {TAILS}, t as (select p1.date_idx, avg(case
   avg(case when close > hi then close end) as hm from p1 join q using (date_idx) group by 1)
 select date_idx, tick, {sql_cols(w="case when close < lo then lm when close > hi then hm else close end")}
 from p1 join q using (date_idx) join t using (date_idx)""")(
-    lambda s, d: show(X.winsor_tail_mean(p1(s, d), ["close"], 0.1), KEYS, w="close"))
+    lambda s, d: show(X.winsor_tail_mean(stage(p1(s, d)), ["close"], 0.1), KEYS, w="close"))
 
 query("winsor_shrink", f"""{P1}, {TAILS} select date_idx, tick, {sql_cols(
     w="case when close < lo then lo - (lo - close) * 0.5 when close > hi then hi + (close - hi) * 0.5 else close end")}
 from p1 join q using (date_idx)""")(
-    lambda s, d: show(X.winsor_shrink(p1(s, d), ["close"], 0.1), KEYS, w="close"))
+    lambda s, d: show(X.winsor_shrink(stage(p1(s, d)), ["close"], 0.1), KEYS, w="close"))
 
 query("robust_scale", f"""{P1}, q as (select date_idx, median(close) as m,
   quantile_cont(close, 0.75) - quantile_cont(close, 0.25) as iqr from p1 group by 1)
 select date_idx, tick, {sql_cols(z="(close - m) / case when iqr = 0 then 1 else iqr end")} from p1 join q using (date_idx)""")(
-    lambda s, d: show(X.robust_scale(p1(s, d), ["close"]), KEYS, z="close"))
+    lambda s, d: show(X.robust_scale(stage(p1(s, d)), ["close"]), KEYS, z="close"))
 
 
 def rank_sql(x: str, by: str = "date_idx") -> str:
@@ -79,7 +79,7 @@ def rank_sql(x: str, by: str = "date_idx") -> str:
 
 query("cs_rank", f"""{P1}, k as (select *, {rank_sql("volume")} as rk, count(volume) {D} as n from p1)
 select date_idx, tick, {sql_cols(scaled="(rk - 1) / case when n > 1 then n - 1 else 1 end", raw="rk - 1")} from k""")(
-    lambda s, d: show(X.cs_rank(p1(s, d), "volume", out="scaled").transform(
+    lambda s, d: show(X.cs_rank(stage(p1(s, d)), "volume", out="scaled").transform(
         lambda x: X.cs_rank(x, "volume", out="raw", normalize=False)), KEYS, scaled="scaled", raw="raw"))
 
 
@@ -103,7 +103,7 @@ YEO = f"""{P1}, x as (select date_idx, ln(close) as x from p1 where close > 0),
 
 
 def _log_close(s, d):
-    return p1(s, d).withColumn("x", F.when(F.col("close") > 0, F.ln("close")))
+    return stage(p1(s, d)).withColumn("x", F.when(F.col("close") > 0, F.ln("close")))
 
 
 query("yeo_johnson_lambda", f"{YEO} select date_idx, {sql_cols(lam='lam')} from l2")(
@@ -120,7 +120,7 @@ m as (select *, (avg(x) {DI} * avg(z) {DI} - avg(x * z) {DI}) / (avg(z) {DI} * a
   avg(x) {DI} as mx, avg(z) {DI} as ms from k),
 e as (select *, x - slope * z - (mx - slope * ms) as res from m)
 select date_idx, tick, {sql_cols(4, n=f"(res - avg(res) {DI}) / (stddev_pop(res) {DI} + 1e-6)")} from e""")(
-    lambda s, d: show(X.neutralise(p2g(s, d).withColumn("x", F.col("amount") / 1000), ["x"]), KEYS, 4, n="x"))
+    lambda s, d: show(X.neutralise(stage(p2g(s, d)).withColumn("x", F.col("amount") / 1000), ["x"]), KEYS, 4, n="x"))
 
 query("neutralise_event", f"""{P2}, b as (select *, ln(mv) as s from p2g),
 m as (select *, avg(close) {DI} as mx, avg(s) {DI} as ms, var_pop(s) {DI} as vs from b),
@@ -130,7 +130,7 @@ select date_idx, tick, {sql_cols(4, n="close - mx - case when vs > 1e-12 then co
 
 query("fill_industry_median", f"""{P2}, m as (select date_idx, industry, median(close) as med from p2g group by 1, 2)
 select date_idx, tick, {sql_cols(c="coalesce(close, med)")} from p2g left join m using (date_idx, industry)""")(
-    lambda s, d: show(X.fill_industry_median(p2g(s, d), ["close"]), KEYS, c="close"))
+    lambda s, d: show(X.fill_industry_median(stage(p2g(s, d)), ["close"]), KEYS, c="close"))
 
 
 def _clean_sql(x: str, n: int, source: str, neutral: bool) -> str:
@@ -150,12 +150,12 @@ z{n} as (select date_idx, tick, case when stddev_samp(r) {D} is null or stddev_s
 
 query("clean_feature", f"""{P2}, {_clean_sql("close", 1, "p2g", True)}, {_clean_sql("volume", 2, "p2g", True)}
 select date_idx, tick, {sql_cols(close_clean="z1.z", volume_clean="z2.z")} from z1 join z2 using (date_idx, tick)""")(
-    lambda s, d: show(X.clean_feature(p2g(s, d).withColumn("logmv", F.ln("mv")), ["close", "volume"]), KEYS,
+    lambda s, d: show(X.clean_feature(stage(p2g(s, d)).withColumn("logmv", F.ln("mv")), ["close", "volume"]), KEYS,
                       close_clean="close", volume_clean="volume"))
 
 query("clean_feature_plain", f"""{P2}, {_clean_sql("close", 1, "p2g", False)}
 select date_idx, tick, {sql_cols(close_clean="z")} from z1""")(
-    lambda s, d: show(X.clean_feature(p2g(s, d), ["close"], neutral=False), KEYS, close_clean="close"))
+    lambda s, d: show(X.clean_feature(stage(p2g(s, d)), ["close"], neutral=False), KEYS, close_clean="close"))
 
 query("cs_orthogonalise", f"""{P1}, z as (select *, (close - avg(close) {D}) / nullif(stddev_pop(close) {D}, 0) as z from p1),
 c as (select *, z * z * z as z3 from z),
@@ -179,15 +179,15 @@ query("market_return", f"{P2} select date_idx, {sql_cols(rm='sum(mv * r) / sum(m
 
 
 def _industry_all(s, d):
-    df = p2g(s, d)
+    df = stage(p2g(s, d))
     for how in ("median", "mean", "std", "sum", "rank"):
         df = X.industry_agg(df, "close", how, "i_" + how)
-    return show(df, KEYS, 4, **{"i_" + h: "i_" + h for h in ("median", "mean", "std", "sum", "rank")})
+    return show(df, KEYS, 6, **{"i_" + h: "i_" + h for h in ("median", "mean", "std", "sum", "rank")})
 
 
 query("industry_agg", f"""{P2}, k as (select *, {rank_sql("close", "date_idx, industry")} as rk, count(*) {DI} as k,
   median(close) {DI} as med from p2g)
-select date_idx, tick, {sql_cols(4, i_median="med", i_mean=f"avg(close) {DI}", i_std=f"stddev_samp(close) {DI}",
+select date_idx, tick, {sql_cols(6, i_median="med", i_mean=f"avg(close) {DI}", i_std=f"stddev_samp(close) {DI}",
                                  i_sum=f"coalesce(sum(close) {DI}, 0)", i_rank="(k + 1 - rk) / k")} from k""")(_industry_all)
 
 
@@ -207,6 +207,6 @@ select date_idx, tick, {sql_cols(
 from k left join q using (date_idx)""")
 def label_family(s, d):
     from quantgrid.factors.labels import gross_return, label_family as op
-    df = op(p2g(s, d), "r", [1, 3], p=0.1, kinds=("raw", "z", "rank", "shrink"))
+    df = op(stage(p2g(s, d)), "r", [1, 3], p=0.1, kinds=("raw", "z", "rank", "shrink"))
     df = df.withColumn("gross", gross_return("close", 3))
     return show(df, KEYS, y1="y1", y3="y3", y3_z="y3_z", y3_rank="y3_rank", y3_shrink="y3_shrink", gross="gross")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantgrid.core import MAX_DATES, attach, tick_window
+from quantgrid.core import MAX_DATES, attach, stage, tick_window
 
 
 def calendar(df: DataFrame, date: str = "date") -> DataFrame:
@@ -54,7 +54,7 @@ def densify(facts: DataFrame, fields: Sequence[str], ticks: DataFrame | None = N
     ``days`` (from :func:`calendar`) replaces the facts' own dates; facts off the
     calendar or off the ticks drop out.
     """
-    days = calendar(facts) if days is None else days
+    days = stage(calendar(facts) if days is None else days)
     dates = days.select(F.posexplode("days").alias("date_idx", "date"))
     on_axis = facts.select("tick", "date", *fields).join(F.broadcast(dates), "date")
     if ticks is not None:

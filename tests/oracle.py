@@ -22,7 +22,7 @@ def session(cores: int = 8):
              .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
              .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
              .config("spark.ui.showConsoleProgress", "false").getOrCreate())
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     return spark
 
 
@@ -92,7 +92,7 @@ def main():
                 rows = qs[n](spark, sf_dir).count()
                 err = None if rows else "no rows at all"
         except Exception as ex:  # report every failing query, not only the first
-            err, rows = f"{type(ex).__name__}: {str(ex)[:1200]}", -1
+            err, rows = f"{type(ex).__name__}: {str(ex)[:500]}", -1
         mark = "ok  " if err is None else "FAIL"
         print(f"{mark} {n} rows={rows} {time.time() - t:.1f}s {'' if n in sql else '(rows only)'}{err or ''}", flush=True)
         if err:
