@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quantgrid.core import ColumnOrName, as_col, attach
 from quantgrid.functions.scalar import log_positive
 from quantgrid.operators import rolling as R
+from quantgrid.operators.pit import asof_last
 from quantgrid.operators.xsection import cs_orthogonalise, cs_zscore, winsor
 
 TRADING_DAYS = 242  # fixed value: trading rows per year
@@ -17,6 +18,13 @@ def risk_free_daily(annual: ColumnOrName) -> Column:
     return F.pow(1 + as_col(annual), F.lit(1.0 / TRADING_DAYS)) - 1
 
 
+def align_rate(axis: DataFrame, rates: DataFrame, annual: str, out: str = "rf") -> DataFrame:
+    """Daily risk-free rate on every trading date, carried forward over gaps of the rate's own calendar."""
+    grid = axis.select("date", "date_idx").withColumn("tick", F.lit(0))
+    daily = rates.select("date", risk_free_daily(annual).alias(out), F.lit(0).alias("tick"))
+    return asof_last(grid, daily, [out]).drop("tick")
+
+
 def market_return(panel: DataFrame, mv: str = "mv", r: str = "r", rf: ColumnOrName | None = None,
                   out: str = "market") -> DataFrame:
     """date_idx + cap-weighted return; the weights also count names without a return."""

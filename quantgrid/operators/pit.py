@@ -1,9 +1,111 @@
-"""Point-in-time."""
+"""Point-in-time joins: nothing on a date may use what was published after it."""
+
 from __future__ import annotations
+
 from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantgrid.core import small_side, stage, tick_window
+from quantgrid.functions.scalar import zero_fill
+from quantgrid.sources.axis import day_map
+
+
+def dedupe_keep(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: str = "last") -> DataFrame:
+    """One row per key under an explicit order.
+
+    The rank filter is pushed below the exchange as a per-task group limit, so a
+    key with very many copies never travels whole.
+    """
+    sort = [F.col(o).desc() if keep == "last" else F.col(o).asc() for o in order]
+    w = Window.partitionBy(*keys).orderBy(*sort)
+    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+
+
+def report_dedupe(reports: DataFrame, tick: str = "tick", publish: str = "date", report: str = "report_date",
+                  order: Sequence[str] = ()) -> DataFrame:
+    """Last report of each (tick, publish date), then the first publication of each (tick, report date)."""
+    last = dedupe_keep(reports, [tick, publish], [report, *order], "last")
+    return dedupe_keep(last, [tick, report], [publish, *order], "first")
+
+
+def asof_forward_calendar(df: DataFrame, days: DataFrame, date: str = "date") -> DataFrame:
+    """df + (date_idx, trade_date): first trading date on or after ``date``; later dates drop out."""
+    days = stage(days)
+    lookup = small_side(day_map(days, "next").withColumnRenamed("day", date))
+    first = F.get(days.scalar(), F.lit(0))
+    early = F.col(date) < first
+    j = df.join(lookup, date, "left")
+    return (j.withColumn("trade_date", F.coalesce("trade_date", F.when(early, first)))
+             .withColumn("date_idx", F.coalesce("date_idx", F.when(early, 0)))
+             .where(F.col("trade_date").isNotNull()))
+
+
+def asof_last(grid: DataFrame, events: DataFrame, cols: Sequence[str], date: str = "date",
+              tick: str = "tick", together: bool = False) -> DataFrame:
+    """grid + the latest values of ``cols`` at or before each row's date.
+
+    One union and one window over tick instead of a range join.  Columns fill
+    separately, or as one record when ``together`` (then a NULL field stays NULL).
+    """
+    keep = [c for c in grid.columns if c not in (tick, date)]
+    left = grid.select(tick, date, F.struct(*keep).alias("_g"), F.lit(1).alias("_kind"))
+    right = events.select(tick, date, *cols, F.lit(0).alias("_kind"))
+    both = left.unionByName(right, allowMissingColumns=True)
+    w = Window.partitionBy(tick).orderBy(date, "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    if together:
+        rec = F.last(F.when(F.col("_kind") == 0, F.struct(*cols)), ignorenulls=True).over(w)
+        filled = both.withColumn("_r", rec).where(F.col("_kind") == 1)
+        return filled.select(tick, date, "_g.*", *[F.col("_r")[c].alias(c) for c in cols])
+    filled = both.select(tick, date, "_g", "_kind", *[F.last(c, ignorenulls=True).over(w).alias(c) for c in cols])
+    return filled.where(F.col("_kind") == 1).select(tick, date, "_g.*", *cols)
+
+
+def asof_backward_valid(grid: DataFrame, history: DataFrame, code: str = "code") -> DataFrame:
+    """grid + the class whose latest start is at or before the date, NULL once that class has ended.
+
+    ``history`` is (tick, code, start_date, end_date); an expired latest class is
+    not replaced by an older one.
+    """
+    starts = history.select("tick", F.col("start_date").alias("date"), code, F.col("end_date").alias("_end"))
+    j = asof_last(grid, starts, [code, "_end"], together=True)
+    alive = F.col("_end").isNull() | (F.col("date") < F.col("_end"))
+    return j.withColumn(code, F.when(alive, F.col(code))).drop("_end")
+
+
+def pit_ffill_align(grid: DataFrame, reports: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Sparse reports on the trading grid, each column carried forward on its own from its publish date."""
+    return asof_last(grid, reports, cols)
+
+
+def index_membership_asof(weights: DataFrame, days: DataFrame) -> DataFrame:
+    """(index, date, tick, weight): constituents of the latest snapshot at or before each date.
+
+    A name missing from the newest snapshot is out.  Which snapshot serves which
+    date is settled on (index, date), then constituents come by equi join.
+    """
+    days = stage(days)
+    snaps = weights.groupBy("index").agg(F.sort_array(F.collect_set("date")).alias("_s"))
+    spans = F.transform("_s", lambda d, i: F.struct(d.alias("snap"), F.get("_s", i + 1).alias("until")))
+    serve = (snaps.select("index", F.explode(spans).alias("_t"), days.scalar().alias("_d"))
+             .select("index", "_t.snap", F.explode(F.filter("_d", lambda d: (d >= F.col("_t.snap")) & (
+                 F.col("_t.until").isNull() | (d < F.col("_t.until"))))).alias("date")))
+    right = small_side(serve)
+    return (weights.withColumnRenamed("date", "snap").join(right, ["index", "snap"])
+            .select("index", "date", "tick", "weight"))
+
+
+def yoy(reports: DataFrame, diff: Sequence[str], ratio: Sequence[str], report: str = "report_date",
+        by: Sequence[str] = ("tick",)) -> DataFrame:
+    """``<col>_yoy`` against the same tick's report one year earlier (ratio: a zero base gives NULL)."""
+    cols = [*diff, *ratio]
+    prior = reports.select(*by, F.col(report).alias("_lyr"), *[F.col(c).alias(f"_{c}") for c in cols])
+    j = reports.withColumn("_lyr", F.add_months(report, -12)).join(prior, [*by, "_lyr"], "left")
+    new = {f"{c}_yoy": F.col(c) - F.col(f"_{c}") for c in diff}
+    new |= {f"{c}_yoy": F.try_divide(F.col(c), F.col(f"_{c}")) - 1 for c in ratio}
+    return j.withColumns(new).drop("_lyr", *[f"_{c}" for c in cols])
+
 
 def qoq(reports: DataFrame, diff: Sequence[str], ratio: Sequence[str], order: str = "report_date",
         by: Sequence[str] = ("tick",)) -> DataFrame:
@@ -12,3 +114,88 @@ def qoq(reports: DataFrame, diff: Sequence[str], ratio: Sequence[str], order: st
     new = {f"{c}_qoq": F.col(c) - F.lag(c).over(w) for c in diff}
     new |= {f"{c}_qoq": F.try_divide(F.col(c), F.lag(c).over(w)) - 1 for c in ratio}
     return reports.withColumns(new)
+
+
+def consensus_window_join(forecasts: DataFrame, reports: DataFrame, made: str = "made_date",
+                          report: str = "report_date") -> DataFrame:
+    """Forecasts of a report made strictly between the tick's previous publish date and its own.
+
+    A tick's first report has no previous date and takes no forecast.
+    """
+    w = Window.partitionBy("tick").orderBy("date", report)
+    spans = reports.select("tick", report, F.col("date").alias("publish_date"), F.lag("date").over(w).alias("_prev"))
+    j = forecasts.join(spans, ["tick", report])
+    return j.where((F.col(made) > F.col("_prev")) & (F.col(made) < F.col("publish_date"))).drop("_prev")
+
+
+def latest_per_author(forecasts: DataFrame, keys: Sequence[str] = ("tick", "report_date", "author"),
+                      order: Sequence[str] = ("made_date",)) -> DataFrame:
+    """Newest forecast of each author."""
+    return dedupe_keep(forecasts, keys, order, "last")
+
+
+def consensus_median(forecasts: DataFrame, cols: Sequence[str],
+                     keys: Sequence[str] = ("tick", "report_date")) -> DataFrame:
+    """Exact median of each forecast per report.
+
+    Here a group is the authors of one report, one row each, so Spark's median
+    applies directly.
+    """
+    return forecasts.groupBy(*keys).agg(*[F.median(c).alias(c) for c in cols])
+
+
+def merge_actual_forecast(events: DataFrame, other: DataFrame, cols: Sequence[str],
+                          keys: Sequence[str] = ("tick", "report_date")) -> DataFrame:
+    return events.join(other.select(*keys, *cols), list(keys), "left")
+
+
+def pit_last_k(grid: DataFrame, events: DataFrame, features: Sequence[str], k: int = 8,
+               include_today: bool = True, last_idx: int | None = None, order: str = "event_id") -> DataFrame:
+    """grid + the last k events effective by each row, oldest first and right-aligned.
+
+    Event i of a tick is among the last k exactly from its own effective row until
+    event i+k takes effect, so it is laid onto those rows and nothing else.  Work
+    and memory per (tick, row) stay at k events; at most k events per tick and
+    effective date enter (older ones of that date can never be seen).
+
+    Adds ``events`` (k structs, zero padded), ``event_mask`` and ``event_age`` (-1 pad).
+    """
+    same_day = Window.partitionBy("tick", "effective_idx").orderBy(F.desc(order))
+    ev = events.select("tick", "effective_idx", order, *[zero_fill(f).alias(f) for f in features])
+    ev = ev.withColumn("_rn", F.row_number().over(same_day)).where(F.col("_rn") <= k).drop("_rn")
+    end_of_axis = (grid.agg(F.max("date_idx")).scalar() if last_idx is None else F.lit(last_idx))
+    w = Window.partitionBy("tick").orderBy("effective_idx", order)
+    ends = F.lead("effective_idx", k).over(w)
+    if include_today:
+        start, end = F.col("effective_idx"), F.coalesce(ends - 1, end_of_axis)
+    else:
+        start, end = F.col("effective_idx") + 1, F.coalesce(ends, end_of_axis)
+    spans = ev.withColumns({"_s": start, "_e": end}).where(F.col("_s") <= F.col("_e"))
+    laid = spans.select("tick", F.explode(F.sequence("_s", "_e")).alias("date_idx"), "effective_idx", order, *features)
+    lists = laid.groupBy("tick", "date_idx").agg(F.sort_array(F.collect_list(
+        F.struct("effective_idx", order, F.struct(*features).alias("x")))).alias("_l"))
+    empty = F.struct(*[F.lit(0.0).alias(f) for f in features])
+    n = F.coalesce(F.size("_l"), F.lit(0))
+    pad = F.lit(k) - n
+    got = F.coalesce(F.transform("_l", lambda e: e["x"]), F.array().cast(lists.select(
+        F.transform("_l", lambda e: e["x"]).alias("x")).schema["x"].dataType))
+    age = F.coalesce(F.transform("_l", lambda e: F.col("date_idx") - e["effective_idx"]),
+                     F.array().cast("array<int>"))
+    j = grid.join(lists, ["tick", "date_idx"], "left")
+    return j.withColumns({
+        "events": F.concat(F.array_repeat(empty, pad), got),
+        "event_mask": F.concat(F.array_repeat(F.lit(0.0), pad), F.array_repeat(F.lit(1.0), n)),
+        "event_age": F.concat(F.array_repeat(F.lit(-1), pad), age),
+    }).drop("_l")
+
+
+def panel_gather(rows: DataFrame, panel: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Look up panel values at each row's (date_idx, tick)."""
+    return rows.join(panel.select("date_idx", "tick", *cols), ["date_idx", "tick"], "left")
+
+
+def double_ffill(panel: DataFrame, cols: Sequence[str], close: str = "close") -> DataFrame:
+    """Carry forward, blank where untraded, carry forward again."""
+    w = tick_window(None, 0)
+    once = panel.withColumns({c: F.when(F.col(close).isNotNull(), F.last(c, ignorenulls=True).over(w)) for c in cols})
+    return once.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})

@@ -2,7 +2,7 @@
 
 import importlib
 
-TOPICS = ("rolling", "xsection", "evaluate")
+TOPICS = ("rolling", "xsection", "evaluate", "pit")
 
 
 def load():

@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def cents(x: str):
     """Exact sum of a money column: integer cents, so the order of addition cannot matter."""
-    return F.sum(F.round(F.col(x) * 100).cast("bigint")) / 100.0
+    return F.sum(F.floor(F.col(x) * 100 + 0.5)) / 100.0
 
 
 # --- P1: daily bars of users ------------------------------------------------------------------
@@ -56,7 +56,7 @@ def _grid_sql(n: str) -> str:
 
 P1 = """with p1_bars as (select user_id as tick, cast(ts as date) as date, arg_min(value, event_id) as open,
   max(value) as high, min(value) as low, arg_max(value, event_id) as close, count(*)::double as volume,
-  sum(cast(round(value * 100) as bigint)) / 100.0::double as amount from events group by 1, 2),""" + _grid_sql("p1")
+  sum(cast(floor(value * 100 + 0.5) as bigint)) / 100.0::double as amount from events group by 1, 2),""" + _grid_sql("p1")
 
 
 # --- P2: monthly bars of suppliers, with nation as industry and region as sector ---------------
@@ -66,7 +66,7 @@ def p2_bars(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
     price = F.col("l_extendedprice") / F.col("l_quantity")
     late = F.dayofmonth("l_shipdate") > 15
-    paid = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    paid = F.floor(F.col("l_extendedprice") * 100 + 0.5)
 
     def vwap(keep):
         return F.sum(F.when(keep, paid)) / 100.0 / F.sum(F.when(keep, F.col("l_quantity")))
@@ -100,14 +100,14 @@ def p2g(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _vwap(keep: str) -> str:
-    return (f"sum(case when {keep} then cast(round(l_extendedprice * 100) as bigint) end) / 100.0::double "
+    return (f"sum(case when {keep} then cast(floor(l_extendedprice * 100 + 0.5) as bigint) end) / 100.0::double "
             f"/ sum(case when {keep} then l_quantity end)")
 
 
 P2 = f"""with p2_bars as (select l_suppkey as tick, cast(date_trunc('month', l_shipdate) as date) as date,
   coalesce({_vwap("day(l_shipdate) <= 15")}, {_vwap("true")}) as open, max(l_extendedprice / l_quantity) as high,
   min(l_extendedprice / l_quantity) as low, coalesce({_vwap("day(l_shipdate) > 15")}, {_vwap("true")}) as close,
-  count(*)::double as volume, sum(cast(round(l_extendedprice * 100) as bigint)) / 100.0::double as amount
+  count(*)::double as volume, sum(cast(floor(l_extendedprice * 100 + 0.5) as bigint)) / 100.0::double as amount
   from lineitem group by 1, 2),""" + _grid_sql("p2").replace("\np2 as (", "\np2_base as (") + """,
 p2 as (select *, sum(amount) over (partition by tick order by date_idx rows between 11 preceding and current row) as mv
   from p2_base),
@@ -128,7 +128,7 @@ def p3_bars(spark: SparkSession, sf: str) -> DataFrame:
 
 P3_BARS = """p3_bars as (select user_id as tick, cast(ts as date) as date, hour(ts) as minute_idx,
   arg_min(value, event_id) as open, max(value) as high, min(value) as low, arg_max(value, event_id) as close,
-  count(*)::double as volume, sum(cast(round(value * 100) as bigint)) / 100.0::double as amount
+  count(*)::double as volume, sum(cast(floor(value * 100 + 0.5) as bigint)) / 100.0::double as amount
   from events group by 1, 2, 3)"""
 P3 = "with " + P3_BARS
 
