@@ -2,7 +2,7 @@
 
 import importlib
 
-TOPICS = ("rolling", "xsection", "evaluate", "pit")
+TOPICS = ("rolling", "xsection", "evaluate", "pit", "factor")
 
 
 def load():
