@@ -2,7 +2,7 @@
 
 import importlib
 
-TOPICS = ("rolling", "xsection", "evaluate", "pit", "factor")
+TOPICS = ("rolling", "xsection", "evaluate", "pit", "factor", "sample", "source")
 
 
 def load():

@@ -28,15 +28,15 @@ def on_p2(name: str, sql_values: dict, dp: int = 6, **values):
 # --- style factors ----------------------------------------------------------------------------
 
 RATES = """rates as (select cast(o_orderdate as date) as date, (avg(o_totalprice - floor(o_totalprice)))::double as y from orders
-  where isodow(o_orderdate) < 6 and o_orderkey % 2 = 0 group by 1),
+  where isodow(o_orderdate) < 6 and o_orderstatus = 'F' group by 1),
 ax as (select distinct cast(o_orderdate as date) as date from orders)"""
 
 
 @query("risk_free_daily", f"""with {RATES}, j as (select ax.date, pow(1 + rates.y, 1 / 242.0::double) - 1 as rf from ax left join rates using (date))
 select date, {sql_cols(rf="last_value(rf ignore nulls) over (order by date rows between unbounded preceding and current row)")} from j""")
 def risk_free(s, d):
-    o = table(s, d, "orders").select(F.to_date("o_orderdate").alias("date"), "o_orderkey", "o_totalprice")
-    rates = (o.where((F.weekday("date") < 5) & (F.col("o_orderkey") % 2 == 0)).groupBy("date")
+    o = table(s, d, "orders").select(F.to_date("o_orderdate").alias("date"), "o_orderstatus", "o_totalprice")
+    rates = (o.where((F.weekday("date") < 5) & (F.col("o_orderstatus") == "F")).groupBy("date")
              .agg(F.avg(F.col("o_totalprice") - F.floor("o_totalprice")).alias("y")))
     axis = o.groupBy("date").agg(F.lit(0).alias("date_idx"))
     return show(ST.align_rate(axis, rates, "y"), ["date"], rf="rf")

@@ -135,14 +135,14 @@ from e1 join nxt on e1.date = nxt.day""")(
     lambda s, d: P.asof_forward_calendar(e1(s, d), e1_days(s, d)).select(
         "tick", "event_id", "date", "trade_date", F.col("date_idx").cast("bigint").alias("date_idx")))
 
-FFILL = f"""{MONTHS}, ev as (select tick, date, value, case when event_id % 3 = 0 then value end as rare from e1),
+FFILL = f"""{MONTHS}, ev as (select tick, date, value, case when value > 250000 then value end as rare from e1),
 u as (select tick, date, null as date_idx, value, rare, 0 as kind from ev union all
   select tick, date, date_idx, null, null, 1 from grid),
 f as (select *, last_value(value ignore nulls) over w as fv, last_value(rare ignore nulls) over w as fr from u
   window w as (partition by tick order by date, kind rows between unbounded preceding and current row))"""
 query("pit_ffill_align", f"{FFILL} select date_idx, tick, fv as value, fr as rare from f where kind = 1")(
     lambda s, d: P.pit_ffill_align(month_grid(s, d), e1(s, d).withColumn(
-        "rare", F.when(F.col("event_id") % 3 == 0, F.col("value"))), ["value", "rare"]).select(
+        "rare", F.when(F.col("value") > 250000, F.col("value"))), ["value", "rare"]).select(
         F.col("date_idx").cast("bigint").alias("date_idx"), "tick", "value", "rare"))
 
 M1 = f"""{P2}, m1 as (select r_name as idx, l_suppkey as tick, cast(date_trunc('quarter', l_shipdate) as date) as date,

@@ -24,6 +24,11 @@ def scan_sql(spark: SparkSession, url: str, sql: str, partition_column: str | No
             .option("lowerBound", lower).option("upperBound", upper).option("numPartitions", partitions).load())
 
 
+def scan_sql_files(spark: SparkSession, sql: str, **paths: str) -> DataFrame:
+    """The same query over parquet extracts instead of a database; ``{name}`` in the text names a table."""
+    return spark.sql(sql, **{name: spark.read.parquet(path) for name, path in paths.items()})
+
+
 def ingest_clean(df: DataFrame) -> DataFrame:
     """NaN and infinities of every double column become NULL, once."""
     return df.withColumns({f.name: null_if_not_finite(f.name) for f in df.schema if f.dataType.typeName() in ("double", "float")})
