@@ -150,42 +150,37 @@ def merge_actual_forecast(events: DataFrame, other: DataFrame, cols: Sequence[st
 
 
 def pit_last_k(grid: DataFrame, events: DataFrame, features: Sequence[str], k: int = 8,
-               include_today: bool = True, last_idx: int | None = None, order: str = "event_id") -> DataFrame:
+               include_today: bool = True, order: str = "event_id") -> DataFrame:
     """grid + the last k events effective by each row, oldest first and right-aligned.
 
-    Event i of a tick is among the last k exactly from its own effective row until
-    event i+k takes effect, so it is laid onto those rows and nothing else.  Work
-    and memory per (tick, row) stay at k events; at most k events per tick and
-    effective date enter (older ones of that date can never be seen).
+    A k-row window gives every event the list that ends with it; a row then takes
+    the list of its latest event.  Both steps are windows over tick, so there is
+    no range join, no history per row beyond k events, and no grid join.  At most
+    k events per tick and effective date enter (older ones of that date can never
+    be seen), which bounds a tick by k times the calendar.
 
     Adds ``events`` (k structs, zero padded), ``event_mask`` and ``event_age`` (-1 pad).
     """
     same_day = Window.partitionBy("tick", "effective_idx").orderBy(F.desc(order))
     ev = events.select("tick", "effective_idx", order, *[zero_fill(f).alias(f) for f in features])
     ev = ev.withColumn("_rn", F.row_number().over(same_day)).where(F.col("_rn") <= k).drop("_rn")
-    end_of_axis = (grid.agg(F.max("date_idx")).scalar() if last_idx is None else F.lit(last_idx))
-    w = Window.partitionBy("tick").orderBy("effective_idx", order)
-    ends = F.lead("effective_idx", k).over(w)
-    if include_today:
-        start, end = F.col("effective_idx"), F.coalesce(ends - 1, end_of_axis)
-    else:
-        start, end = F.col("effective_idx") + 1, F.coalesce(ends, end_of_axis)
-    spans = ev.withColumns({"_s": start, "_e": end}).where(F.col("_s") <= F.col("_e"))
-    laid = spans.select("tick", F.explode(F.sequence("_s", "_e")).alias("date_idx"), "effective_idx", order, *features)
-    lists = laid.groupBy("tick", "date_idx").agg(F.sort_array(F.collect_list(
-        F.struct("effective_idx", order, F.struct(*features).alias("x")))).alias("_l"))
+    upto = Window.partitionBy("tick").orderBy("effective_idx", order).rowsBetween(1 - k, 0)
+    item = F.struct(F.col("effective_idx").alias("at"), F.struct(*features).alias("x"))
+    lists = ev.select("tick", F.col("effective_idx").alias("date_idx"), F.collect_list(item).over(upto).alias("_l"),
+                      F.col(order).alias("_o"), F.lit(0 if include_today else 2).alias("_kind"))
+    keep = [c for c in grid.columns if c not in ("tick", "date_idx")]
+    rows = grid.select("tick", "date_idx", F.struct(F.lit(1).alias("_"), *keep).alias("_g"), F.lit(1).alias("_kind"))
+    both = rows.unionByName(lists, allowMissingColumns=True)
+    seen = Window.partitionBy("tick").orderBy("date_idx", "_kind", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    j = (both.withColumn("_l", F.last("_l", ignorenulls=True).over(seen)).where(F.col("_kind") == 1)
+         .select("tick", "date_idx", *[F.col("_g")[c].alias(c) for c in keep], F.coalesce("_l", F.array().cast(
+             lists.schema["_l"].dataType)).alias("_l")))
     empty = F.struct(*[F.lit(0.0).alias(f) for f in features])
-    n = F.coalesce(F.size("_l"), F.lit(0))
-    pad = F.lit(k) - n
-    got = F.coalesce(F.transform("_l", lambda e: e["x"]), F.array().cast(lists.select(
-        F.transform("_l", lambda e: e["x"]).alias("x")).schema["x"].dataType))
-    age = F.coalesce(F.transform("_l", lambda e: F.col("date_idx") - e["effective_idx"]),
-                     F.array().cast("array<int>"))
-    j = grid.join(lists, ["tick", "date_idx"], "left")
+    n, pad = F.size("_l"), F.lit(k) - F.size("_l")
     return j.withColumns({
-        "events": F.concat(F.array_repeat(empty, pad), got),
+        "events": F.concat(F.array_repeat(empty, pad), F.transform("_l", lambda e: e["x"])),
         "event_mask": F.concat(F.array_repeat(F.lit(0.0), pad), F.array_repeat(F.lit(1.0), n)),
-        "event_age": F.concat(F.array_repeat(F.lit(-1), pad), age),
+        "event_age": F.concat(F.array_repeat(F.lit(-1), pad), F.transform("_l", lambda e: F.col("date_idx") - e["at"])),
     }).drop("_l")
 
 

@@ -255,9 +255,11 @@ def series_standardize(values: ColumnOrName) -> Column:
 def instance_normalise(values: ColumnOrName, eps: float = 1e-5) -> Column:
     """Array minus its mean, over sqrt(population variance + eps); NULL entries are ignored."""
     a = as_col(values)
-    seen = F.filter(a, lambda v: v.isNotNull())
-    n = F.size(seen)
-    zero = F.lit(0.0)
-    mean = F.try_divide(F.aggregate(seen, zero, lambda s, v: s + v), n)
-    var = F.try_divide(F.aggregate(seen, zero, lambda s, v: s + (v - mean) * (v - mean)), n)
-    return F.transform(a, lambda v: (v - mean) / F.sqrt(var + eps))
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+    sums = F.aggregate(a, start, lambda t, v: F.when(v.isNull(), t).otherwise(F.struct(
+        (t["n"] + 1).alias("n"), (t["s"] + v).alias("s"), (t["q"] + v * v).alias("q"))))
+    # One-element arrays bind the sums and then the moments once per row, not once per entry.
+    moments = F.transform(F.array(sums), lambda t: F.struct(
+        F.try_divide(t["s"], t["n"]).alias("m"),
+        F.sqrt(_non_negative(F.try_divide(t["q"] - t["s"] * F.try_divide(t["s"], t["n"]), t["n"])) + eps).alias("d")))
+    return F.transform(moments, lambda m: F.transform(a, lambda v: (v - m["m"]) / m["d"]))[0]
