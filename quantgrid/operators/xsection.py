@@ -169,7 +169,8 @@ def neutralise_event(df: DataFrame, cols: Sequence[str], group: str = "industry"
     """Residual of x on log size inside date and industry.
 
     Mean and variance of log size use every row of the group, the covariance only
-    rows with both sides; slope 0 when that variance is at most 1e-12.
+    rows with both sides; slope 0 when that variance is at most 1e-12.  A residual
+    below 1e-9 of its terms is rounding of a perfect fit and reads as 0.
     """
     keys = [*by, group]
     s = F.col(log_size)
@@ -184,7 +185,8 @@ def neutralise_event(df: DataFrame, cols: Sequence[str], group: str = "industry"
         mx, ms = F.col(f"{c}_mx"), F.col("_ms")
         cov = F.col(f"{c}_mxs") - mx * F.col(f"{c}_msb") - ms * F.col(f"{c}_mxb") + mx * ms
         beta = F.when(F.col("_vs") > 1e-12, cov / F.nullif(F.col("_vs"), F.lit(0.0))).otherwise(0.0)
-        new[c + suffix] = F.col(c) - mx - beta * (s - ms)
+        res = F.col(c) - mx - beta * (s - ms)
+        new[c + suffix] = F.when(F.abs(res) <= 1e-9 * (F.abs(c) + F.abs(mx)), 0.0).otherwise(res)
     return _with(j, new, ["_ms", "_vs"] + [f"{c}_{t}" for c in cols for t in ("mx", "mxs", "mxb", "msb")])
 
 

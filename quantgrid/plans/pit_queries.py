@@ -234,9 +234,10 @@ FEATURES = ["value", "value_yoy", "qty_yoy", "value_qoq", "qty_qoq", "value_sue"
 
 
 def feature_reports(s, d) -> DataFrame:
-    """Reports with a quantity, a consensus, an effective row, industry and log size of the customer."""
+    """Reports with a quantity, a consensus, an effective month, the customer's region as industry and log size."""
     qty = (table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("event_id")).agg(F.sum("l_quantity").alias("qty")))
-    cust = table(s, d, "customer").select(F.col("c_custkey").alias("tick"), F.col("c_nationkey").alias("industry"))
+    cust = (table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+            .select(F.col("c_custkey").alias("tick"), F.col("n_regionkey").alias("industry")))
     r = reports(s, d).join(qty, "event_id", "left").join(cust, "tick", "left")
     r = P.merge_actual_forecast(r, consensus(s, d), ["f_value"]).withColumnRenamed("f_value", "forecast_value")
     eff = F.add_months(F.trunc("date", "month"), 1)
@@ -244,9 +245,9 @@ def feature_reports(s, d) -> DataFrame:
 
 
 FEATURE_SQL = f"""{MERGED}, q as (select l_orderkey as event_id, sum(l_quantity) as qty from lineitem group by 1),
-fr as (select m.*, q.qty, c_nationkey as industry, value as mv,
+fr as (select m.*, q.qty, n_regionkey as industry, value as mv,
   cast(date_trunc('month', m.date) + interval 1 month as date) as date_idx from merged m
-  left join q using (event_id) left join customer on c_custkey = m.tick),
+  left join q using (event_id) left join customer on c_custkey = m.tick left join nation on n_nationkey = c_nationkey),
 fs as (select a.*, a.value - b.value as value_yoy, a.qty / nullif(b.qty, 0) - 1 as qty_yoy,
   a.value - lag(a.value) over w as value_qoq, a.qty / nullif(lag(a.qty) over w, 0) - 1 as qty_qoq,
   (a.value - a.f_value) / nullif(stddev_pop(a.value) over (partition by a.tick order by a.report_date rows between 12 preceding and 1 preceding), 0) as value_sue

@@ -124,8 +124,9 @@ select date_idx, tick, {sql_cols(4, n=f"(res - avg(res) {DI}) / (stddev_pop(res)
 
 query("neutralise_event", f"""{P2}, b as (select *, ln(mv) as s from p2g),
 m as (select *, avg(close) {DI} as mx, avg(s) {DI} as ms, var_pop(s) {DI} as vs from b),
-c as (select *, avg((close - mx) * (s - ms)) {DI} as cov from m)
-select date_idx, tick, {sql_cols(4, n="close - mx - case when vs > 1e-12 then cov / vs else 0 end * (s - ms)")} from c""")(
+c as (select *, avg((close - mx) * (s - ms)) {DI} as cov from m),
+e as (select *, close - mx - case when vs > 1e-12 then cov / vs else 0 end * (s - ms) as res from c)
+select date_idx, tick, {sql_cols(4, n="case when abs(res) <= 1e-9 * (abs(close) + abs(mx)) then 0 else res end")} from e""")(
     lambda s, d: show(X.neutralise_event(p2g(s, d).withColumn("logmv", X.F.ln("mv")), ["close"]), KEYS, 4, n="close"))
 
 query("fill_industry_median", f"""{P2}, m as (select date_idx, industry, median(close) as med from p2g group by 1, 2)
@@ -135,7 +136,8 @@ select date_idx, tick, {sql_cols(c="coalesce(close, med)")} from p2g left join m
 
 def _clean_sql(x: str, n: int, source: str, neutral: bool) -> str:
     """One feature through fill, clip, neutralise, z-score; stages are numbered CTEs."""
-    res = ("y - mx - case when vs > 1e-12 then cov / vs else 0 end * (s - ms)" if neutral else "y")
+    fit = "(y - mx - case when vs > 1e-12 then cov / vs else 0 end * (s - ms))"
+    res = f"case when abs({fit}) <= 1e-9 * (abs(y) + abs(mx)) then 0 else {fit} end" if neutral else "y"
     return f"""
 f{n} as (select *, coalesce({x}, median({x}) {DI}) as f from {source}),
 fm{n} as (select *, median(f) {D} as med from f{n}),
