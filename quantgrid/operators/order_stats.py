@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from quantgrid.core import ColumnOrName, as_col, calendar_side
 
-BUCKETS_PER_DOUBLING = 1024
+BUCKETS_PER_DOUBLING = 8192
+NULL_SPREAD = 1024
 _BEYOND = 1100 * BUCKETS_PER_DOUBLING  # more than any exponent of a double
 
 
@@ -103,6 +104,10 @@ def average_rank(df: DataFrame, by: Sequence[str], x: str, rank: str = "rank", s
     ranked = (values.join(offsets, [*by, "_b"])
               .withColumn("_end", F.col("_off") + F.sum("_m").over(inside))
               .select(*by, F.col("_x").alias(x), (F.col("_end") - (F.col("_m") - 1) / 2.0).alias(rank), size))
-    return df.join(ranked, [*by, x], "left")
+    # Rows without a value match nothing; a hashed extra key keeps them off one reducer.
+    scalars = [f.name for f in df.schema if f.dataType.typeName() not in ("array", "map", "struct")]
+    spread = F.when(F.col(x).isNull(), F.pmod(F.xxhash64(*scalars), F.lit(NULL_SPREAD))).otherwise(F.lit(0).cast("long"))
+    keyed = ranked.withColumn("_s", F.lit(0).cast("long"))
+    return df.withColumn("_s", spread).join(keyed, [*by, x, "_s"], "left").drop("_s")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quantgrid.core import small_side, stage, tick_window
 from quantgrid.functions.scalar import zero_fill
+from quantgrid.operators.order_stats import group_medians
 from quantgrid.sources.axis import day_map
 
 
@@ -46,6 +47,7 @@ def asof_last(grid: DataFrame, events: DataFrame, cols: Sequence[str], date: str
               tick: str = "tick", together: bool = False) -> DataFrame:
     """grid + the latest values of ``cols`` at or before each row's date.
 
+    Events are unique per (tick, date) (see :func:`dedupe_keep`), which bounds a tick by the calendar.
     One union and one window over tick instead of a range join.  Columns fill
     separately, or as one record when ``together`` (then a NULL field stays NULL).
     """
@@ -136,12 +138,9 @@ def latest_per_author(forecasts: DataFrame, keys: Sequence[str] = ("tick", "repo
 
 def consensus_median(forecasts: DataFrame, cols: Sequence[str],
                      keys: Sequence[str] = ("tick", "report_date")) -> DataFrame:
-    """Exact median of each forecast per report.
-
-    Here a group is the authors of one report, one row each, so Spark's median
-    applies directly.
-    """
-    return forecasts.groupBy(*keys).agg(*[F.median(c).alias(c) for c in cols])
+    """Exact median of each forecast per report, whatever the number of authors."""
+    medians = group_medians(forecasts, list(keys), list(cols))
+    return medians.select(*keys, *[F.col(f"{c}_med").alias(c) for c in cols])
 
 
 def merge_actual_forecast(events: DataFrame, other: DataFrame, cols: Sequence[str],

@@ -279,15 +279,10 @@ def industry_agg(df: DataFrame, col: str, how: str, out: str, group: str = "indu
 
 
 def group_softmax(df: DataFrame, col: str, by: Sequence[str], out: str = "softmax") -> DataFrame:
-    """exp(x - max) / (sum + 1e-12) inside each group.
-
-    Groups may be as many as nodes, so nothing is hinted: the group maximum and
-    sum come from two partial aggregates joined back on the group key.
-    """
-    top = df.groupBy(*by).agg(F.max(col).alias("_top"))
-    e = df.join(top, list(by)).withColumn("_e", F.exp(F.col(col) - F.col("_top")))
+    """exp(x - max) / (sum + 1e-12) inside each group."""
+    e = attach(df, df.groupBy(*by).agg(F.max(col).alias("_top")), by).withColumn("_e", F.exp(F.col(col) - F.col("_top")))
     total = e.groupBy(*by).agg(F.sum("_e").alias("_sum"))
-    return e.join(total, list(by)).withColumn(out, F.col("_e") / (F.col("_sum") + 1e-12)).drop("_top", "_e", "_sum")
+    return attach(e, total, by).withColumn(out, F.col("_e") / (F.col("_sum") + 1e-12)).drop("_top", "_e", "_sum")
 
 
 def peer_stats(edges: DataFrame, label: DataFrame, y: str, by: Sequence[str] = DATE,

@@ -42,7 +42,7 @@ query("date_axis", "select row_number() over (order by date) - 1 as date_idx, da
 query("tick_axis", "select row_number() over (order by tick) - 1 as tick_idx, tick from (select distinct o_custkey as tick from orders)")(
     lambda s, d: tick_axis(table(s, d, "orders"), "o_custkey").select(big("tick_idx"), "tick"))
 query("tick_axis_text", "select row_number() over (order by tick) - 1 as tick_idx, tick from (select distinct c_name as tick from customer)")(
-    lambda s, d: tick_axis(table(s, d, "customer"), "c_name", F.substring("tick", 1, 15)).select(big("tick_idx"), "tick"))
+    lambda s, d: tick_axis(table(s, d, "customer"), "c_name").select(big("tick_idx"), "tick"))
 
 
 @query("scan_panel", f"{P2} select date_idx, date, tick, close, volume from p2 where date >= date '1997-03-01'")

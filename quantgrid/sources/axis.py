@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantgrid.core import MAX_DATES, attach, stage, tick_window
@@ -24,23 +24,19 @@ def date_axis(df: DataFrame, date: str = "date") -> DataFrame:
     return calendar(df, date).select(F.posexplode("days").alias("date_idx", "date"))
 
 
-def tick_axis(df: DataFrame, tick: str = "tick", bucket: Column | None = None) -> DataFrame:
-    """ticks(tick, tick_idx): sorted ordinal of every tick.
+def tick_axis(df: DataFrame, tick: str = "tick") -> DataFrame:
+    """ticks(tick, tick_idx): sorted ordinal of every tick, with no task seeing all ticks.
 
-    The ordinal is built in two levels, so no task sees all ticks: counts per
-    monotone bucket give offsets, row numbers inside a bucket give the rest.
-    ``bucket`` must never decrease with the tick; the default is the leading
-    three characters of a string or blocks of 4096 of a number.
+    Ticks are range partitioned and written with their range number, so that both
+    uses below read the same ranges; counts per range give offsets, row numbers
+    inside a range give the rest.
     """
-    ticks = df.select(F.col(tick).alias("tick")).distinct()
-    if bucket is None:
-        text = dict(ticks.dtypes)["tick"] == "string"
-        bucket = F.substring("tick", 1, 3) if text else F.floor(F.col("tick") / 4096)
-    tagged = ticks.withColumn("_b", bucket)
+    ticks = df.select(F.col(tick).alias("tick")).where(F.col("tick").isNotNull()).distinct()
+    ranged = stage(ticks.repartitionByRange("tick").withColumn("_b", F.spark_partition_id()))
     before = F.coalesce(F.sum("_m").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = tagged.groupBy("_b").agg(F.count(F.lit(1)).alias("_m")).select("_b", before.alias("_off"))
+    offsets = ranged.groupBy("_b").agg(F.count(F.lit(1)).alias("_m")).select("_b", before.alias("_off"))
     pos = F.row_number().over(Window.partitionBy("_b").orderBy("tick")) - 1
-    return (attach(tagged.withColumn("_pos", pos), offsets, ["_b"])
+    return (attach(ranged.withColumn("_pos", pos), offsets, ["_b"])
             .select("tick", (F.col("_off") + F.col("_pos")).cast("int").alias("tick_idx")))
 
 
