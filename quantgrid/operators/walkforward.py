@@ -160,8 +160,8 @@ def score_embeddings(panel: DataFrame, col: str, lag: int, dims: int, keep: Sequ
                         yield pd.DataFrame({"dim": [i], "mean": [list(row.mean)], "load": [v.tolist()]})
 
     basis = moments(wide, names, None, []).mapInPandas(axes, "dim int, mean array<double>, load array<double>")
-    table = small_side(basis.groupBy(F.lit(0).alias("_k")).agg(F.sort_array(F.collect_list(F.struct("dim", "mean", "load"))).alias("_t")))
-    j = wide.withColumn("_k", F.lit(0)).join(table, "_k").select("date_idx", "tick", *keep, *names, F.inline("_t"))
+    table = basis.agg(F.sort_array(F.collect_list(F.struct("dim", "mean", "load"))).alias("_t"))
+    j = wide.withColumn("_t", table.scalar()).select("date_idx", "tick", *keep, *names, F.inline("_t"))
     value = F.lit(0.0)
     for i, n in enumerate(names):
         value = value + (F.col(n) - F.col("mean")[i]) * F.col("load")[i]

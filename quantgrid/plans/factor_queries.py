@@ -10,7 +10,6 @@ from quantgrid.factors import industry as IND
 from quantgrid.factors import intraday as MIN
 from quantgrid.factors import price as PX
 from quantgrid.factors import style as ST
-from quantgrid.functions.scalar import log_positive
 from quantgrid.operators import rolling as R
 from quantgrid.plans.fixtures import P1, P2, P3, p1, p2, p2g, p3_bars, table
 from quantgrid.plans.registry import query, show, sql_cols

@@ -11,7 +11,7 @@ from quantgrid.functions.scalar import event_age_bucket, event_age_decay_inputs
 from quantgrid.operators import filters as FL
 from quantgrid.operators import pit as P
 from quantgrid.operators import xsection as X
-from quantgrid.plans.fixtures import E1, P1, P2, e1, e1_days, orders_raw, p1, p1_bars, p2_bars, p2_days, table
+from quantgrid.plans.fixtures import E1, P1, P2, e1, e1_days, orders_raw, p1, p2_days, table
 from quantgrid.plans.registry import query, rnd, show, sql_cols
 from quantgrid.plans.xsection_queries import _clean_sql
 from quantgrid.sources.axis import calendar, densify, next_trading_day

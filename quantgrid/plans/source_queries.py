@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantgrid.core import checkpoint_dir, stage
+from quantgrid.core import checkpoint_dir
 from quantgrid.functions import scalar as SC
 from quantgrid.functions import timecode as TC
 from quantgrid.operators import filters as FL
-from quantgrid.plans.fixtures import E1, P1, P2, e1, e1_days, orders_raw, p1, p1_bars, p1_days, p2, p2_bars, p2_groups, p3_bars, P3, table
-from quantgrid.plans.pit_queries import HISTORY, class_history, month_events, month_grid
+from quantgrid.plans.fixtures import E1, P1, P2, e1, e1_days, p1, p1_bars, p1_days, p2, p2_bars, table
+from quantgrid.plans.pit_queries import month_events
 from quantgrid.plans.registry import query, rnd, show, sql_cols
 from quantgrid.sources import panel_io as IO
 from quantgrid.sources.axis import date_axis, tick_axis
