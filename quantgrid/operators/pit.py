@@ -139,7 +139,7 @@ def latest_per_author(forecasts: DataFrame, keys: Sequence[str] = ("tick", "repo
 def consensus_median(forecasts: DataFrame, cols: Sequence[str],
                      keys: Sequence[str] = ("tick", "report_date")) -> DataFrame:
     """Exact median of each forecast per report, whatever the number of authors."""
-    medians = group_medians(forecasts, list(keys), list(cols))
+    medians = group_medians(stage(forecasts.select(*keys, *cols)), list(keys), list(cols))
     return medians.select(*keys, *[F.col(f"{c}_med").alias(c) for c in cols])
 
 

@@ -215,7 +215,7 @@ def flagship(s, d) -> DataFrame:
     panel = p1(s, d).withColumn("fc", R.forward_fill("close")).withColumn("x", R.pct_change("fc"))
     panel = stage(panel.select("date_idx", "tick", "x", R.rolling_retprod("x", 3).alias("label")))
     z = X.cs_zscore(X.winsor(panel.withColumn("z", F.col("x")), ["z"], "mad"), ["z"])
-    return E.rank_ic(z.select("date_idx", F.round("z", 9).alias("pred"), "label"))
+    return E.rank_ic(stage(z.select("date_idx", F.round("z", 9).alias("pred"), "label")))
 
 
 query("flagship_rank_ic", f"{FLAG} select date_idx, {sql_cols(rank_ic='rank_ic')} from i")(
