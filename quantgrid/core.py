@@ -12,7 +12,7 @@ plan here:
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, WindowSpec
@@ -43,15 +43,40 @@ def tick_window(start: int | None = None, end: int | None = None, by: Sequence[s
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Directory for lineage cuts: the cluster's own, or a fresh folder where none is set."""
+    """Shared directory for lineage cuts and stored intermediates.
+
+    ``spark.checkpoint.dir`` where the cluster names one; otherwise a folder of this application under
+    ``hadoop.tmp.dir`` on the default file system, which every executor sees and which goes when the session ends.
+    """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quantgrid-"))
-        current = sc.getCheckpointDir()
+        conf = sc._jsc.hadoopConfiguration()
+        path = sc._jvm.org.apache.hadoop.fs.Path(conf.get("hadoop.tmp.dir"), f"quantgrid-{sc.applicationId}")
+        files = path.getFileSystem(conf)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        current = files.makeQualified(path).toString()
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(current)
     return current
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared directory, removed when the session ends."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write ``df`` as parquet to the shared directory and return a scan of it, so that later plans prune columns."""
+    path = scratch(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _row_bytes(df: DataFrame) -> int:
     width = {"boolean": 1, "integer": 4, "date": 4, "string": 40}
     return 16 + sum(width.get(f.dataType.typeName(), 8 if f.dataType.typeName() in

@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle import compare, connect
+from quantgrid.plans import load
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = load().QUERIES, load().ORACLES
 
 
 @pytest.fixture(scope="module")
