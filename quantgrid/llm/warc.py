@@ -1,6 +1,6 @@
 """WARC archives: write transactions, read records back, assemble one nested row per capture.
 
-Writing is a text sink whose line separator is the record terminator, so the files are plain WARC/1.1.  Reading
+Writing is a text sink whose line separator is the record terminator, so the files are WARC/1.1 (gzip).  Reading
 takes whole files (kept short by ``records_per_file``) and slices records by Content-Length.  Assembly follows the
 concurrent-to identifiers in either direction and over any number of hops.
 
@@ -13,6 +13,7 @@ kind continues in further rows (``part`` 1, 2, ...), so no row holds an unbounde
 from __future__ import annotations
 
 import re
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,7 +87,8 @@ def write_warc(transactions: DataFrame, path: str, records_per_file: int = RECOR
                       "application/warc-fields", linked,
                       F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF)))
     (t.select(F.explode(F.array(request, answer, metadata)).alias("value"))
-     .write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).text(path))
+     .write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file)
+     .option("compression", "gzip").text(path))
 
 
 RECORD_SCHEMA = ("record_id string, record_type string, uri string, concurrent_to array<string>, refers_to string, "
@@ -94,6 +96,16 @@ RECORD_SCHEMA = ("record_id string, record_type string, uri string, concurrent_t
 _FIELD = re.compile(rb"([!-9;-~]+):[ \t]*([^\r\n]*(?:\r\n[ \t]+[^\r\n]*)*)")
 
 
+def unzip(data: bytes) -> bytes:
+    """The members of a gzip file one after another; other data as it is."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(data))
+        data = member.unused_data
+    return b"".join(out) if out else data
+
+
 def parse_records(data: bytes):
     """Records of one archive file, sliced by Content-Length."""
     at, n = 0, len(data)
@@ -125,7 +137,7 @@ def _parse_files(batches):
     names = [f.split()[0] for f in RECORD_SCHEMA.split(", ")]
     for pdf in batches:
         for data in pdf["content"]:
-            rows, size = [], 0
+            data, rows, size = unzip(data), [], 0
             for r in parse_records(data):
                 rows.append(r)
                 size += len(r[-1])
@@ -208,6 +220,9 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = scratch(spark, "warc")
     write_warc(plan_transactions(pages), path)
-    light = store(assemble_captures(read_warc(spark, path))
+    # Lengths and digests are taken from the payloads as read; the archive is parsed once and responses' bytes go no further.
+    keep = F.when(~F.col("record_type").isin(*ANCHORS), F.col("payload"))
+    records = store(read_warc(spark, path).withColumn("payload", keep))
+    light = store(assemble_captures(records)
                   .select("capture_id", "part", "record_type", "refers_to", "payload_bytes", "payload_digest", "metadata"))
     return follow_revisits(light)
