@@ -19,6 +19,7 @@ table gives no rows.
 from __future__ import annotations
 
 import functools
+import math
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -34,7 +35,8 @@ CAPACITY = 4096
 END_ID = 1
 CACHE_WORDS = 300_000
 """Words and chunks kept per Python worker in each of two generations; a bound on memory, never on results."""
-ROWS_PER_RANK_GROUP = 50_000
+ROWS_PER_RANK_GROUP = 500
+"""Least rows of a salted group; groups of a length grow with the root of its count, as does their number."""
 
 _ODD = re.compile("[\x1c-\x1f\u0130\u0180-\u200f\u2028-\U0010ffff]")
 
@@ -233,7 +235,7 @@ def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> pd.DataF
 def rank_in_length(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
     """pieces + rank (from 0) among the pieces of the same length, ordered in salted groups."""
     spark = pieces.sparkSession
-    salts = spark.createDataFrame([(n, -(-c // ROWS_PER_RANK_GROUP)) for n, c in counts.items()], "length long, salts long")
+    salts = spark.createDataFrame([(n, -(-c // max(ROWS_PER_RANK_GROUP, math.isqrt(c)))) for n, c in counts.items()], "length long, salts long")
     salted = (pieces.join(F.broadcast(salts), "length")  # at most one row per length up to the capacity
               .withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "salts")).drop("salts"))
     sizes = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))

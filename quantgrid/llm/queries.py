@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quantgrid.llm import bpe, packing, quality, toxicity, url_filter, warc
+from quantgrid.llm import bpe, packing, quality, syncmers, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_quality_ranking")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_syncmer_fingerprints")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edited_prints(table(spark, sf_dir, "documents"))

@@ -51,7 +51,7 @@ def test_pair_weight_is_learned():
     """Two terms that are harmless apart and toxic together."""
     rng = np.random.default_rng(1)
     a, b = rng.random(4000) < 0.5, rng.random(4000) < 0.5
-    x = [np.array([3] * p + [9] * q + [20 + i % 50], np.int32) for i, (p, q) in enumerate(zip(a, b))]
+    x = [np.array([3] * int(p) + [9] * int(q) + [20 + i % 50], np.int32) for i, (p, q) in enumerate(zip(a, b))]
     y = (a & b).astype(int)
     model = toxicity.fit(x, y, buckets=128, epochs=20)
     assert (np.array([model.margin(r) > 0 for r in x]) == y).mean() == 1
