@@ -62,12 +62,12 @@ def build_filter(keys: DataFrame, key: str, blocks: int) -> DataFrame:
     return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "bits"))), lambda x: x["bits"]).alias("bits"))
 
 
-def maybe_listed(key: Column, bits: Column, blocks: int) -> Column:
-    """Blocked Bloom test: false only for keys that are not in the list."""
+def maybe_listed(key: Column, words: Column) -> Column:
+    """Blocked Bloom test on the words of the key's block: false only for keys that are not in the list."""
     hit = F.lit(True)
     for w in range(BLOCK_WORDS):
         bit = _bit(key, w)
-        hit = hit & (F.get(bits, _block(key, blocks) + w).bitwiseAND(bit) == bit)
+        hit = hit & (F.get(words, w).bitwiseAND(bit) == bit)
     return hit
 
 
@@ -88,8 +88,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", keys:
         F.array_join(F.slice("labels", -s["rule_labels"], s["rule_labels"]), "."), F.substring("path", F.lit(1), s["rule_path"])))
     # Rows of one page stay in their task, so this aggregate combines before the shuffle: one row per page crosses it.
     tested = (urls.select(*row, F.posexplode_outer(candidates).alias("nth", "key"))
+              .withColumn("words", F.slice(bits, _block(F.col("key"), blocks) + 1, BLOCK_WORDS))
               .groupBy(*row).agg(F.count_if(F.coalesce("nth", F.lit(0)) == 0).alias("copies"),
-                                 F.collect_set(F.when(maybe_listed(F.col("key"), bits, blocks), F.col("key"))).alias("possible")))
+                                 F.collect_set(F.when(maybe_listed(F.col("key"), F.col("words")), F.col("key"))).alias("possible")))
     copy = F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")
     clean = (tested.where(F.size("possible") == 0)
              .select(*row, F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), copy).drop("copy"))
