@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quantgrid.llm import bpe, packing, quality, syncmers, toxicity, url_filter, warc
+from quantgrid.llm import bpe, packing, quality, secrets, syncmers, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_syncmer_fingerprints")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited_prints(table(spark, sf_dir, "documents"))
+
+
+@query("op8_secret_links")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
