@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quantgrid.llm import bpe, packing, quality, secrets, syncmers, toxicity, url_filter, warc
+from quantgrid.llm import bpe, jaccard, packing, quality, secrets, syncmers, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_secret_links")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op4_ngram_jaccard")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "rep", "class_id", "n_links")
