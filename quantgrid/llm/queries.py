@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quantgrid.llm import bpe, jaccard, packing, quality, secrets, syncmers, toxicity, url_filter, warc
+from quantgrid.llm import ann, bpe, jaccard, packing, quality, secrets, syncmers, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_ngram_jaccard")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "rep", "class_id", "n_links")
+
+
+@query("op10_learned_partitions")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", 20)
