@@ -117,8 +117,8 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", bound: int
 
 
 def score(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.5, buckets: int = BUCKETS,
-          starts: tuple[int, ...] = STARTS) -> DataFrame:
-    """docs + ``score`` (0 to 1) and ``predicted`` (1 if score >= threshold)."""
+          starts: tuple[int, ...] = STARTS, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs + score (0 to 1) and predicted (1 if score >= threshold) under ``names``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: buckets x (1 + factors)
 
     def run(frames):
@@ -129,10 +129,16 @@ def score(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.5,
 
     run.__annotations__ = {"frames": Iterator[pd.Series], "return": Iterator[pd.Series]}
     scorer = F.pandas_udf(run, "double")
-    return docs.withColumn("score", scorer(F.col("text"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.withColumn(names[0], scorer(F.col("text"))).withColumn(names[1], (F.col(names[0]) >= threshold).cast("int"))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     scored = score(docs.select("doc_id", "text"), train(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without the rows predicted toxic."""
+    names = ("_toxic_score", "_toxic")
+    return score(docs, train(docs, labels), names=names).where(F.col(names[1]) == 0).select(*docs.columns)
