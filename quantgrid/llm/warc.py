@@ -88,7 +88,7 @@ def write_warc(transactions: DataFrame, path: str, records_per_file: int = RECOR
                       F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF)))
     (t.select(F.explode(F.array(request, answer, metadata)).alias("value"))
      .write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file)
-     .option("compression", "gzip").text(path))
+     .option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path))
 
 
 RECORD_SCHEMA = ("record_id string, record_type string, uri string, concurrent_to array<string>, refers_to string, "
@@ -155,10 +155,20 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return records.withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("sha1", base32_sha1(F.col("payload")))
 
 
-def resolve_captures(records: DataFrame) -> DataFrame:
-    """(record_id, capture_id) of every record that is not a response: follows concurrent-to until nothing is added."""
+def resolve_captures(records: DataFrame) -> DataFrame | None:
+    """(record_id, capture_id) of every record that is not a response: follows concurrent-to until nothing is added.
+
+    None where every such record names responses only and no response names others: then the names are the answer.
+    """
     anchor = F.col("record_type").isin(*ANCHORS)
-    ids = store(records.select("record_id", "record_type", "concurrent_to").distinct())
+    ids = records.select("record_id", "record_type", "concurrent_to")
+    named = ids.where(~anchor).select("record_id", F.explode_outer("concurrent_to").alias("target"))
+    anchors = ids.where(anchor)
+    anchor_ids = anchors.select(F.col("record_id").alias("target"))
+    if anchors.where(F.size("concurrent_to") > 0).isEmpty() and named.join(anchor_ids, "target", "left_anti").isEmpty():
+        return None
+
+    ids = store(ids.distinct())
     anchors = ids.where(anchor)
     links = ids.where(~anchor).select("record_id", F.explode("concurrent_to").alias("target")).distinct()
     reverse = anchors.select(F.explode("concurrent_to").alias("record_id"), F.col("record_id").alias("capture_id"))
@@ -177,19 +187,26 @@ def resolve_captures(records: DataFrame) -> DataFrame:
 
 
 def assemble_captures(records: DataFrame) -> DataFrame:
-    """capture_id, part, record_type, uri, refers_to, payload_bytes, payload_digest, response, requests, metadata."""
+    """capture_id, part, record_type, uri, refers_to, payload_bytes, payload_digest, response, requests, metadata.
+
+    Equal records count once.  Pass stored records: links and members are read apart.
+    """
     anchor = F.col("record_type").isin(*ANCHORS)
     of = resolve_captures(records)
-    small = (records.where(~anchor).groupBy("record_id")
-             .agg(F.first(F.struct("record_type", "http_head", F.col("payload").cast("string").alias("body"))).alias("r")))
-    members = small.join(of, "record_id")
-    sizes = of.groupBy("capture_id").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_PER_ROW).alias("parts"))
-    members = members.join(sizes, "capture_id").withColumn("part", F.pmod(F.xxhash64("record_id"), F.col("parts")))
-    inner = F.struct("record_id", F.col("r.record_type").alias("kind"), F.col("r.http_head").alias("head"), F.col("r.body").alias("body"))
-    kind = F.col("r.record_type")
+    inner = F.struct("record_id", F.col("record_type").alias("kind"), F.col("http_head").alias("head"), F.col("payload").cast("string").alias("body"))
+    members = records.where(~anchor)
+    if of is None:
+        members = members.withColumn("capture_id", F.explode("concurrent_to"))
+    else:
+        members = members.join(of, "record_id")
+    members = members.select("record_id", "record_type", "capture_id", inner.alias("member"), F.lit(0).cast("long").alias("part"))
+    sizes = members.groupBy("capture_id").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_PER_ROW).alias("parts")).where("parts > 1")
+    if not sizes.isEmpty():
+        members = (members.drop("part").join(sizes, "capture_id", "left")
+                   .withColumn("part", F.coalesce(F.pmod(F.xxhash64("record_id"), F.col("parts")), F.lit(0))))
+    request = F.col("record_type") == "request"
     nested = members.groupBy("capture_id", "part").agg(
-        F.collect_list(F.when(kind == "request", inner)).alias("requests"),
-        F.collect_list(F.when(kind != "request", inner)).alias("metadata"))
+        F.collect_set(F.when(request, F.col("member"))).alias("requests"), F.collect_set(F.when(~request, F.col("member"))).alias("metadata"))
     heads = records.where(anchor)
     heads = heads.dropDuplicates(["record_id"]).select(
         F.col("record_id").alias("capture_id"), "record_type", "uri", "refers_to", "payload_digest", "payload_bytes", "sha1", "http_head", "payload")
