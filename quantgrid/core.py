@@ -13,14 +13,11 @@ plan here:
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-MAX_DATES = 40_000
-"""Longest calendar an axis may hold (about a century of days, 160 years of trading days)."""
-
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 256 * 1024 * 1024
 """Ceilings for a hinted broadcast; a larger side is joined by shuffle."""
@@ -32,6 +29,11 @@ def as_col(x: ColumnOrName) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """``body`` of named values that are computed once, however often it mentions them."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), lambda v: body(v)), 0)
+
+
 def tick_window(start: int | None = None, end: int | None = None, by: Sequence[str] = ("tick",),
                 order: str = "date_idx") -> WindowSpec:
     """Row frame along the time axis of one tick."""
@@ -92,8 +94,8 @@ def settle(df: DataFrame) -> tuple[DataFrame, int]:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Store a derived panel once before an operator that scans it several times."""
-    return settle(df)[0]
+    """Store a derived panel once, as columns, before an operator that scans it several times."""
+    return store(df)
 
 
 def small_side(df: DataFrame) -> DataFrame:
@@ -103,27 +105,6 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(done) if fits else done
 
 
-def calendar_side(df: DataFrame, keys: Sequence[str], rows_per_date: int = 1) -> DataFrame:
-    """Hint a broadcast of a per-date aggregate without running a job, where its bound is provable.
-
-    That holds when the one varying key is a date ordinal or a date: both are
-    checked against the calendar limit as the rows are built (a row beyond it
-    raises), so there are at most MAX_DATES x rows_per_date rows of known width.
-    Any other key goes through :func:`small_side`.
-    """
-    types = {f.name: f.dataType.typeName() for f in df.schema}
-    key = keys[0]
-    ordinal = key == "date_idx" and types[key] == "integer"
-    day = types[key] == "date"
-    rows = MAX_DATES * rows_per_date
-    if len(keys) > 1 or not (ordinal or day) or rows > BROADCAST_ROWS or rows * _row_bytes(df) > BROADCAST_BYTES:
-        return small_side(df)
-    at = F.col(key) if ordinal else F.datediff(key, F.lit("1990-01-01").cast("date")) + MAX_DATES // 2
-    within = F.col(key).isNull() | ((at >= 0) & (at < MAX_DATES))
-    checked = F.when(within, F.col(key)).otherwise(F.raise_error(F.lit(f"{key} lies outside the {MAX_DATES}-date calendar")))
-    return F.broadcast(df.withColumn(key, checked))
-
-
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join group statistics back to the rows they describe.
 

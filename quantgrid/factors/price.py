@@ -10,12 +10,13 @@ from quantgrid.functions.scalar import log_positive, safe_div
 from quantgrid.operators import rolling as R
 from quantgrid.operators.xsection import cs_zscore, winsor
 
-# Numerator and denominator of the six intrabar ratios.
+# Numerator and denominator of the six intrabar ratios, as features and as model inputs.
 RATIO_PAIRS = (("close", "open"), ("close", "high"), ("close", "low"), ("high", "low"), ("high", "open"), ("low", "open"))
+INPUT_PAIRS = (("close", "open"), ("high", "open"), ("low", "open"), ("high", "close"), ("low", "close"), ("high", "low"))
 
 
-def ratio_features() -> dict[str, Column]:
-    return {f"{a}_to_{b}": safe_div(a, b) for a, b in RATIO_PAIRS}
+def ratio_features(pairs: tuple[tuple[str, str], ...] = RATIO_PAIRS) -> dict[str, Column]:
+    return {f"{a}_to_{b}": safe_div(a, b) for a, b in pairs}
 
 
 def daily_model_inputs(panel: DataFrame, volume: str = "volume", turnover: str = "turnover") -> tuple[DataFrame, list[str]]:
@@ -23,9 +24,9 @@ def daily_model_inputs(panel: DataFrame, volume: str = "volume", turnover: str =
     base = ["open", "high", "low", "close", "log_volume", turnover]
     df = panel.withColumn("log_volume", log_positive(volume))
     df = df.withColumns({f"{c}_pct": R.pct_change(c) for c in base})
-    df = df.withColumns({n: c - 1 for n, c in ratio_features().items()})
+    df = df.withColumns({n: c - 1 for n, c in ratio_features(INPUT_PAIRS).items()})
     df = winsor(cs_zscore(df, base, suffix="_z"), [f"{c}_pct" for c in base], "mad")
-    names = [f"{c}_z" for c in base] + [f"{c}_pct" for c in base] + list(ratio_features())
+    names = [f"{c}_z" for c in base] + [f"{c}_pct" for c in base] + list(ratio_features(INPUT_PAIRS))
     return df, names
 
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantgrid.core import ColumnOrName, attach, calendar_side
+from quantgrid.core import ColumnOrName, attach, small_side
 from quantgrid.functions.scalar import null_if_not_finite
 from quantgrid.operators.order_stats import average_rank
 
@@ -51,7 +51,7 @@ def group_returns(df: DataFrame, pred: str = "pred", label: str = "label", group
     """
     ranked = average_rank(df.select(*by, pred, label), by, pred, "_rank", "_n")
     top = ranked.groupBy(*by).agg(F.max("_rank").alias("_top"))
-    j = ranked.where(F.col("_rank").isNotNull()).join(calendar_side(top, by), list(by))
+    j = ranked.where(F.col("_rank").isNotNull()).join(small_side(top), list(by))
     size = F.floor(F.col("_top") / groups)
     steps = F.try_divide(F.col("_rank"), size.cast("double"))
     if closed:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantgrid.core import ColumnOrName, as_col, calendar_side
+from quantgrid.core import ColumnOrName, as_col, small_side
 
 BUCKETS_PER_DOUBLING = 8192
 NULL_SPREAD = 1024
@@ -59,7 +59,7 @@ def group_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str],
     targets = hist.where(wanted).select(*by, "_f", "_b", start.alias("_off"), "_n")
 
     inside = Window.partitionBy(*by, "_f", "_b").orderBy("_x")
-    near = calendar_side(targets, by, rows_per_date=2 * len(probs) * len(cols))
+    near = small_side(targets)
     exact = (long.join(near, [*by, "_f", "_b"])
              .groupBy(*by, "_f", "_b", "_x", "_off", "_n").agg(F.count(F.lit(1)).alias("_m"))
              .withColumn("_end", F.col("_off") + F.sum("_m").over(inside)))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from quantgrid.core import small_side, stage, tick_window
 from quantgrid.functions.scalar import zero_fill
-from quantgrid.operators.order_stats import group_medians
 from quantgrid.sources.axis import day_map
 
 
@@ -47,7 +46,7 @@ def asof_last(grid: DataFrame, events: DataFrame, cols: Sequence[str], date: str
               tick: str = "tick", together: bool = False) -> DataFrame:
     """grid + the latest values of ``cols`` at or before each row's date.
 
-    Events are unique per (tick, date) (see :func:`dedupe_keep`), which bounds a tick by the calendar.
+    Events are unique per (tick, date) (see :func:`dedupe_keep`), which bounds a tick by the calendar; a repeated one raises.
     One union and one window over tick instead of a range join.  Columns fill
     separately, or as one record when ``together`` (then a NULL field stays NULL).
     """
@@ -55,12 +54,16 @@ def asof_last(grid: DataFrame, events: DataFrame, cols: Sequence[str], date: str
     left = grid.select(tick, date, F.struct(*keep).alias("_g"), F.lit(1).alias("_kind"))
     right = events.select(tick, date, *cols, F.lit(0).alias("_kind"))
     both = left.unionByName(right, allowMissingColumns=True)
-    w = Window.partitionBy(tick).orderBy(date, "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(tick).orderBy(date, "_kind")
+    w = order.rowsBetween(Window.unboundedPreceding, 0)
+    again = (F.col("_kind") == 0) & (F.lag("_kind").over(order) == 0) & (F.lag(date).over(order) == F.col(date))
+    twice = F.raise_error(F.concat(F.lit("two events for "), F.col(tick).cast("string"), F.lit(" on one date"))).cast("int")
+    checked = F.when(again, twice).otherwise(F.col("_kind")).alias("_kind")
     if together:
         rec = F.last(F.when(F.col("_kind") == 0, F.struct(*cols)), ignorenulls=True).over(w)
-        filled = both.withColumn("_r", rec).where(F.col("_kind") == 1)
+        filled = both.select(tick, date, "_g", checked, rec.alias("_r")).where(F.col("_kind") == 1)
         return filled.select(tick, date, "_g.*", *[F.col("_r")[c].alias(c) for c in cols])
-    filled = both.select(tick, date, "_g", "_kind", *[F.last(c, ignorenulls=True).over(w).alias(c) for c in cols])
+    filled = both.select(tick, date, "_g", checked, *[F.last(c, ignorenulls=True).over(w).alias(c) for c in cols])
     return filled.where(F.col("_kind") == 1).select(tick, date, "_g.*", *cols)
 
 
@@ -138,9 +141,8 @@ def latest_per_author(forecasts: DataFrame, keys: Sequence[str] = ("tick", "repo
 
 def consensus_median(forecasts: DataFrame, cols: Sequence[str],
                      keys: Sequence[str] = ("tick", "report_date")) -> DataFrame:
-    """Exact median of each forecast per report, whatever the number of authors."""
-    medians = group_medians(stage(forecasts.select(*keys, *cols)), list(keys), list(cols))
-    return medians.select(*keys, *[F.col(f"{c}_med").alias(c) for c in cols])
+    """Exact median of each forecast per report; authors are unique per report (:func:`latest_per_author`)."""
+    return forecasts.groupBy(*keys).agg(*[F.median(c).alias(c) for c in cols])
 
 
 def merge_actual_forecast(events: DataFrame, other: DataFrame, cols: Sequence[str],

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quantgrid.core import ColumnOrName, as_col, tick_window
+from quantgrid.core import ColumnOrName, as_col, let, tick_window
 from quantgrid.functions.scalar import safe_div
 
 BY = ("tick",)
@@ -86,10 +86,34 @@ def cumulative_ema(x: ColumnOrName, window: int, by: Sequence[str] = BY) -> Colu
     return F.when(den >= 1e-8, F.try_divide(F.sum(x * weight).over(history(by)), den))
 
 
-def recency_weight(halflife: float, origin: ColumnOrName | int = 0) -> Column:
-    """2^(row/halflife): ratios of sums under it weight a row by its age. Scale cancels."""
-    origin = F.lit(origin) if isinstance(origin, int) else as_col(origin)
-    return F.pow(F.lit(2.0), (F.col("date_idx") - origin) / F.lit(float(halflife)))
+def recency_sums(terms: dict[str, Column], mask: Column, window: int, halflife: float, by: Sequence[str] = BY,
+                 skip: int = 0) -> Column:
+    """Struct of the terms' sums over the masked rows of the frame, a row weighted by 2^(-age / halflife).
+
+    All sums of a row share one unknown factor, so use their ratios.  Weights count from the middle of a row's chunk of
+    one frame length, so they neither overflow nor vanish on a long axis; a frame touches two chunks at most, and the
+    older one fades by a whole chunk.  Rows older than 1,074 half-lives have weight 0 in double precision and are left
+    out of the frame.
+    """
+    span = min(window, math.ceil(1074 * halflife))
+    w = past(span, by, skip)
+    row = F.col("date_idx")
+    chunk = F.floor(row / span)
+    weight = F.pow(F.lit(2.0), (row - chunk * span - span / 2.0) / F.lit(float(halflife)))
+    even = F.pmod(chunk, F.lit(2)) == 0
+    fade = 2.0 ** (-span / halflife)
+    parts = {f"{name}{tag}": F.sum(F.when(mask & side, weight * x)).over(w)
+             for name, x in terms.items() for tag, side in (("_even", even), ("_odd", ~even))}
+
+    def both(v: Column) -> Column:
+        out = []
+        for name in terms:
+            new = F.when(v["now_even"], v[f"{name}_even"]).otherwise(v[f"{name}_odd"])
+            old = F.when(v["now_even"], v[f"{name}_odd"]).otherwise(v[f"{name}_even"])
+            out.append(F.when(new.isNull(), old).otherwise(new + F.lit(fade) * F.coalesce(old, F.lit(0.0))).alias(name))
+        return F.struct(*out)
+
+    return let({"now_even": F.pmod(F.floor((row - skip) / span), F.lit(2)) == 0, **parts}, both)
 
 
 def ema(x: ColumnOrName, window: int, span: int | None = None, by: Sequence[str] = BY) -> Column:
@@ -127,17 +151,21 @@ def forward_fill(x: ColumnOrName, by: Sequence[str] = BY) -> Column:
 def exp_weighted_mean(x: ColumnOrName, window: int, halflife: float, full: bool = False,
                       by: Sequence[str] = BY, skip: int = 0) -> Column:
     x = as_col(x)
-    weight, w = recency_weight(halflife), past(window, by, skip)
-    value = F.try_divide(F.sum(weight * x).over(w), F.sum(F.when(x.isNotNull(), weight)).over(w))
+    s = recency_sums({"x": x, "n": F.lit(1.0)}, x.isNotNull(), window, halflife, by, skip)
+    value = let({"s": s}, lambda v: F.try_divide(v["s"]["x"], v["s"]["n"]))
     return when_full(value, window + skip, by) if full else value
 
 
 def exp_weighted_std(x: ColumnOrName, window: int, halflife: float, full: bool = False,
                      by: Sequence[str] = BY) -> Column:
     x = as_col(x)
-    mean = exp_weighted_mean(x, window, halflife, by=by)
-    square = exp_weighted_mean(x * x, window, halflife, by=by)
-    value = F.sqrt(_non_negative(square - mean * mean))
+    sums = recency_sums({"n": F.lit(1.0), "x": x, "xx": x * x}, x.isNotNull(), window, halflife, by)
+
+    def spread(v: Column) -> Column:
+        mean = F.try_divide(v["s"]["x"], v["s"]["n"])
+        return F.sqrt(_non_negative(F.try_divide(v["s"]["xx"], v["s"]["n"]) - mean * mean))
+
+    value = let({"s": sums}, spread)
     return when_full(value, window, by) if full else value
 
 
@@ -146,29 +174,28 @@ def _non_negative(x: Column) -> Column:
 
 
 def weighted_moments(x: ColumnOrName, y: ColumnOrName, window: int, halflife: float,
-                     mask: Column | None = None, by: Sequence[str] = BY) -> dict[str, Column]:
-    """Recency-weighted means, variances and covariance over rows where both sides exist."""
-    x, y, w = as_col(x), as_col(y), past(window, by)
+                     mask: Column | None = None, by: Sequence[str] = BY) -> Column:
+    """Struct (n, mx, my, vx, vy, cov): recency-weighted means, variances and covariance over rows where both sides exist."""
+    x, y = as_col(x), as_col(y)
     both = x.isNotNull() & y.isNotNull()
     if mask is not None:
         both = both & mask
-    weight = F.when(both, recency_weight(halflife))
-    total = F.sum(weight).over(w)
+    sums = recency_sums({"n": F.lit(1.0), "x": x, "y": y, "xx": x * x, "yy": y * y, "xy": x * y}, both, window, halflife, by)
 
-    def mean(z: Column) -> Column:
-        return F.try_divide(F.sum(weight * z).over(w), total)
+    def means(v: Column) -> Column:
+        return F.struct(v["s"]["n"].alias("n"), *[F.try_divide(v["s"][k], v["s"]["n"]).alias(k) for k in ("x", "y", "xx", "yy", "xy")])
 
-    mx, my = mean(x), mean(y)
-    return {"n": total, "mx": mx, "my": my, "vx": mean(x * x) - mx * mx,
-            "vy": mean(y * y) - my * my, "cov": mean(x * y) - mx * my}
+    return let({"m": let({"s": sums}, means)}, lambda v: F.struct(
+        v["m"]["n"].alias("n"), v["m"]["x"].alias("mx"), v["m"]["y"].alias("my"), (v["m"]["xx"] - v["m"]["x"] * v["m"]["x"]).alias("vx"),
+        (v["m"]["yy"] - v["m"]["y"] * v["m"]["y"]).alias("vy"), (v["m"]["xy"] - v["m"]["x"] * v["m"]["y"]).alias("cov")))
 
 
 def rolling_beta(r: ColumnOrName, market: ColumnOrName, window: int, halflife: float,
                  by: Sequence[str] = BY) -> Column:
     """Weighted cov / var of the market; NULL without a joint row, 0 for a flat market."""
     m = weighted_moments(r, market, window, halflife, by=by)
-    flat = m["vy"] <= 1e-18
-    return when_full(F.when(flat, 0.0).otherwise(F.try_divide(m["cov"], m["vy"])), window, by)
+    value = let({"m": m}, lambda v: F.when(v["m"]["vy"] <= 1e-18, 0.0).otherwise(F.try_divide(v["m"]["cov"], v["m"]["vy"])))
+    return when_full(value, window, by)
 
 
 def ew_momentum(excess: ColumnOrName, window: int, halflife: float, skip: int, by: Sequence[str] = BY) -> Column:
@@ -192,8 +219,12 @@ def residual_vol(r: ColumnOrName, market: ColumnOrName, beta: ColumnOrName, wind
                  by: Sequence[str] = BY) -> Column:
     """Weighted deviation of r - beta * market with the window's closing beta."""
     m = weighted_moments(r, market, window, halflife, by=by)
-    b = as_col(beta)
-    return when_full(F.sqrt(_non_negative(m["vx"] - 2 * b * m["cov"] + b * b * m["vy"])), window, by)
+
+    def spread(v: Column) -> Column:
+        b, m = v["b"], v["m"]
+        return F.sqrt(_non_negative(m["vx"] - 2 * b * m["cov"] + b * b * m["vy"]))
+
+    return when_full(let({"b": as_col(beta), "m": m}, spread), window, by)
 
 
 def rolling_slope_over_mean(y: ColumnOrName, window: int, eps: float = 1e-12, by: Sequence[str] = BY) -> Column:

@@ -59,7 +59,7 @@ def cs_zscore_sample(df: DataFrame, cols: Sequence[str], by: Sequence[str] = DAT
     new = {}
     for c in cols:
         sd = F.col(f"{c}_sd")
-        new[c + suffix] = (F.when(sd.isNull() | (sd < 1e-12), 0.0)
+        new[c + suffix] = (F.when(sd.isNull() | (sd == 0), 0.0)
                            .otherwise(F.try_divide(F.col(c) - F.col(f"{c}_mu"), sd)))
     return _with(j, new, [f"{c}_{t}" for c in cols for t in ("mu", "sd")])
 
@@ -169,24 +169,23 @@ def neutralise_event(df: DataFrame, cols: Sequence[str], group: str = "industry"
     """Residual of x on log size inside date and industry.
 
     Mean and variance of log size use every row of the group, the covariance only
-    rows with both sides; slope 0 when that variance is at most 1e-12.  A residual
-    below 1e-9 of its terms is rounding of a perfect fit and reads as 0.
+    rows with both sides (around those means); slope 0 when that variance is at most
+    1e-12.  All moments are centred ones, so a flat group has none of their rounding.
     """
     keys = [*by, group]
     s = F.col(log_size)
     aggs = [F.avg(s).alias("_ms"), F.var_pop(s).alias("_vs")]
     for c in cols:
         x, both = F.col(c), F.when(F.col(c).isNotNull(), s)
-        aggs += [F.avg(x).alias(f"{c}_mx"), F.avg(x * s).alias(f"{c}_mxs"),
+        aggs += [F.avg(x).alias(f"{c}_mx"), F.covar_pop(x, s).alias(f"{c}_mxs"),
                  F.avg(F.when(s.isNotNull(), x)).alias(f"{c}_mxb"), F.avg(both).alias(f"{c}_msb")]
     j = attach(df, df.groupBy(*keys).agg(*aggs).where(F.col(group).isNotNull()), keys)
     new = {}
     for c in cols:
         mx, ms = F.col(f"{c}_mx"), F.col("_ms")
-        cov = F.col(f"{c}_mxs") - mx * F.col(f"{c}_msb") - ms * F.col(f"{c}_mxb") + mx * ms
+        cov = F.col(f"{c}_mxs") + (F.col(f"{c}_mxb") - mx) * (F.col(f"{c}_msb") - ms)
         beta = F.when(F.col("_vs") > 1e-12, cov / F.nullif(F.col("_vs"), F.lit(0.0))).otherwise(0.0)
-        res = F.col(c) - mx - beta * (s - ms)
-        new[c + suffix] = F.when(F.abs(res) <= 1e-9 * (F.abs(c) + F.abs(mx)), 0.0).otherwise(res)
+        new[c + suffix] = F.col(c) - mx - beta * (s - ms)
     return _with(j, new, ["_ms", "_vs"] + [f"{c}_{t}" for c in cols for t in ("mx", "mxs", "mxb", "msb")])
 
 
@@ -220,33 +219,41 @@ def yeo_johnson_lambda(df: DataFrame, x: str, by: Sequence[str] = DATE, levels:
                        low: float = -2.0, high: float = 4.0) -> DataFrame:
     """by + lam: maximum-likelihood exponent per group by successively finer grids.
 
-    Each level tries ``points`` exponents around the best one so far.  Candidates
-    multiply rows only inside the map-side aggregate, so no group meets in a task
-    and the shuffle carries points x groups rows.  Constant groups give no row.
+    Each level tries ``points`` exponents around the best one so far.  A group whose best exponent lies at the edge of
+    its grid moves there with twice the width first, so the start interval is no bound.  Candidates multiply rows only
+    inside the map-side aggregate, so no group meets in a task and the shuffle carries points x groups rows.  Constant
+    groups give no row.
     """
     known = df.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"))
-    step = (high - low) / (points - 1)
-    best = None
-    for level in range(levels):
-        index = F.sequence(F.lit(0), F.lit(points - 1))
+    at = F.sequence(F.lit(0), F.lit(points - 1))
+    best, done = None, None
+    while True:
         if best is None:
-            tried = known.select(*by, "_x", F.explode(F.transform(
-                index, lambda i: F.lit(low) + i * F.lit(step))).alias("_lam"))
+            tried = known.select(*by, "_x", F.lit(low).alias("_low"), F.lit((high - low) / (points - 1)).alias("_step"), F.lit(1).alias("_level"))
         else:
-            width, step = step, 2 * step / (points - 1)
-            w, st = width, step
-            tried = best.join(known, list(by)).select(*by, "_x", F.explode(F.transform(
-                index, lambda i: F.col("lam") - F.lit(w) + i * F.lit(st))).alias("_lam"))
-        y = yeo_johnson_value("_x", "_lam")
-        fit = (tried.groupBy(*by, "_lam")
+            tried = known.join(best, list(by)).select(*by, "_x", "_low", "_step", "_level")
+        tried = tried.select(*by, "_x", "_low", "_step", "_level", F.explode(at).alias("_i"))
+        lam = F.col("_low") + F.col("_i") * F.col("_step")
+        y = yeo_johnson_value("_x", lam)
+        fit = (tried.groupBy(*by, "_low", "_step", "_level", "_i")
                .agg(F.count(F.lit(1)).alias("_n"), F.var_pop(y).alias("_v"),
                     F.sum(F.signum("_x") * F.log1p(F.abs("_x"))).alias("_j"))
-               .where(F.col("_v") > 1e-300)
-               .withColumn("_llf", -F.col("_n") / 2.0 * F.ln("_v") + (F.col("_lam") - 1) * F.col("_j")))
-        best = fit.groupBy(*by).agg(F.max_by("_lam", F.struct("_llf", -F.col("_lam"))).alias("lam"))
-        if level < levels - 1:
-            best = small_side(best)
-    return best
+               .where((F.col("_v") > 1e-300) & (F.col("_v") < float("inf")))
+               .withColumn("_llf", -F.col("_n") / 2.0 * F.ln("_v") + (lam - 1) * F.col("_j")))
+        found = (fit.groupBy(*by, "_low", "_step", "_level").agg(F.max_by("_i", F.struct("_llf", -F.col("_i"))).alias("_i"))
+                 .withColumn("lam", lam).withColumn("_edge", F.col("_i").isin(0, points - 1)))
+        found = small_side(found)
+        open_ = F.col("_edge") | (F.col("_level") < levels)
+        ready = found.where(~open_).select(*by, "lam")
+        done = ready if done is None else done.unionByName(ready)
+        if found.where(open_).isEmpty():
+            return done
+        wide = F.col("_step") * (points - 1)
+        fine = 2 * F.col("_step") / (points - 1)
+        best = small_side(found.where(open_).select(
+            *by, F.when(F.col("_edge"), F.col("lam") - wide).otherwise(F.col("lam") - F.col("_step")).alias("_low"),
+            F.when(F.col("_edge"), 2 * F.col("_step")).otherwise(fine).alias("_step"),
+            F.when(F.col("_edge"), F.col("_level")).otherwise(F.col("_level") + 1).alias("_level")))
 
 
 def yeo_johnson(df: DataFrame, col: str, by: Sequence[str] = DATE, out: str = "yeo", **grid) -> DataFrame:
@@ -287,11 +294,11 @@ def group_softmax(df: DataFrame, col: str, by: Sequence[str], out: str = "softma
 
 def peer_stats(edges: DataFrame, label: DataFrame, y: str, by: Sequence[str] = DATE,
                eps: float = 1e-12) -> DataFrame:
-    """Label against its peers: z-score over the peers' mean and deviation, and plain excess."""
+    """Label against its peers: z-score over the peers' mean and deviation, and plain excess; NULL without peers."""
     peers = edges.join(label.select(*by, F.col("tick").alias("peer_tick"), F.col(y).alias("_py")),
                        [*by, "peer_tick"], "left")
     stats = peers.groupBy(*by, "tick").agg(F.avg("_py").alias("_m"), F.stddev_pop("_py").alias("_s"))
     gap = F.col(y) - F.col("_m")
-    return (label.join(stats, [*by, "tick"])
+    return (label.join(stats, [*by, "tick"], "left")
             .select(*by, "tick", F.when(F.col("_s") > eps, F.try_divide(gap, F.col("_s"))).alias("peer_zscore"),
                     gap.alias("peer_excess")))

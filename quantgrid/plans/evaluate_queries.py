@@ -151,7 +151,7 @@ query("peer_topk_corr", f"{PEERS} select date_idx, tick, peer_tick, {sql_cols(co
                       corr="corr"))
 
 @query("peer_zscore", f"""{PEERS}, l as (select v0.date_idx, v0.tick, v0.y, avg(q.y) as m, stddev_pop(q.y) as s
-  from peers join v0 using (date_idx, tick) left join v0 q on q.date_idx = peers.date_idx and q.tick = peers.peer_tick
+  from v0 left join peers using (date_idx, tick) left join v0 q on q.date_idx = peers.date_idx and q.tick = peers.peer_tick
   group by 1, 2, 3)
 select date_idx, tick, {sql_cols(peer_zscore="case when s > 1e-12 then (y - m) / s end", peer_excess="y - m")} from l""")
 def peer_zscore(s, d):

@@ -119,15 +119,27 @@ query("daily_model_inputs", f"""{P1}, l as (select *, case when volume > 0 then
 x as (select *, {", ".join(f"{pct_sql(c, 1)} as {c}_pct" for c in INPUTS)} from l), {", ".join(_clip_cte(c) for c in INPUTS)}
 select date_idx, tick, {sql_cols(**{f"{c}_z": Z.format(c=c, D=D) for c in INPUTS},
     **{f"{c}_pct": mad_sql(f"{c}_pct").replace("med", f"med_{c}").replace("mad", f"mad_{c}") for c in INPUTS},
-    **{f"{a}_to_{b}": _ratio(a, b) + " - 1" for a, b in PX.RATIO_PAIRS})}
+    close_to_open="case when open = 0 then 0 else close / nullif(open, 0) end - 1",
+    high_to_open="case when open = 0 then 0 else high / nullif(open, 0) end - 1",
+    low_to_open="case when open = 0 then 0 else low / nullif(open, 0) end - 1",
+    high_to_close="case when close = 0 then 0 else high / nullif(close, 0) end - 1",
+    low_to_close="case when close = 0 then 0 else low / nullif(close, 0) end - 1",
+    high_to_low="case when low = 0 then 0 else high / nullif(low, 0) end - 1")}
 from x {" ".join(f"join {c}_d using (date_idx)" for c in INPUTS)}""".replace("/ stddev_pop", "/ stddev_pop"))(
     lambda s, d: show(PX.daily_model_inputs(stage(p1(s, d)), "volume", "volume")[0], KEYS,
                       **{f"{c}_z": f"{c.replace('lv', 'log_volume')}_z" for c in INPUTS},
                       **{f"{c}_pct": f"{c.replace('lv', 'log_volume')}_pct" for c in INPUTS},
-                      **{f"{a}_to_{b}": f"{a}_to_{b}" for a, b in PX.RATIO_PAIRS}))
-
-on_p2("ratio_features", {f"{a}_to_{b}": _ratio(a, b) for a, b in PX.RATIO_PAIRS},
-      **{f"{a}_to_{b}": (lambda n=f"{a}_to_{b}": PX.ratio_features()[n]) for a, b in PX.RATIO_PAIRS})
+                      **{c: c for c in ("close_to_open", "high_to_open", "low_to_open", "high_to_close", "low_to_close", "high_to_low")}))
+
+RATIO_SQL = {
+    "close_to_open": "case when open = 0 then 0 else close / nullif(open, 0) end",
+    "close_to_high": "case when high = 0 then 0 else close / nullif(high, 0) end",
+    "close_to_low": "case when low = 0 then 0 else close / nullif(low, 0) end",
+    "high_to_low": "case when low = 0 then 0 else high / nullif(low, 0) end",
+    "high_to_open": "case when open = 0 then 0 else high / nullif(open, 0) end",
+    "low_to_open": "case when open = 0 then 0 else low / nullif(open, 0) end",
+}
+on_p2("ratio_features", RATIO_SQL, **{n: (lambda n=n: PX.ratio_features()[n]) for n in RATIO_SQL})
 
 
 def ret_sql(n: int) -> str:

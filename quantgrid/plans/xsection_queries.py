@@ -20,7 +20,7 @@ query("cs_zscore", f"""{P1} select date_idx, tick, {sql_cols(
     lambda s, d: show(X.cs_zscore(p1(s, d), ["close", "volume"], suffix="_z"), KEYS, z="close_z", zv="volume_z"))
 
 query("cs_zscore_sample", f"""{P2} select date_idx, tick, {sql_cols(
-    z=f"case when stddev_samp(amount) {DI} is null or stddev_samp(amount) {DI} < 1e-12 then 0 "
+    z=f"case when stddev_samp(amount) {DI} is null or stddev_samp(amount) {DI} = 0 then 0 "
       f"else (amount - avg(amount) {DI}) / stddev_samp(amount) {DI} end")} from p2g""")(
     lambda s, d: show(X.cs_zscore_sample(p2g(s, d), ["amount"], ["date_idx", "industry"], "_z"), KEYS, z="amount_z"))
 
@@ -126,7 +126,7 @@ query("neutralise_event", f"""{P2}, b as (select *, ln(mv) as s from p2g),
 m as (select *, avg(close) {DI} as mx, avg(s) {DI} as ms, var_pop(s) {DI} as vs from b),
 c as (select *, avg((close - mx) * (s - ms)) {DI} as cov from m),
 e as (select *, close - mx - case when vs > 1e-12 then cov / vs else 0 end * (s - ms) as res from c)
-select date_idx, tick, {sql_cols(4, n="case when abs(res) <= 1e-9 * (abs(close) + abs(mx)) then 0 else res end")} from e""")(
+select date_idx, tick, {sql_cols(4, n="res")} from e""")(
     lambda s, d: show(X.neutralise_event(p2g(s, d).withColumn("logmv", X.F.ln("mv")), ["close"]), KEYS, 4, n="close"))
 
 query("fill_industry_median", f"""{P2}, m as (select date_idx, industry, median(close) as med from p2g group by 1, 2)
@@ -137,7 +137,7 @@ select date_idx, tick, {sql_cols(c="coalesce(close, med)")} from p2g left join m
 def _clean_sql(x: str, n: int, source: str, neutral: bool) -> str:
     """One feature through fill, clip, neutralise, z-score; stages are numbered CTEs."""
     fit = "(y - mx - case when vs > 1e-12 then cov / vs else 0 end * (s - ms))"
-    res = f"case when abs({fit}) <= 1e-9 * (abs(y) + abs(mx)) then 0 else {fit} end" if neutral else "y"
+    res = fit if neutral else "y"
     return f"""
 f{n} as (select *, coalesce({x}, median({x}) {DI}) as f from {source}),
 fm{n} as (select *, median(f) {D} as med from f{n}),
@@ -146,7 +146,7 @@ w{n} as (select *, {mad_sql("f")} as y, ln(mv) as s from fd{n}),
 n{n} as (select *, avg(y) {DI} as mx, avg(s) {DI} as ms, var_pop(s) {DI} as vs from w{n}),
 c{n} as (select *, avg((y - mx) * (s - ms)) {DI} as cov from n{n}),
 r{n} as (select date_idx, tick, {res} as r from c{n}),
-z{n} as (select date_idx, tick, case when stddev_samp(r) {D} is null or stddev_samp(r) {D} < 1e-12 then 0
+z{n} as (select date_idx, tick, case when stddev_samp(r) {D} is null or stddev_samp(r) {D} = 0 then 0
   else (r - avg(r) {D}) / stddev_samp(r) {D} end as z from r{n})"""
 
 

@@ -7,16 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantgrid.core import MAX_DATES, attach, stage, tick_window
+from quantgrid.core import BROADCAST_ROWS, attach, stage, tick_window
 
 
 def calendar(df: DataFrame, date: str = "date") -> DataFrame:
-    """One row holding the sorted distinct dates; its length is checked, not assumed."""
-    days = F.sort_array(F.collect_set(F.col(date)))
-    return (df.agg(days.alias("days"))
-              .select(F.when(F.size("days") <= MAX_DATES, F.col("days"))
-                       .otherwise(F.raise_error(F.lit(f"calendar longer than {MAX_DATES} dates")))
-                       .alias("days")))
+    """One row holding the sorted distinct dates."""
+    return df.agg(F.sort_array(F.collect_set(F.col(date))).alias("days"))
 
 
 def date_axis(df: DataFrame, date: str = "date") -> DataFrame:
@@ -46,19 +42,22 @@ def densify(facts: DataFrame, fields: Sequence[str], ticks: DataFrame | None = N
 
     Each fact row fills the gap up to the tick's next fact, so the grid needs no
     cross join and a single exchange on tick; later windows over tick reuse it.
-    ``facts`` must be unique per (tick, date).  ``ticks`` adds ticks without facts,
+    A repeated (tick, date) raises, as every later window counts rows.  ``ticks`` adds ticks without facts,
     ``days`` (from :func:`calendar`) replaces the facts' own dates; facts off the
     calendar or off the ticks drop out.
     """
     days = stage(calendar(facts) if days is None else days)
     dates = days.select(F.posexplode("days").alias("date_idx", "date"))
-    on_axis = facts.select("tick", "date", *fields).join(F.broadcast(dates), "date")
+    few = days.select(F.size("days")).first()[0] <= BROADCAST_ROWS
+    on_axis = facts.select("tick", "date", *fields).join(F.broadcast(dates) if few else dates, "date")
     if ticks is not None:
         on_axis = ticks.select("tick").join(on_axis, "tick", "left")
     w = tick_window()
     last = F.size(days.scalar()) - 1
     start = F.when(F.lag("date_idx").over(w).isNull(), 0).otherwise(F.col("date_idx"))
-    end = F.coalesce(F.lead("date_idx").over(w) - 1, last)
+    after = F.lead("date_idx").over(w)
+    twice = F.raise_error(F.concat(F.lit("two rows for tick "), F.col("tick").cast("string"), F.lit(" on one date"))).cast("int")
+    end = F.when(after == F.col("date_idx"), twice).otherwise(F.coalesce(after - 1, last))
     spans = on_axis.select("tick", *fields, F.col("date_idx").alias("_at"), start.alias("_s"), end.alias("_e"))
     cells = spans.select("tick", *fields, "_at", F.explode(F.sequence("_s", "_e")).alias("date_idx"))
     here = F.col("date_idx") == F.col("_at")
