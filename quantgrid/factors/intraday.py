@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantgrid.core import ColumnOrName, as_col
+from quantgrid.core import ColumnOrName, as_col, stage
 from quantgrid.functions.scalar import safe_div
+from quantgrid.sources.axis import calendar
 
 DAY = ("tick", "date")
 
@@ -27,10 +28,9 @@ def minute_zscore(bars: DataFrame, cols: Sequence[str], trim: tuple[int, int] =
             .where((F.col("_i") > trim[0]) & (F.col("_i") <= F.col("_n") - trim[1])).drop("_i", "_n"))
 
 
-def minute_ratios(bars: DataFrame, cols: Sequence[str] = ("close", "high", "low")) -> DataFrame:
-    """Price over the day's first open; a zero open gives 0."""
-    first = F.min_by("open", "minute_idx").over(Window.partitionBy(*DAY))
-    return (bars.withColumn("_day_open", first)
+def minute_ratios(bars: DataFrame, daily: DataFrame, cols: Sequence[str] = ("close", "high", "low")) -> DataFrame:
+    """Price over the daily panel's open; a zero open gives 0, an unknown one NULL."""
+    return (bars.join(daily.select(*DAY, F.col("open").alias("_day_open")), list(DAY), "left")
             .withColumns({f"{c}_ratio": safe_div(c, "_day_open") for c in cols}).drop("_day_open"))
 
 
@@ -56,17 +56,23 @@ def minute_volume_ratio(bars: DataFrame, col: str = "volume", mode: str = "day",
             .withColumn(f"{col}_ratio", safe_div(col, "_base")).drop("_base"))
 
 
-def minute_panel(bars: DataFrame, minutes: Column, cols: Sequence[str]) -> DataFrame:
+def minute_panel(bars: DataFrame, minutes: Column, cols: Sequence[str], ticks: DataFrame | None = None) -> DataFrame:
     """Every bar time for every tick that traded that day; absent bars are 0.
 
     ``minutes`` is an array of bar times.  A day's bars are laid into a map per
-    (tick, date), at most one entry per bar time, so no grid join is needed.
+    (tick, date), at most one entry per bar time, so no grid join is needed.  With
+    ``ticks`` every listed tick has rows on every date of the bars, NULL on the days it did not trade.
     """
     day = bars.groupBy(*DAY).agg(F.map_from_entries(F.collect_list(
         F.struct("minute_idx", F.struct(*cols)))).alias("_m"))
+    if ticks is not None:
+        days = stage(calendar(bars))
+        listed = ticks.select("tick").distinct().select("tick", F.explode(days.scalar()).alias("date"))
+        day = listed.join(day, list(DAY), "left")
     full = day.select(*DAY, "_m", F.explode(minutes).alias("minute_idx"))
     hit = F.try_element_at("_m", F.col("minute_idx"))
-    return full.select(*DAY, "minute_idx", *[F.coalesce(hit[c], F.lit(0.0)).alias(c) for c in cols])
+    value = {c: F.when(F.col("_m").isNotNull(), F.coalesce(hit[c], F.lit(0.0))) for c in cols}
+    return full.select(*DAY, "minute_idx", *[v.alias(c) for c, v in value.items()])
 
 
 def minute_mask(minute_fields: DataFrame, daily: DataFrame, cols: Sequence[str]) -> DataFrame:

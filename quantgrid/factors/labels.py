@@ -21,17 +21,17 @@ def gross_return(close: ColumnOrName, horizon: int) -> Column:
 
 
 def label_family(panel: DataFrame, r: str, horizons: Sequence[int] = (1, 3, 5, 10), p: float = 0.01,
-                 group: str = "industry", mv: str = "mv", kinds: Sequence[str] = KINDS) -> DataFrame:
+                 group: str = "industry", mv: str = "mv", kinds: Sequence[str] = KINDS, yeo: dict | None = None) -> DataFrame:
     """y<h> and its variants y<h>_<kind> for every horizon.
 
     The window step comes first for all horizons (one exchange on tick), then the
-    per-date steps for all of them together.
+    per-date steps for all of them together.  ``yeo`` sets the exponent search (:func:`xsection.yeo_johnson_lambda`).
     """
     ys = [f"y{h}" for h in horizons]
     df = panel.withColumns({f"y{h}": R.rolling_retprod(r, h) for h in horizons})
     if "yeo" in kinds:
         for y in ys:
-            df = X.yeo_johnson(df, y, out=f"{y}_yeo")
+            df = X.yeo_johnson(df, y, out=f"{y}_yeo", **(yeo or {}))
     if "z" in kinds:
         df = X.cs_zscore(df, ys, suffix="_z")
     if "neutral" in kinds:

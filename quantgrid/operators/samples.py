@@ -29,11 +29,11 @@ def hash_unit(*parts: ColumnOrName) -> Column:
 
 
 def minute_sequences(bars: DataFrame, fields: Sequence[str], trim: tuple[int, int] = (1, 3)) -> DataFrame:
-    """(tick, date, minutes): the day's bars in time order, trimmed; at most one entry per bar time."""
+    """(tick, date, minutes, minute_of_day): the day's bars in time order, trimmed; at most one entry per bar time."""
     rows = bars.groupBy("tick", "date").agg(
         F.sort_array(F.collect_list(F.struct("minute_idx", *fields))).alias("_b"))
     cut = F.slice("_b", trim[0] + 1, F.greatest(F.size("_b") - sum(trim), F.lit(0)))
-    return rows.select("tick", "date", only(cut, fields).alias("minutes"))
+    return rows.select("tick", "date", only(cut, fields).alias("minutes"), F.transform(cut, lambda b: b["minute_idx"]).alias("minute_of_day"))
 
 
 def zero_filled(seq: ColumnOrName, fields: Sequence[str]) -> Column:
@@ -54,7 +54,7 @@ def dead(branches: dict[str, Sequence[str]]) -> Column:
     if len(items) == 1:
         name, fields = items[0]
         return F.exists(name, all_null(fields))
-    lengths = [F.size(b) for b, _ in items]
+    lengths = [F.coalesce(F.size(b), F.lit(0)) for b, _ in items]
     limit = lengths[0]
     for n in lengths[1:]:
         limit = F.least(limit, n)
@@ -75,6 +75,10 @@ def assemble_samples(panel: DataFrame, fields: Sequence[str], lag: int, label: s
                      flatten: bool = False, fill: bool = True, **universe) -> DataFrame:
     """One row per (date_idx, tick): ``daily`` lag array, optional minute, time-code and event branches, label.
 
+    ``minute_idx`` of the bars counts minutes after midnight; with ``time_code`` the minute branch gets
+    ``minute_time_code`` (month, day, weekday, hour, minute) beside the daily ``time_code``.  A day without bars has
+    an empty minute branch.
+
     ``panel`` is dense and carries date, tradable and the label.  Rows follow
     :func:`select_universe`; then samples with a dead step in the named branches
     drop out (all sequence branches by default, the daily one only when
@@ -88,7 +92,9 @@ def assemble_samples(panel: DataFrame, fields: Sequence[str], lag: int, label: s
     checked: dict[str, Sequence[str]] = {"daily": list(fields)}
     if minutes is not None:
         bars, minute_fields = minutes
-        df = df.join(minute_sequences(bars, minute_fields), ["tick", "date"], "left")
+        day = minute_sequences(bars, minute_fields)
+        df = df.join(day, ["tick", "date"], "left").withColumns({c: F.coalesce(c, F.array().cast(day.schema[c].dataType))
+                                                                for c in ("minutes", "minute_of_day")})
         checked["minutes"] = list(minute_fields)
     if events is not None:
         store, event_fields, k = events
@@ -96,12 +102,16 @@ def assemble_samples(panel: DataFrame, fields: Sequence[str], lag: int, label: s
     if time_code:
         df = df.withColumn("time_code", F.transform("seq", lambda s: F.struct(
             s["_month"].alias("month"), s["_day"].alias("day"), s["_weekday"].alias("weekday"))))
+    if time_code and minutes is not None:
+        df = df.withColumn("minute_time_code", F.transform("minute_of_day", lambda m: F.struct(
+            F.month("date").alias("month"), F.dayofmonth("date").alias("day"), F.weekday("date").alias("weekday"),
+            F.floor(m / 60).cast("int").alias("hour"), F.pmod(m, F.lit(60)).cast("int").alias("minute"))))
     df = df.withColumnRenamed("seq", "daily")
     names = ["daily"] if flatten else list(null_filter_branches or checked)
     df = df.where(~F.coalesce(dead({b: checked[b] for b in names}), F.lit(False)))
     for b, f in checked.items():
         df = df.withColumn(b, zero_filled(b, f) if fill else only(b, f))
-    branches = list(checked) + [c for c in ("time_code", "events", "event_mask", "event_age") if c in df.columns]
+    branches = list(checked) + [c for c in ("time_code", "minute_time_code", "events", "event_mask", "event_age") if c in df.columns]
     return df.select("date_idx", "date", "tick", *branches, F.col(label).alias("label"))
 
 

@@ -11,7 +11,7 @@ from quantgrid.factors import intraday as MIN
 from quantgrid.factors import price as PX
 from quantgrid.factors import style as ST
 from quantgrid.operators import rolling as R
-from quantgrid.plans.fixtures import P1, P2, P3, p1, p2, p2g, p3_bars, table
+from quantgrid.plans.fixtures import P1, P2, P3, P3_BARS, p1, p2, p2g, p3_bars, table
 from quantgrid.plans.registry import query, show, sql_cols
 from quantgrid.plans.rolling_queries import (
     ALL, BETA, COV, KEYS, MOM, ORD, SLOPE, VM, VR, W12, W24, corr_sql, ewm_sql, frame, lag_ratio_sql, over_p2, pct_sql)
@@ -192,9 +192,9 @@ query("intraday_rollup", f"{P3} select date, tick, {sql_cols(s='sum(volume)', m=
     lambda s, d: show(MIN.intraday_rollup(p3_bars(s, d), ["volume"]), ["date", "tick"], s="volume_sum", m="volume_mean"))
 
 OPEN = f"first_value(open) over (partition by tick, date order by minute_idx)"
-query("minute_ratios", f"""{P3}, o as (select *, {OPEN} as o from p3_bars) select date, tick, minute_idx::bigint as minute_idx, {sql_cols(
+query("minute_ratios", f"""{P1}, {P3_BARS}, o as (select b.*, p1.open as o from p3_bars b left join p1 on p1.tick = b.tick and p1.date = b.date) select date, tick, minute_idx::bigint as minute_idx, {sql_cols(
     close_ratio=_ratio("close", "o"), high_ratio=_ratio("high", "o"), low_ratio=_ratio("low", "o"))} from o""")(
-    lambda s, d: show(MIN.minute_ratios(p3_bars(s, d)), BAR, close_ratio="close_ratio", high_ratio="high_ratio", low_ratio="low_ratio"))
+    lambda s, d: show(MIN.minute_ratios(p3_bars(s, d), p1(s, d)), BAR, close_ratio="close_ratio", high_ratio="high_ratio", low_ratio="low_ratio"))
 
 query("limit_position", f"""{P3} select date, tick, minute_idx::bigint as minute_idx, {sql_cols(
     p="case when high = low then 0.5 else (close - low) / nullif(high - low, 0) end")} from p3_bars""")(
@@ -207,10 +207,13 @@ from p3_bars join b using (date, tick)""")(
     lambda s, d: show(MIN.minute_volume_ratio(MIN.minute_volume_ratio(p3_bars(s, d)).withColumnRenamed("volume_ratio", "day"),
                                               mode="rolling", days=5), BAR, day="day", rolling="volume_ratio"))
 
-query("minute_pivot_fill", f"""{P3}, d as (select distinct date, tick from p3_bars), g as (select date, tick, m.minute_idx from d, (select unnest(range(24)) as minute_idx) m)
-select date, tick, minute_idx::bigint as minute_idx, coalesce(volume, 0) as volume, coalesce(close, 0) as close
+query("minute_pivot_fill", f"""{P3}, tk as (select distinct user_id as tick from events), dt as (select distinct date from p3_bars),
+d as (select distinct date, tick, true as traded from p3_bars),
+g as (select date, tick, traded, m.minute_idx from dt cross join tk left join d using (date, tick) cross join (select unnest(range(24)) as minute_idx) m)
+select date, tick, minute_idx::bigint as minute_idx, case when traded then coalesce(volume, 0) end as volume, case when traded then coalesce(close, 0) end as close
 from g left join p3_bars using (date, tick, minute_idx)""")(
-    lambda s, d: MIN.minute_panel(p3_bars(s, d), F.sequence(F.lit(0), F.lit(23)), ["volume", "close"])
+    lambda s, d: MIN.minute_panel(p3_bars(s, d), F.sequence(F.lit(0), F.lit(23)), ["volume", "close"],
+                                  table(s, d, "events").select(F.col("user_id").alias("tick")))
     .withColumn("minute_idx", F.col("minute_idx").cast("bigint")))
 
 query("mask_untraded_minutes", f"""{P3}, {P1[5:]} select b.date, b.tick, minute_idx::bigint as minute_idx,

@@ -171,18 +171,15 @@ query("yoy_self_join", f"{REPORTS}, {YOY} select tick, report_date, {sql_cols(d=
     lambda s, d: show(P.yoy(reports(s, d).withColumn("v2", F.col("value")), ["value"], ["v2"]), ["tick", "report_date"],
                       d="value_yoy", q="v2_yoy"))
 
-LASTK = f"""{MONTHS}, ev as (select e1.tick, m.date_idx as eff, event_id, value from e1
+LASTK = f"""{MONTHS}, ev as (select e1.tick, m.date_idx as eff, event_id, value,
+  row_number() over (partition by e1.tick order by m.date_idx, event_id) as pos from e1
   join m_days m on m.date = cast(date_trunc('month', e1.date) + interval 1 month as date)),
-lk as (select g.date_idx, g.tick, e.eff, e.event_id, e.value,
-  row_number() over (partition by g.date_idx, g.tick order by e.eff desc, e.event_id desc) as rn
-  from grid g join ev e on e.tick = g.tick and e.eff {{op}} g.date_idx),
-ag as (select date_idx, tick, list(value order by eff, event_id) as v, list(date_idx - eff order by eff, event_id) as a
-  from lk where rn <= 3 group by 1, 2)"""
-LASTK_OUT = """select g.date_idx, g.tick,
-  list_concat(list_resize(cast([] as double[]), 3 - coalesce(len(v), 0), 0.0), coalesce(v, [])) as values,
-  list_concat(list_resize(cast([] as double[]), 3 - coalesce(len(v), 0), 0.0), list_resize(cast([] as double[]), coalesce(len(v), 0), 1.0)) as event_mask,
-  list_concat(list_resize(cast([] as bigint[]), 3 - coalesce(len(a), 0), -1), coalesce(a, [])) as event_age
-from grid g left join ag using (date_idx, tick)"""
+cu as (select tick, eff, max(pos) as n from ev group by 1, 2),
+gn as (select g.date_idx, g.tick, coalesce(cu.n, 0) as n from grid g asof left join cu on cu.tick = g.tick and g.date_idx {{op}} cu.eff)
+select gn.date_idx, gn.tick, """ + ", ".join(
+    f"coalesce(e{i}.value, 0) as value_{i}, (case when e{i}.pos is null then 0 else 1 end)::double as mask_{i}, "
+    f"coalesce(gn.date_idx - e{i}.eff, -1) as age_{i}" for i in (1, 2, 3)) + " from gn " + " ".join(
+    f"left join ev e{i} on e{i}.tick = gn.tick and e{i}.pos = gn.n - {3 - i}" for i in (1, 2, 3))
 
 
 def month_events(s, d) -> DataFrame:
@@ -194,12 +191,14 @@ def month_events(s, d) -> DataFrame:
 
 def _last_k(s, d, today):
     out = P.pit_last_k(month_grid(s, d), month_events(s, d), ["value"], k=3, include_today=today)
-    return out.select(F.col("date_idx").cast("bigint").alias("date_idx"), "tick", F.col("events.value").alias("values"),
-                      "event_mask", F.col("event_age").cast("array<bigint>").alias("event_age"))
+    slots = [c for i in (1, 2, 3) for c in (
+        F.col("events.value")[i - 1].alias(f"value_{i}"), F.col("event_mask")[i - 1].alias(f"mask_{i}"),
+        F.col("event_age")[i - 1].cast("bigint").alias(f"age_{i}"))]
+    return out.select(F.col("date_idx").cast("bigint").alias("date_idx"), "tick", *slots)
 
 
-query("pit_last_k", LASTK.replace("{op}", "<=") + LASTK_OUT)(lambda s, d: _last_k(s, d, True))
-query("pit_last_k_before_today", LASTK.replace("{op}", "<") + LASTK_OUT)(lambda s, d: _last_k(s, d, False))
+query("pit_last_k", LASTK.replace("{op}", ">="))(lambda s, d: _last_k(s, d, True))
+query("pit_last_k_before_today", LASTK.replace("{op}", ">"))(lambda s, d: _last_k(s, d, False))
 
 @query("panel_gather", f"""{FORWARD} select e.tick, e.event_id, p.amount from e1 e left join
   (select o_custkey as tick, date_trunc('month', o_orderdate) as m, sum(cast(floor(o_totalprice * 100 + 0.5) as bigint)) / 100.0::double as amount
@@ -269,6 +268,51 @@ select tick as event_id, {sql_cols(4, value_yoy="z1.z", qty_qoq="z2.z")} from z1
                                       ["value_yoy", "qty_qoq"], by=["month"]), ["event_id"], 4,
                       value_yoy="value_yoy", qty_qoq="qty_qoq"))
 
+# The full set of 62: 22 levels, 17 year-on-year and 17 quarter-on-quarter changes, 6 surprises, all through the cleaning.
+LEVELS = [f"l{i}" for i in range(22)]
+WIDE = [*LEVELS, *[f"l{i}_yoy" for i in range(17)], *[f"l{i}_qoq" for i in range(17)], *[f"l{i}_sue" for i in range(6)]]
+
+
+def _level_sql(i: int, x: str = "value") -> str:
+    return f"(floor({x} * 100 + 0.5)::bigint * {2 * i + 3} % 10007)::double + {i + 1}"
+
+
+def _level(i: int, x: str = "value"):
+    return F.pmod(F.floor(F.col(x) * 100 + 0.5) * (2 * i + 3), F.lit(10007)).cast("double") + (i + 1)
+
+
+def wide_reports(s, d) -> DataFrame:
+    r = feature_reports(s, d)
+    return r.select("tick", "report_date", "event_id", "month", "industry", "logmv", *[_level(i).alias(f"l{i}") for i in range(22)],
+                    *[_level(i, "forecast_value").alias(f"forecast_l{i}") for i in range(6)])
+
+
+PRIOR = "over (partition by a.tick order by a.report_date rows between 12 preceding and 1 preceding)"
+WIDE_SQL = f"""{MERGED}, fr as (select m.*, n_regionkey as industry, value as mv,
+  cast(date_trunc('month', m.date) + interval 1 month as date) as date_idx, {", ".join(f"{_level_sql(i)} as l{i}" for i in range(22))},
+  {", ".join(f"{_level_sql(i, 'f_value')} as f{i}" for i in range(6))}
+  from merged m left join customer on c_custkey = m.tick left join nation on n_nationkey = c_nationkey),
+ws as (select a.date_idx, a.event_id as tick, a.industry, a.mv, {", ".join(f"a.l{i}" for i in range(22))},
+  {", ".join(f"a.l{i} - b.l{i} as l{i}_yoy, a.l{i} - lag(a.l{i}) over w as l{i}_qoq" for i in range(14))},
+  {", ".join(f"a.l{i} / nullif(b.l{i}, 0) - 1 as l{i}_yoy, a.l{i} / nullif(lag(a.l{i}) over w, 0) - 1 as l{i}_qoq" for i in range(14, 17))},
+  {", ".join(f"(a.l{i} - a.f{i}) / nullif(stddev_pop(a.l{i}) {PRIOR}, 0) as l{i}_sue" for i in range(6))}
+  from fr a left join fr b on b.tick = a.tick and b.report_date = last_day(a.report_date - interval 1 year)
+  window w as (partition by a.tick order by a.report_date)),
+wq as (select date_idx, tick, industry, mv, {", ".join(f"floor({c} * 1024 + 0.5) / 1024.0::double as {c}" for c in WIDE)} from ws)"""
+
+
+@query("event_feature_clean_wide", WIDE_SQL + ",".join(["", *[_clean_sql(c, i, "wq", True) for i, c in enumerate(WIDE)]]) + f"""
+select tick as event_id, {sql_cols(4, **{c: f"z{i}.z" for i, c in enumerate(WIDE)})}
+from z0 {" ".join(f"join z{i} using (date_idx, tick)" for i in range(1, 62))}""")
+def event_feature_clean_wide(s, d):
+    df, names = EV.event_feature_set(wide_reports(s, d), LEVELS, LEVELS[:14], LEVELS[14:17], LEVELS[:6])
+    assert names == WIDE
+    # Dyadic values add up exactly, so a flat group is flat on both sides.
+    exact = [(F.floor(F.col(c) * 1024 + 0.5) / 1024.0).alias(c) for c in names]
+    panel = stage(df.select("event_id", "month", "industry", "logmv", *exact))
+    return show(X.clean_feature(panel, names, by=["month"]), ["event_id"], 4, **{c: c for c in names})
+
+
 W = "over (partition by tick order by date_idx rows between unbounded preceding and current row)"
 EPANEL = f"""{MONTHS}, ev as (select e1.tick, m.date_idx, arg_max(value, event_id) as x from e1
   join m_days m on m.date = cast(date_trunc('month', e1.date) + interval 1 month as date) group by 1, 2),

@@ -11,7 +11,7 @@ from quantgrid.operators import rolling as R
 from quantgrid.operators import samples as S
 from quantgrid.operators import walkforward as W
 from quantgrid.operators.spectrum import dominant_periods
-from quantgrid.plans.fixtures import P1, P2, p1, p2, p2g
+from quantgrid.plans.fixtures import P1, P2, P3_BARS, p1, p2, p2g, p3_bars
 from quantgrid.plans.evaluate_queries import ic_sql
 from quantgrid.plans.registry import query, rnd, show, sql_cols
 from quantgrid.plans.rolling_queries import frame
@@ -125,6 +125,25 @@ def _batch_samples(s, d):
                      rnd("label").alias("label"))
 
 
+@query("minute_branch_samples", f"""{P1}, {P3_BARS}, b as (select *, {retprod_sql(3)} as y, coalesce(volume >= 2, false) as tradable from p1),
+q as (select date_idx, date, tick, list(close) {frame(-3)} as c, y, tradable from b),
+ok as (select * from q where date_idx >= 3 and tradable and y is not null),
+mb as (select tick, date, list(close order by minute_idx) as mc, list(volume order by minute_idx) as mv, list(minute_idx::bigint order by minute_idx) as h
+  from p3_bars group by 1, 2),
+mt as (select tick, date, mc[2:len(mc) - 3] as mc, mv[2:len(mv) - 3] as mv, h[2:len(h) - 3] as h from mb where len(h) > 4),
+j as (select ok.*, coalesce(mt.mc, []) as mc, coalesce(mt.mv, []) as mv, coalesce(mt.h, []) as h from ok left join mt using (tick, date))
+select date_idx, tick, {ZC.format("c", "closes")}, {ZC.format("mc", "minute_closes")}, {ZC.format("mv", "minute_volumes")}, h as hours,
+  list_transform(h, lambda x: 0::bigint) as minutes, list_transform(h, lambda x: (isodow(date) - 1)::bigint) as weekdays, {sql_cols(label="y")}
+from j where len(list_filter(range(1, least(4, len(mc)) + 1), lambda i: c[i] is null and mc[i] is null and mv[i] is null)) = 0""")
+def _minute_samples(s, d):
+    panel = p1(s, d).withColumns({"y": R.rolling_retprod("r", 3), "tradable": F.coalesce(F.col("volume") >= 2, F.lit(False))})
+    bars = p3_bars(s, d).withColumn("minute_idx", F.col("minute_idx") * 60)
+    df = S.assemble_samples(panel, ["close"], 4, "y", minutes=(bars, ["close", "volume"]), time_code=True)
+    code = {n: F.col(f"minute_time_code.{c}").cast("array<bigint>").alias(n) for n, c in (("hours", "hour"), ("minutes", "minute"), ("weekdays", "weekday"))}
+    return df.select(big(), "tick", F.col("daily.close").alias("closes"), F.col("minutes.close").alias("minute_closes"),
+                     F.col("minutes.volume").alias("minute_volumes"), *code.values(), rnd("label").alias("label"))
+
+
 query("flatten_samples", f"""{LISTS} select date_idx, tick, {ZC.format("c", "closes")}, {ZC.format("v", "volumes")}, {sql_cols(label="y")}
 from ok where pool and {ALIVE}""")(
     lambda s, d: S.assemble_samples(base(s, d), ["close", "volume"], 4, "y", mode="pool", pool="pool", flatten=True).select(

@@ -8,7 +8,7 @@ from quantgrid.core import stage
 from quantgrid.factors.style import market_return
 from quantgrid.operators import xsection as X
 from quantgrid.plans.fixtures import P1, P2, p1, p2, p2g
-from quantgrid.plans.registry import query, show, sql_cols
+from quantgrid.plans.registry import query, rnd, show, sql_cols
 
 KEYS = ["date_idx", "tick"]
 D = "over (partition by date_idx)"
@@ -199,16 +199,28 @@ def retprod_sql(w: int) -> str:
 
 
 @query("label_family", f"""{P2}, y as (select *, {retprod_sql(1)} as y1, {retprod_sql(3)} as y3 from p2g),
+x as (select date_idx, y3 as x from y where y3 is not null),
+{_level(1, "x, range(21) s(i)", "-80.0::double + i * 8.0::double")},
+{_level(2, "x join l1 using (date_idx), range(21) s(i)", "lam - 8.0::double + i * 0.8::double")},
+{_level(3, "x join l2 using (date_idx), range(21) s(i)", "lam - 0.8::double + i * 0.08::double")},
+yt as (select date_idx, tick, {yj_sql('y3', 'lam')} as t from y left join l3 using (date_idx)),
+yz as (select date_idx, tick, case when stddev_pop(t) {D} >= 1e-8 then (t - avg(t) {D}) / stddev_pop(t) {D} end as y3_yeo from yt),
+nb as (select date_idx, tick, industry, case when y3 is not null and mv > 0 then y3 end as x, case when y3 is not null and mv > 0 then ln(mv) end as z from y),
+nm as (select *, (avg(x) {DI} * avg(z) {DI} - avg(x * z) {DI}) / (avg(z) {DI} * avg(z) {DI} - avg(z * z) {DI} + 1e-6) as slope,
+  avg(x) {DI} as mx, avg(z) {DI} as ms from nb),
+ne as (select date_idx, tick, industry, x - slope * z - (mx - slope * ms) as res from nm),
+nz as (select date_idx, tick, (res - avg(res) {DI}) / (stddev_pop(res) {DI} + 1e-6) as y3_neutral from ne),
 k as (select *, {rank_sql("y3")} as rk, count(y3) {D} as n from y),
 q as (select date_idx, quantile_cont(y3, 0.1::double) as lo, quantile_cont(y3, 0.9::double) as hi from y group by 1)
 select date_idx, tick, {sql_cols(
     y1="y1", y3="y3", y3_z=f"case when stddev_pop(y3) {D} >= 1e-8 then (y3 - avg(y3) {D}) / stddev_pop(y3) {D} end",
     y3_rank="(rk - 1) / case when n > 1 then n - 1 else 1 end",
     y3_shrink="case when y3 < lo then lo - (lo - y3) * 0.5 when y3 > hi then hi + (y3 - hi) * 0.5 else y3 end",
+    y3_yeo="floor(y3_yeo * 1000 + 0.5) / 1000.0::double", y3_neutral="floor(y3_neutral * 10000 + 0.5) / 10000.0::double",
     gross="lead(close, 4) over (partition by tick order by date_idx) / nullif(lead(close, 1) over (partition by tick order by date_idx), 0)")}
-from k left join q using (date_idx)""")
+from k left join q using (date_idx) left join yz using (date_idx, tick) left join nz using (date_idx, tick)""")
 def label_family(s, d):
     from quantgrid.factors.labels import gross_return, label_family as op
-    df = op(stage(p2g(s, d)), "r", [1, 3], p=0.1, kinds=("raw", "z", "rank", "shrink"))
+    df = op(stage(p2g(s, d)), "r", [1, 3], p=0.1, yeo={"low": -80.0, "high": 80.0, "levels": 3})
     df = df.withColumn("gross", gross_return("close", 3))
-    return show(df, KEYS, y1="y1", y3="y3", y3_z="y3_z", y3_rank="y3_rank", y3_shrink="y3_shrink", gross="gross")
+    return show(df, KEYS, y3_yeo=rnd("y3_yeo", 3), y3_neutral=rnd("y3_neutral", 4), y1="y1", y3="y3", y3_z="y3_z", y3_rank="y3_rank", y3_shrink="y3_shrink", gross="gross")
