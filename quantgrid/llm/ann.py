@@ -207,15 +207,18 @@ def route(queries: DataFrame, router: Router | None) -> DataFrame:
     return queries.mapInPandas(run, f"vec_id long, embedding {kind}, visit array<int>")
 
 
-def top_k(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> pd.DataFrame:
+def top_k(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, allowed: np.ndarray | None = None) -> pd.DataFrame:
     """query_id, vec_id, score of the k nearest candidates (all, if fewer) other than the query itself.
 
     A fast product preselects with room for rounding; scores are then summed in one fixed order, so equal vectors tie.
+    ``allowed`` masks the candidates of each query.
     """
     out = []
     for at in range(0, len(q), 256):
         s = q[at:at + 256] @ c.T
         s[qid[at:at + 256, None] == cid[None, :]] = -np.inf
+        if allowed is not None:
+            s[~allowed[at:at + 256]] = -np.inf
         kth = np.partition(s, len(cid) - k, 1)[:, len(cid) - k] if len(cid) > k else np.full(len(s), -np.inf)
         for i, row in enumerate(s):
             few = np.flatnonzero((row >= kth[i] - 1e-9 * (1 + abs(kth[i]))) & (row > -np.inf)) if kth[i] > -np.inf else np.flatnonzero(row > -np.inf)
@@ -227,27 +230,52 @@ def top_k(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int
     return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out)))))
 
 
+def shards_of(rows: dict[int, int]) -> dict[int, int]:
+    """Shard of each part: neighbouring parts together while they fit a block, a larger part alone."""
+    out, shard, held = {}, -1, BLOCK_ROWS
+    for p in sorted(rows):
+        if held + rows[p] > BLOCK_ROWS:
+            shard, held = shard + 1, 0
+        out[p], held = shard, held + rows[p]
+    return out
+
+
 def search(indexed: DataFrame, routed: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows of the visited parts, block against block."""
+    """query_id, rank, vec_id, score: the k nearest rows of the visited parts.
+
+    Parts that fit one block share a task, which ranks a query's visited parts together, so a query yields k rows per
+    shard and not per part.
+    """
     rows = {r["part"]: r["n"] for r in indexed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    asked = {r["part"]: r["n"] for r in routed.select(F.explode("visit").alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shard = shards_of(rows)
     spark = indexed.sparkSession
-    cuts = F.broadcast(spark.createDataFrame(  # one row per part, MAX_PARTS at most
-        [(p, -(-n // BLOCK_ROWS), max(1, -(-asked.get(p, 0) // QUERY_ROWS))) for p, n in rows.items()], "part int, blocks int, groups int"))
+    places = F.broadcast(spark.createDataFrame([(p, s) for p, s in shard.items()], "part int, shard int"))  # MAX_PARTS rows at most
+    size: dict[int, int] = {}
+    for p, n in rows.items():
+        size[shard[p]] = size.get(shard[p], 0) + n
+    visits = (routed.select("vec_id", F.explode("visit").alias("part")).join(places, "part").select("vec_id", "shard").distinct())
+    asked = {r["shard"]: r["n"] for r in visits.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
+    cuts = F.broadcast(spark.createDataFrame(
+        [(s, -(-n // BLOCK_ROWS), max(1, -(-asked.get(s, 0) // QUERY_ROWS))) for s, n in size.items()], "shard int, blocks int, groups int"))
     cells = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = (indexed.join(cuts, "part").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
-            .withColumn("group", cells("groups")).select("part", "block", "group", "vec_id", "embedding"))
-    right = (routed.select("vec_id", "embedding", F.explode("visit").alias("part")).join(cuts, "part")
+    left = (indexed.join(places, "part").join(cuts, "shard").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
+            .withColumn("group", cells("groups")).select("shard", "block", "group", "part", "vec_id", "embedding"))
+    own = F.array_distinct(F.transform("visit", lambda p: F.get(F.lit([shard.get(p, -1) for p in range(max(shard, default=0) + 1)]), p)))
+    right = (routed.select("vec_id", "embedding", "visit", F.explode(own).alias("shard")).join(cuts, "shard")
              .withColumn("group", F.pmod(F.xxhash64("vec_id", F.lit(1)), "groups").cast("int"))
-             .withColumn("block", cells("blocks")).select("part", "block", "group", F.col("vec_id").alias("query_id"), "embedding"))
+             .withColumn("block", cells("blocks")).select("shard", "block", "group", F.col("vec_id").alias("query_id"), "embedding", "visit"))
 
     def run(key, c, q):
         if not len(c) or not len(q):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        part = c["part"].to_numpy()
+        seen = np.zeros((len(q), max(int(part.max()), max(int(v.max()) for v in q["visit"])) + 1), bool)
+        for i, v in enumerate(q["visit"]):
+            seen[i, v] = True
         return top_k(q["query_id"].to_numpy(), np.stack(q["embedding"]).astype(np.float64),
-                     c["vec_id"].to_numpy(), np.stack(c["embedding"]).astype(np.float64), k)
+                     c["vec_id"].to_numpy(), np.stack(c["embedding"]).astype(np.float64), k, seen[:, part])
 
-    found = left.groupBy("part", "block", "group").cogroup(right.groupBy("part", "block", "group")).applyInPandas(
+    found = left.groupBy("shard", "block", "group").cogroup(right.groupBy("shard", "block", "group")).applyInPandas(
         run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
