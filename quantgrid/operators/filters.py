@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantgrid.core import ColumnOrName, as_col, attach, tick_window
+from quantgrid.core import ColumnOrName, as_col, attach, small_side, tick_window
 from quantgrid.operators.pit import asof_last
 
+SHARES = 64
+
 
 def range_filter(df: DataFrame, start=None, end=None, date: str = "date") -> DataFrame:
     if start is not None:
@@ -90,11 +92,15 @@ def tradable_flag(panel: DataFrame, status: DataFrame, listing: DataFrame, min_l
 
 def sample_per_date(df: DataFrame, n: int, seed: int = 0, by: str = "date_idx", key: str = "tick",
                     strict: bool = True) -> DataFrame:
-    """Exactly n ticks per date in the order of a seeded hash; ``strict`` raises where there are fewer."""
+    """Exactly n ticks per date in the order of a seeded hash; ``strict`` raises where there are fewer.
+
+    Rows are first ranked inside hashed shares of a date, so that only n rows of each share meet in the date's task.
+    """
     order = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col(by).cast("string"), F.lit(str(seed))))
+    hashed = df.withColumn("_h", order).withColumn("_part", F.pmod(F.xxhash64(key), F.lit(SHARES)))
+    near = hashed.withColumn("_rn", F.row_number().over(Window.partitionBy(by, "_part").orderBy("_h", key))).where(F.col("_rn") <= n)
     w = Window.partitionBy(by).orderBy("_h", key)
-    picked = (df.withColumn("_h", order).withColumn("_rn", F.row_number().over(w))
-              .where(F.col("_rn") <= n).drop("_rn", "_h"))
+    picked = near.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn", "_h", "_part")
     if not strict:
         return picked
     sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
@@ -157,8 +163,8 @@ def drop_any_null_sequences(samples: DataFrame, fields: Sequence[str], seq: str
 def duplicate_report(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All copies of rows whose key occurs more than once.
 
-    Keys are counted with map-side combine and only the repeated ones join back,
-    so a heavily repeated key is never gathered.
+    Keys are counted with map-side combine and only the repeated ones join back: by broadcast when their measured
+    size allows, else by a join whose skewed side Spark splits.
     """
     repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 1).drop("_c")
-    return df.join(repeated, list(keys), "left_semi")
+    return df.join(small_side(repeated), list(keys), "left_semi")

@@ -2,36 +2,35 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantgrid.core import small_side
 
 
 def amplitudes(panel: DataFrame, col: str, key: str = "tick") -> DataFrame:
-    """(key, amp): amplitude of frequency 0 ... T/2 of each tick's series, NULL read as 0.
+    """(key, length, freq, amp): amplitude of frequency 0 ... T/2 of each tick's series, NULL read as 0.
 
-    A series has at most one value per calendar date, so the array is bounded;
-    the transform itself is a vectorised FFT on Arrow batches of arrays.
+    Every value meets its series' frequencies and adds to two sums per frequency; the rows of a tick are already
+    together, so the sums need no further exchange.
     """
-    series = panel.groupBy(key).agg(F.sort_array(F.collect_list(
-        F.struct("date_idx", F.coalesce(F.col(col).cast("double"), F.lit(0.0)).alias("v")))).alias("_s"))
-
-    @F.pandas_udf("array<double>")
-    def spectrum(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: np.abs(np.fft.rfft(np.asarray(v, dtype=np.float64))))
-
-    return series.select(key, F.size("_s").alias("length"), spectrum(F.transform("_s", lambda s: s["v"])).alias("amp"))
+    tick = Window.partitionBy(key)
+    rows = panel.select(key, F.coalesce(F.col(col).cast("double"), F.lit(0.0)).alias("_v"),
+                        (F.row_number().over(tick.orderBy("date_idx")) - 1).alias("_t"), F.count(F.lit(1)).over(tick).alias("length"))
+    each = rows.select(key, "length", "_v", "_t", F.explode(F.sequence(F.lit(0), F.floor(F.col("length") / 2).cast("int"))).alias("freq"))
+    # The turn is reduced to one circle in integers, where the cosine is most exact.
+    angle = F.lit(2 * math.pi) * F.pmod(F.col("freq").cast("long") * F.col("_t"), F.col("length")) / F.col("length")
+    re, im = F.sum(F.col("_v") * F.cos(angle)), F.sum(F.col("_v") * F.sin(angle))
+    return each.groupBy(key, "length", "freq").agg(F.sqrt(re * re + im * im).alias("amp"))
 
 
 def dominant_periods(panel: DataFrame, col: str, k: int = 2, key: str = "tick") -> tuple[DataFrame, DataFrame]:
     """(top, per_series): the k strongest frequencies by mean amplitude with period T // f, and each series' amplitude there."""
-    amp = amplitudes(panel, col, key)
-    flat = amp.select(key, "length", F.posexplode("amp").alias("freq", "a")).where(F.col("freq") > 0)
-    mean = flat.groupBy("freq").agg(F.avg("a").alias("mean_amp"), F.max("length").alias("_t"))
+    flat = amplitudes(panel, col, key).where(F.col("freq") > 0)
+    mean = flat.groupBy("freq").agg(F.avg("amp").alias("mean_amp"), F.max("length").alias("_t"))
     top = (mean.orderBy(F.desc(F.round("mean_amp", 6)), "freq").limit(k)
            .select("freq", F.floor(F.col("_t") / F.col("freq")).alias("period"), "mean_amp"))
     top = small_side(top)
-    return top, flat.join(top.select("freq", "period"), "freq").select(key, "freq", "period", F.col("a").alias("amp"))
+    return top, flat.join(top.select("freq", "period"), "freq").select(key, "freq", "period", "amp")

@@ -61,14 +61,37 @@ def concat_windows(predictions: DataFrame, keys: Sequence[str] = ("date", "tick"
 
 
 def moments(rows: DataFrame, features: Sequence[str], label: str | None, by: Sequence[str]) -> DataFrame:
-    """by + n, feature means and the flattened centred covariance (with the label last when given)."""
-    names = [*features, *([label] if label else [])]
+    """by + n, feature means and the flattened centred covariance (upper triangle, label last when given).
+
+    Means first; then each task adds up one matrix product per group around them, and the entries are summed with
+    map-side combine.  The plan does not grow with the number of feature pairs.
+    """
+    names, by = [*features, *([label] if label else [])], list(by)
     known = rows
     for c in names:
         known = known.where(F.col(c).isNotNull())
-    cov = [F.covar_pop(a, b) for i, a in enumerate(names) for b in names[i:]]
-    return known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(c) for c in names]).alias("mean"),
-                                  F.array(*cov).alias("cov"))
+    m = len(names)
+    upper = np.triu_indices(m)
+    key = F.struct(*[F.col(b).alias(b) for b in by]) if by else F.struct(F.lit(0).alias("_all"))
+    tall = known.select(F.to_json(key).alias("_k"), *by, F.array(*[F.col(c).cast("double") for c in names]).alias("_v"))
+    centre = small_side(tall.groupBy("_k", *by).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(F.col("_v")[i]) for i in range(m)]).alias("mean")))
+
+    def products(batches):
+        total: dict[str, np.ndarray] = {}
+        for pdf in batches:
+            for k, g in pdf.groupby("_k", sort=False):
+                x = np.stack(g["_v"].to_list()) - np.asarray(g["mean"].iloc[0])
+                p = (x.T @ x)[upper]
+                total[k] = total[k] + p if k in total else p
+        for k, p in total.items():
+            yield pd.DataFrame({"_k": k, "_i": np.arange(len(p), dtype=np.int32), "_p": p})
+
+    around = (tall.select("_k", "_v").join(centre.select("_k", "mean"), "_k") if by
+              else tall.select("_k", "_v").withColumn("mean", centre.select("mean").scalar()))
+    sums = around.mapInPandas(products, "_k string, _i int, _p double").groupBy("_k", "_i").agg(F.sum("_p").alias("_p"))
+    flat = sums.groupBy("_k").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_p"))), lambda e: e["_p"]).alias("_p"))
+    whole = centre.join(flat, "_k") if by else centre.withColumn("_p", flat.select("_p").scalar())
+    return whole.select(*by, "n", "mean", F.transform("_p", lambda p: p / F.col("n")).alias("cov"))
 
 
 def _square(flat: np.ndarray, m: int) -> np.ndarray:

@@ -157,7 +157,3 @@ E1 = """with e1 as (select o_custkey as tick, cast(o_orderdate as date) as date,
   max(o_orderkey) as event_id from orders group by 1, 2),
 e1_days as (select date, row_number() over (order by date) - 1 as date_idx
   from (select distinct cast(o_orderdate as date) as date from orders) where isodow(date) < 6)"""
-
-
-def first_ticks(df: DataFrame) -> DataFrame:
-    return df.select("tick").distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantgrid.core import stage
@@ -230,6 +230,42 @@ g as (select dim, m0, m1, sign(case when round(abs(q), 9) > round(abs(p), 9) the
 select date_idx, tick, dim::bigint as dim, {sql_cols(value="sg * (p * (x0 - m0) + q * (x1 - m1))")} from k, g""")(
     lambda s, d: show(W.score_embeddings(p2(s, d), "volume", 2, 2), ["date_idx", "tick", "dim"], value="value"))
 
+# Moments at the reference's widths: 18 features per window, 60 lags in one group.
+LAGGED = [f"{x}_{i}" for x in ("x1", "x2") for i in range(9)]
+PAIRS18 = [(a, b) for i, a in enumerate([*LAGGED, "y"]) for b in [*LAGGED, "y"][i:]]
+
+
+@query("walk_forward_moments", f"""{P2}, {WIN}, f as (select date, tick, {retprod_sql(3)} as y, {", ".join(
+    f"lag({e}, {i}) over (partition by tick order by date_idx) as {x}_{i}" for x, e in (("x1", "r"), ("x2", "ln(volume)")) for i in range(9))} from p2),
+tr as (select "window", f.* from f join win on date between "start" and "end" where split = 'train' and {" and ".join(f"{c} is not null" for c in [*LAGGED, "y"])}),
+mo as (select "window", count(*) as n, [{", ".join(f"covar_pop({a}, {b})" for a, b in PAIRS18)}] as c from tr group by 1)
+select "window", n, i - 1 as pair, floor(c[i] * 100000000.0::double + 0.5) / 100000000.0::double as cov from mo, range(1, {len(PAIRS18) + 1}) t(i)""")
+def _window_moments(s, d):
+    w = Window.partitionBy("tick").orderBy("date_idx")
+    panel = p2(s, d).withColumns({"y": R.rolling_retprod("r", 3), "v": F.ln("volume")})
+    rows = panel.select("date", "tick", "y", *[F.lag(e, i).over(w).alias(f"{x}_{i}") for x, e in (("x1", "r"), ("x2", "v")) for i in range(9)])
+    train = W.assign_split(rows, _windows(s, d)).where("split = 'train'")
+    out = W.moments(train, LAGGED, "y", ["window"])
+    return out.select(big("window"), "n", F.posexplode("cov").alias("pair", "cov")).select("window", "n", big("pair"), rnd("cov", 8).alias("cov"))
+
+
+PAIRS60 = [(i, j) for i in range(60) for j in (i, i + 1, i + 7, 59) if j < 60]
+
+
+@query("embedding_moments", f"""{P2}, a as (select list(volume) over (partition by tick order by date_idx rows between 59 preceding and current row) as x,
+  count(volume) over (partition by tick order by date_idx rows between 59 preceding and current row) as k from p2),
+v as (select x from a where k = 60)
+select i, j, cov from (select unnest([{", ".join(str(i) for i, _ in PAIRS60)}]) as i, unnest([{", ".join(str(j) for _, j in PAIRS60)}]) as j,
+  unnest((select [{", ".join(f"covar_pop(x[{i + 1}], x[{j + 1}])" for i, j in PAIRS60)}] from v)) as cov)""".replace(
+    "select i, j, cov from", "select i::bigint as i, j::bigint as j, floor(cov * 1000000.0::double + 0.5) / 1000000.0::double as cov from"))
+def _embedding_moments(s, d):
+    a = S.lag_windows(p2(s, d), ["volume"], 60).select(F.col("seq.volume").alias("x")).where(F.forall("x", lambda v: v.isNotNull()))
+    out = W.moments(a.select(*[F.col("x")[i].alias(f"c{i}") for i in range(60)]), [f"c{i}" for i in range(60)], None, [])
+    at = {p: n for n, p in enumerate((i, j) for i in range(60) for j in range(i, 60))}
+    picked = F.array(*[F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(j).cast("bigint").alias("j"), rnd(F.col("cov")[at[i, j]]).alias("cov")) for i, j in PAIRS60])
+    return out.select(F.inline(picked))
+
+
 query("dominant_periods", f"""{P2}, c as (select tick, date_idx, coalesce(volume, 0) as v, count(*) over (partition by tick) as n from p2),
 w as (select tick, f, n, sqrt(pow(sum(v * cos(2 * pi() * f * date_idx / n)), 2) + pow(sum(v * sin(2 * pi() * f * date_idx / n)), 2)) as amp
   from c, range(1, 60) r(f) where f <= n // 2 group by 1, 2, 3),

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from quantgrid.core import checkpoint_dir
+from quantgrid.core import scratch, stage
 from quantgrid.functions import scalar as SC
 from quantgrid.functions import timecode as TC
 from quantgrid.operators import filters as FL
-from quantgrid.plans.fixtures import E1, P1, P2, e1, e1_days, p1, p1_bars, p1_days, p2, p2_bars, table
+from quantgrid.plans.fixtures import E1, P1, P2, e1, e1_days, p1, p1_bars, p1_days, p2, table
 from quantgrid.plans.pit_queries import month_events
 from quantgrid.plans.registry import query, rnd, show, sql_cols
 from quantgrid.sources import panel_io as IO
@@ -25,7 +23,7 @@ def big(c: str):
 
 def folder(spark) -> str:
     """A fresh folder next to the checkpoints, where every executor can read and write."""
-    return f"{checkpoint_dir(spark)}/out-{uuid.uuid4().hex}"
+    return scratch(spark, "out")
 
 
 # --- sources and sinks ------------------------------------------------------------------------------
@@ -73,10 +71,7 @@ def scan_daily_files(s, d):
 @query("export_wide_csv", f"{P2} select date, tick::varchar as tick, close from p2")
 def export_wide_csv(s, d):
     path = folder(s)
-    panel = p2(s, d)
-    names = [r[0] for r in table(s, d, "supplier").join(p2_bars(s, d), F.col("tick") == F.col("s_suppkey"), "left_semi")
-             .select("s_suppkey").orderBy("s_suppkey").collect()]
-    IO.export_wide_csv(panel, path, "close", names)
+    IO.export_wide_csv(stage(p2(s, d).select("date", "tick", "close")), path, "close")
     return IO.read_wide_csv(s, path, "close")
 
 

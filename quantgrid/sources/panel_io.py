@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantgrid.core import ColumnOrName, as_col
+from quantgrid.core import ColumnOrName, as_col, attach, stage
 from quantgrid.functions.scalar import code_suffix, null_if_not_finite
+from quantgrid.sources.axis import tick_axis
 
-MAX_WIDE_COLUMNS = 50_000
-"""A wide file has one column per tick; beyond this use the long format."""
+CHUNK_TICKS = 256
+"""Cells of a wide line that are laid out together."""
 
 
 def scan_sql(spark: SparkSession, url: str, sql: str, partition_column: str | None = None,
@@ -50,7 +51,8 @@ def scan_panel(spark: SparkSession, path: str, fields: Sequence[str], start=None
 
 
 def write_daily_files(df: DataFrame, path: str, date: str = "date") -> None:
-    df.repartition(date).write.mode("overwrite").partitionBy(date).parquet(path)
+    """A folder per date; adaptive rebalancing gives a small date one file and splits a large one over tasks."""
+    df.hint("rebalance", F.col(date)).write.mode("overwrite").partitionBy(date).parquet(path)
 
 
 def scan_daily_files(spark: SparkSession, path: str, axis: DataFrame, schema: str, date: str = "date") -> DataFrame:
@@ -60,20 +62,48 @@ def scan_daily_files(spark: SparkSession, path: str, axis: DataFrame, schema: st
     return axis.select("date_idx", date).join(files, date, "left")
 
 
-def export_wide_csv(df: DataFrame, path: str, value: str, ticks: Sequence, date: str = "date") -> None:
-    """date x tick CSV; the wide header is the caller's tick list."""
-    if len(ticks) > MAX_WIDE_COLUMNS:
-        raise ValueError(f"{len(ticks)} ticks exceed {MAX_WIDE_COLUMNS} columns; write the long format")
-    wide = df.groupBy(date).pivot("tick", list(ticks)).agg(F.first(value))
-    wide.write.mode("overwrite").option("header", "true").csv(path)
+def _wide_line(chunks: Column, count: int) -> Column:
+    """One line from a map chunk -> cells; a chunk without a cell is empty."""
+    blank = F.lit("," * (CHUNK_TICKS - 1))
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda c: F.coalesce(F.try_element_at(chunks, c), blank)), ",")
+
+
+def export_wide_csv(df: DataFrame, path: str, value: str, date: str = "date", tick: str = "tick") -> None:
+    """date x tick CSV: ``header`` holds the header line, ``lines`` one line per date, in date order over the files.
+
+    Columns follow the tick axis.  A line is laid out in chunks of ``CHUNK_TICKS`` cells, each a group of its own, and
+    joined per date, so there is no column per tick in any plan.  Empty cells are NULL; tick codes hold no comma.
+    """
+    axis = stage(tick_axis(df, tick).withColumnRenamed("tick", tick))
+    count = -(-(axis.agg(F.coalesce(F.max("tick_idx") + 1, F.lit(1))).first()[0]) // CHUNK_TICKS)
+    code = F.when(F.col(tick).cast("string").rlike('[,"\\r\\n]'), F.raise_error(F.lit("a tick code holds a comma, quote or line break"))
+                  .cast("string")).otherwise(F.col(tick).cast("string"))
+    place = [F.floor(F.col("tick_idx") / CHUNK_TICKS).cast("int").alias("_c"), F.pmod("tick_idx", F.lit(CHUNK_TICKS)).alias("_i")]
+
+    def lines(cells: DataFrame, by: list[str]) -> DataFrame:
+        at = F.map_from_entries(F.collect_list(F.struct("_i", "_v")))
+        part = cells.groupBy(*by, "_c").agg(at.alias("_m")).select(*by, "_c", F.array_join(F.transform(
+            F.sequence(F.lit(0), F.lit(CHUNK_TICKS - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(""))), ",").alias("_t"))
+        return part.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_c", "_t"))).alias("_of")).select(*by, _wide_line(F.col("_of"), count).alias("_line"))
+
+    header = lines(axis.select(*place, code.alias("_v")), [])
+    header.select(F.concat(F.lit(date + ","), "_line").alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/header")
+    cells = attach(df.select(date, tick, F.col(value).cast("double").cast("string").alias("_v")), axis, [tick], "inner")
+    body = lines(cells.where(F.col("_v").isNotNull()).select(date, *place, "_v"), [date])
+    body = df.select(date).distinct().join(body, date, "left")
+    empty = F.lit("," * (count * CHUNK_TICKS - 1))
+    (body.orderBy(date).select(F.concat(F.col(date).cast("string"), F.lit(","), F.coalesce("_line", empty)).alias("value"))
+     .write.mode("overwrite").text(f"{path}/lines"))
 
 
 def read_wide_csv(spark: SparkSession, path: str, value: str, date: str = "date") -> DataFrame:
-    """Long (date, tick, value) from a wide CSV; empty cells are NULL."""
-    wide = spark.read.option("header", "true").csv(path)
-    ticks = [c for c in wide.columns if c != date]
-    long = wide.unpivot(date, ticks, "tick", value)
-    return long.select(F.col(date).cast("date").alias(date), "tick", F.col(value).cast("double").alias(value))
+    """Long (date, tick, value) from :func:`export_wide_csv`; empty cells are NULL."""
+    cells = lambda df: df.select(F.split("value", ",", -1).alias("_cells"))
+    names = cells(spark.read.text(f"{path}/header")).select(F.posexplode("_cells").alias("_at", "tick")).where("_at > 0 and tick <> ''")
+    long = (cells(spark.read.text(f"{path}/lines")).select(F.col("_cells")[0].alias(date), F.posexplode("_cells").alias("_at", "_v"))
+            .where("_at > 0"))
+    return attach(long, names, ["_at"], "inner").select(
+        F.col(date).cast("date").alias(date), "tick", F.nullif("_v", F.lit("")).cast("double").alias(value))
 
 
 def long_alpha(df: DataFrame, value: str, code: ColumnOrName = "tick", date: str = "date") -> DataFrame:
@@ -83,8 +113,8 @@ def long_alpha(df: DataFrame, value: str, code: ColumnOrName = "tick", date: str
 
 
 def export_long_alpha(df: DataFrame, path: str, value: str, code: ColumnOrName = "tick", date: str = "date") -> None:
-    """One folder per date."""
-    long_alpha(df, value, code, date).write.mode("overwrite").partitionBy("trade_dt").parquet(path)
+    """One folder per date, its rows brought together before the write (large dates stay split)."""
+    long_alpha(df, value, code, date).hint("rebalance", F.col("trade_dt")).write.mode("overwrite").partitionBy("trade_dt").parquet(path)
 
 
 def event_metadata(events: DataFrame, features: Sequence[str], k: int) -> DataFrame:
@@ -97,8 +127,3 @@ def event_metadata(events: DataFrame, features: Sequence[str], k: int) -> DataFr
 
 def write_metadata(meta: DataFrame, path: str) -> None:
     meta.coalesce(1).write.mode("overwrite").json(path)
-
-
-def encode_ticks(df: DataFrame, ticks: DataFrame) -> DataFrame:
-    """Replace the tick by its ordinal from the tick axis; unknown ticks drop out."""
-    return df.join(ticks, "tick").drop("tick")

@@ -7,6 +7,8 @@ from oracle import compare, connect
 from quantgrid.plans import load
 
 SF = "/root/testdata/sf0.001"
+MAY_BE_EMPTY: set[str] = set()
+"""Queries whose result has no rows on the smallest tables (one supplier per industry, few suppliers)."""
 QUERIES, SQL = load().QUERIES, load().ORACLES
 
 
@@ -23,8 +25,7 @@ def test_every_query_has_sql():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, con, name):
     err, _ = compare(spark, con, SF, QUERIES[name], SQL[name])
-    # One supplier per industry and few hot suppliers leave some results empty at this scale.
-    assert err in (None, "no rows at all"), err
+    assert err is None or (err == "no rows at all" and name in MAY_BE_EMPTY), err
 
 
 def test_entry(spark):
