@@ -159,22 +159,27 @@ def band_keys(docs: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, root: the smallest node of each connected component.
+    """node, root: one node of each connected component for all of its nodes.
 
-    Labels fall to the smallest label around (aggregated before the shuffle), then jump to their label's label; every
-    round is a written table.  Nodes are a few rounds from the smallest when edges are stars.
+    Each round renames every node to the smallest node around it (aggregated before the shuffle) and keeps the edges
+    whose ends still differ, so a star is gone after one round and edges only become fewer.  Nodes are hashes, so a
+    long chain falls by a constant share a round.  Every round's edges are a written table.
     """
-    both = store(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct())
-    label = store(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).withColumnRenamed("u", "node"))
+    pairs = store(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
+    roots = None
     while True:
-        around = (both.join(label.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("root").alias("low")))
-        fell = label.join(around.withColumnRenamed("u", "node"), "node").select(
-            "node", F.col("root").alias("old"), F.least("root", "low").alias("mid"))
-        jump = label.select(F.col("node").alias("mid"), F.col("root").alias("far"))
-        step = store(fell.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("root")))
-        if step.where("root <> old").isEmpty():
-            return step.select("node", "root")
-        label = step.select("node", "root")
+        ends = pairs.select(F.col("a").alias("node"), "b").unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("b")))
+        label = store(ends.groupBy("node").agg(F.least("node", F.min("b")).alias("label")))
+        if roots is None:
+            roots = label.withColumnRenamed("label", "root")
+        else:
+            roots = roots.join(label.withColumnRenamed("node", "root"), "root", "left").select(
+                "node", F.coalesce("label", "root").alias("root"))
+        renamed = pairs.join(label.withColumnRenamed("node", "a").withColumnRenamed("label", "la"), "a").join(
+            label.withColumnRenamed("node", "b").withColumnRenamed("label", "lb"), "b")
+        pairs = store(renamed.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).where("a <> b").distinct())
+        if pairs.isEmpty():
+            return roots
 
 
 def candidate_groups(docs: DataFrame) -> DataFrame:

@@ -70,6 +70,19 @@ def test_minhash_estimates_similarity():
     assert abs(agree - 0.8) < 0.12
 
 
+def test_components_of_chains_stars_and_cycles(spark):
+    rng = random.Random(6)
+    name = [rng.randrange(2**60) for _ in range(900)]
+    edges = [(i, i + 1) for i in range(300)] + [(400, i) for i in range(401, 700)] + [(700 + i, 700 + (i + 1) % 100) for i in range(100)] + [(850, 850)]
+    df = spark.createDataFrame([(name[x], name[y]) for x, y in edges], "a long, b long")
+    groups = {}
+    for r in jaccard.components(df).collect():
+        groups.setdefault(r.root, set()).add(r.node)
+    want = [set(name[:301]), set(name[400:700]), set(name[700:800])]
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want))
+    assert jaccard.components(df.limit(0)).count() == 0
+
+
 def test_query_equals_all_pairs(spark):
     sf = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in queries.table(spark, sf, "documents").select("doc_id", "text").collect()]
