@@ -1,12 +1,15 @@
 """Document fingerprints from closed syncmers: anchors that depend on nothing but their own k characters.
 
 A k-mer is an anchor when the smallest of its inner s-mers (by hash) is its first or its last.  Anchors of a text are
-therefore found again wherever the same k characters stand, and can be matched by position.  A fingerprint keeps the
-``SKETCH`` anchors with the smallest hashes (each hash at its first position), in text order.
+therefore found again wherever the same k characters stand, and can be matched by position.  A fingerprint keeps every
+anchor (each hash at its first position), so it grows with its text.  Hashes have 32 bits: two texts of n anchors each
+share about n^2 / 2^32 hashes by chance.
 
-The likeness of two fingerprints: of the SKETCH smallest anchors of both together, those in both are matched; the
-longest run of matches in the same order is kept; the share J of matched anchors becomes 2J / (1 + J), the shared
-part of two texts of equal length.
+Written out, a fingerprint is two base64 fields joined by a point, in text order: 4 bytes of hash for each anchor, then
+its distance from the anchor before in 1, 2 or 4 bytes, whichever holds the largest (``parse`` reads it again).
+
+The likeness of two fingerprints: anchors in both are matched; the longest run of matches in the same order is kept;
+the share J of these in all anchors of both together becomes 2J / (1 + J), the shared part of two texts of equal length.
 
 Neighbours (next smaller id) come from one range exchange: each range also gets the first row of the next one.
 
@@ -17,6 +20,7 @@ own neighbour; an empty table gives no rows.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from bisect import bisect_left
 
@@ -26,7 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K, S = 12, 4
-SKETCH = 128
+OUT_CHARS = 1 << 23
+"""Characters of fingerprints after which rows are handed on."""
+_LOW = np.uint64(0xFFFFFFFF)
+_HALF = np.uint64(32)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,41 +67,62 @@ def anchors(codes: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.n
     return at, _scramble(_rolling(codes, k)[at])
 
 
-def fingerprint(text: str, size: int = SKETCH) -> list[tuple[int, int]]:
-    """(hash, position) of the kept anchors, by hash."""
+def fingerprint(text: str) -> np.ndarray:
+    """hash << 32 | position of every distinct anchor, ascending."""
     if not text:
-        return []
+        return np.zeros(0, np.uint64)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     with np.errstate(over="ignore"):
         at, h = anchors(codes)
     if not len(at):
-        whole = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
-        return [(int.from_bytes(whole, "little"), 0)]
-    if len(h) > 4 * size:
-        cut = np.partition(h, 4 * size)[4 * size]  # repeats are rare, so this usually holds enough distinct hashes
-        few = h <= cut
-        if len(np.unique(h[few])) >= size:
-            at, h = at[few], h[few]
-    h, first = np.unique(h, return_index=True)
-    return list(zip(h[:size].tolist(), at[first][:size].tolist()))
-
-
-def render(mark: list[tuple[int, int]]) -> str:
-    """hash@position in text order; empty for an empty text."""
-    return " ".join(f"{h:016x}@{p}" for h, p in sorted(mark, key=lambda x: (x[1], x[0])))
-
-
-def likeness(a: list[tuple[int, int]], b: list[tuple[int, int]], size: int = SKETCH) -> float:
-    if not a or not b:
-        return 1.0 if not a and not b else 0.0
-    left, right = dict(a), dict(b)
-    union = sorted(left.keys() | right.keys())[:size]
-    pairs = sorted((left[h], right[h]) for h in union if h in left and h in right)
+        whole = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=4).digest()
+        return np.array([int.from_bytes(whole, "little") << 32], np.uint64)
+    mark = np.sort(h & ~_LOW | at.astype(np.uint64))
+    h = mark >> _HALF
+    return mark[np.concatenate([[True], h[1:] != h[:-1]])]
+
+
+def render(mark: np.ndarray) -> str:
+    """Hashes and distances in text order as base64; empty for an empty text."""
+    if not len(mark):
+        return ""
+    turned = np.sort(mark << _HALF | mark >> _HALF)
+    gaps = np.diff(turned >> _HALF, prepend=np.uint64(0))
+    width = next(w for w in (1, 2, 4) if int(gaps.max()) < 1 << 8 * w)
+    return ".".join(base64.b64encode(x.tobytes()).decode() for x in ((turned & _LOW).astype("<u4"), gaps.astype(f"<u{width}")))
+
+
+def parse(written: str) -> np.ndarray:
+    """The fingerprint that ``render`` wrote."""
+    if not written:
+        return np.zeros(0, np.uint64)
+    hashes, gaps = map(base64.b64decode, written.split("."))
+    h = np.frombuffer(hashes, "<u4").astype(np.uint64)
+    at = np.cumsum(np.frombuffer(gaps, f"<u{len(gaps) // len(h)}"), dtype=np.uint64)
+    return np.sort(h << _HALF | at)
+
+
+def longest_rise(at: np.ndarray) -> int:
+    """Length of the longest rising subsequence."""
+    if (at[1:] > at[:-1]).all():
+        return len(at)
     tails: list[int] = []
-    for _, p in pairs:  # longest rising run
-        i = bisect_left(tails, p)
-        tails[i:i + 1] = [p]
-    j = len(tails) / len(union)
+    for p in at.tolist():
+        if not tails or p > tails[-1]:
+            tails.append(p)
+        else:
+            tails[bisect_left(tails, p)] = p
+    return len(tails)
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    if not len(a) or not len(b):
+        return 1.0 if not len(a) and not len(b) else 0.0
+    left, right = a >> _HALF, b >> _HALF
+    i = np.minimum(np.searchsorted(left, right), len(left) - 1)
+    both = left[i] == right
+    pairs = np.sort(a[i[both]] << _HALF | b[both] & _LOW)
+    j = longest_rise(pairs & _LOW) / (len(a) + len(b) - len(pairs))
     return 2 * j / (1 + j)
 
 
@@ -140,7 +168,7 @@ def edited_prints(docs: DataFrame, width: int | None = None) -> DataFrame:
                 likeness(mark, new), likeness(mark, after[2]))
 
     def run(frames):
-        waiting, ended, out = None, False, []
+        waiting, ended, out, held = None, False, [], 0
         for pdf in frames:
             for doc, text, own in zip(pdf["doc_id"], pdf["text"], pdf["own"]):
                 if ended:
@@ -149,10 +177,11 @@ def edited_prints(docs: DataFrame, width: int | None = None) -> DataFrame:
                 row = (None if pd.isna(doc) else int(doc), text, fingerprint(text))
                 if waiting is not None:
                     out.append(emit(waiting, row))
+                    held += len(out[-1][3]) + len(out[-1][4])
                 waiting, ended = (row, False) if own else (None, True)
-                if len(out) >= 256:
+                if len(out) >= 256 or held >= OUT_CHARS:
                     yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
-                    out = []
+                    out, held = [], 0
         if out:
             yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 

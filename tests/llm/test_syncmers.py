@@ -45,6 +45,42 @@ def test_anchors_survive_shifts():
     assert syncmers.likeness([], []) == 1 and syncmers.likeness([], a) == 0
 
 
+def words(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+
+
+def test_short_passage_in_long_texts():
+    """50 words shared by two texts of 20,000 are matched, at the share of all anchors that they hold."""
+    rng = random.Random(4)
+    passage = words(rng, 50)
+    a, b = (f"{words(rng, 9_000)} {passage} {words(rng, 10_950)}" for _ in range(2))
+    alike = syncmers.likeness(syncmers.fingerprint(a), syncmers.fingerprint(b))
+    assert 0.5 * 50 / 20_000 < alike < 2 * 50 / 20_000
+
+
+def test_likeness_of_a_long_edit_is_the_kept_share():
+    rng = random.Random(6)
+    text = words(rng, 20_000)
+    third = len(text) // 3
+    edited = text[:-third] + words(rng, 20_000)[:third]
+    assert abs(syncmers.likeness(syncmers.fingerprint(text), syncmers.fingerprint(edited)) - 2 / 3) < 0.005
+
+
+def test_fingerprint_holds_every_anchor_and_is_read_again():
+    rng = random.Random(5)
+    for text in ("", "short", words(rng, 2_000), words(rng, 1) * 50 + words(rng, 30), "x" * 70_000 + words(rng, 9), "ab" * 300 + words(rng, 9)):
+        mark = syncmers.fingerprint(text)
+        back = syncmers.parse(syncmers.render(mark))
+        assert back.tolist() == mark.tolist()
+        with np.errstate(over="ignore"):
+            at, h = syncmers.anchors(np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64))
+        if len(at):
+            first = {}
+            for p, x in zip(at.tolist(), h.tolist()):
+                first.setdefault(x >> 32, p)
+            assert sorted((m >> 32, m & 0xFFFFFFFF) for m in mark.tolist()) == sorted(first.items())
+
+
 def test_query_equals_plain_version(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in queries.table(spark, sf, "documents").select("doc_id", "text").collect()]
