@@ -4,15 +4,16 @@ A bounded hash sample is joined into an exact neighbour graph; the graph is cut
 bisection; a small network learns each sampled vector's distribution over parts (of itself and its neighbours).  Every
 row is indexed under its most probable part.  A query goes to its most probable parts until their probability passes
 ``reach``; the least reach is chosen whose measured recall on the sample is ``TARGET_RECALL``.  Candidates of the
-visited parts are ranked by the exact inner product in double precision.
+visited parts are ranked by the exact inner product in double precision.  The rows of every part are counted before
+queries are routed: a query goes on to its next parts until those it visits hold k rows besides itself, or to all parts.
 
 Parts are cut into blocks of bounded size by a hash of the id, queries too, so a part or a vector that holds a third
 of all rows is many tasks; each returns at most k rows a query.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids or
 vectors whose length is not the most common one; repeated rows and rows of one id count once (smallest vector); ties
-go to the smaller id; with fewer than k candidates in the visited parts or a tiny table every part is visited; an
-empty table gives no rows.
+go to the smaller id; every query has min(k, other rows) results, from all parts if need be; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -51,12 +52,16 @@ class Router:
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
-    def visits(self, p: np.ndarray) -> np.ndarray:
-        """Mask of the parts each row visits: by falling probability until ``reach`` is passed."""
+    def visits(self, p: np.ndarray, rows: np.ndarray | None = None, least: int = 0) -> np.ndarray:
+        """Mask of the parts each row visits: by falling probability until ``reach`` is passed and, with the ``rows`` of
+        each part given, ``least`` rows are held."""
         order = np.argsort(-p, 1, kind="stable")
         before = np.cumsum(np.take_along_axis(p, order, 1), 1) - np.take_along_axis(p, order, 1)
+        more = (before < self.reach) | (self.reach >= 1)
+        if rows is not None:
+            more |= np.cumsum(rows[order], 1) - rows[order] < least
         out = np.zeros(p.shape, bool)
-        np.put_along_axis(out, order, (before < self.reach) | (self.reach >= 1), 1)
+        np.put_along_axis(out, order, more, 1)
         return out
 
 
@@ -190,16 +195,21 @@ def index(vectors: DataFrame, router: Router | None) -> DataFrame:
     return vectors.mapInPandas(run, f"vec_id long, embedding {vectors.schema['embedding'].dataType.simpleString()}, part int")
 
 
-def route(queries: DataFrame, router: Router | None) -> DataFrame:
-    """queries + visit: the parts each query visits."""
+def part_rows(indexed: DataFrame) -> dict[int, int]:
+    return {r["part"]: r["n"] for r in indexed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def route(queries: DataFrame, router: Router | None, rows: dict[int, int], k: int) -> DataFrame:
+    """queries + visit: the parts each query visits, with at least k + 1 rows (or all), as the query itself may be one."""
     if router is None:
         return queries.withColumn("visit", F.array(F.lit(0)))
     shared = queries.sparkSession.sparkContext.broadcast(router)
+    held = np.array([rows.get(p, 0) for p in range(len(router.b2))])
 
     def run(frames):
         for pdf in frames:
             if len(pdf):
-                seen = shared.value.visits(shared.value.probabilities(np.stack(pdf["embedding"]).astype(np.float64)))
+                seen = shared.value.visits(shared.value.probabilities(np.stack(pdf["embedding"]).astype(np.float64)), held, k + 1)
                 pdf["visit"] = [np.flatnonzero(r).astype(np.int32) for r in seen]
                 yield pdf
 
@@ -240,13 +250,12 @@ def shards_of(rows: dict[int, int]) -> dict[int, int]:
     return out
 
 
-def search(indexed: DataFrame, routed: DataFrame, k: int) -> DataFrame:
+def search(indexed: DataFrame, routed: DataFrame, rows: dict[int, int], k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of the visited parts.
 
     Parts that fit one block share a task, which ranks a query's visited parts together, so a query yields k rows per
     shard and not per part.
     """
-    rows = {r["part"]: r["n"] for r in indexed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     shard = shards_of(rows)
     spark = indexed.sparkSession
     places = F.broadcast(spark.createDataFrame([(p, s) for p, s in shard.items()], "part int, shard int"))  # MAX_PARTS rows at most
@@ -293,5 +302,6 @@ def nearest(table: DataFrame, queries, k: int = 20, sample_rows: int = SAMPLE_RO
         sample = drawn.toPandas().sort_values("vec_id")
         router = learn(np.stack(sample["embedding"]).astype(np.float64), parts, k)
     indexed = store(index(vectors, router))
-    routed = store(route(vectors.where(queries), router))
-    return search(indexed, routed, k)
+    rows = part_rows(indexed)
+    routed = store(route(vectors.where(queries), router, rows, k))
+    return search(indexed, routed, rows, k)

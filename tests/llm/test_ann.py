@@ -64,3 +64,24 @@ def test_edge_rows_and_hot_vector(spark, monkeypatch):
     got = listed(ann.nearest(few, "vec_id % 20 = 0", 20))
     assert got.keys() == {0} and len(got[0]) == 9
     assert ann.nearest(df.limit(0), "vec_id % 20 = 0", 20).count() == 0
+
+
+def test_visits_go_on_until_enough_rows_are_held():
+    router = ann.Router(1.0, *[np.zeros(0)] * 4, reach=0.5)
+    p = np.array([[0.6, 0.25, 0.1, 0.05], [0.05, 0.1, 0.25, 0.6]])
+    rows = np.array([5, 10, 0, 30])
+    assert router.visits(p).tolist() == [[True, False, False, False], [False, False, False, True]]
+    assert router.visits(p, rows, 21).tolist() == [[True] * 4, [False, False, False, True]]
+    assert router.visits(p, rows, 15).tolist() == [[True, True, False, False], [False, False, False, True]]
+    assert router.visits(p, rows, 50).all()
+
+
+def test_full_lists_with_a_hot_third_and_small_parts(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ROWS_PER_PART", 16)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.tile(rng.normal(size=8) * 3, (300, 1)), np.tile(rng.normal(size=8) * 3, (500, 1)),
+                        np.repeat(rng.normal(size=(20, 8)) * 3, 5, 0) + rng.normal(size=(100, 8)) * 0.05])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = listed(ann.nearest(df, "vec_id >= 0", 20))
+    assert len(got) == 900 and {len(v) for v in got.values()} == {20}
+    assert all(q not in [i for i, _ in v] and len({i for i, _ in v}) == 20 for q, v in got.items())
