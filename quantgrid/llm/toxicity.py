@@ -1,7 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text is the set of its hashed words and word starts.  The score adds a weight per term and, for every pair of terms,
-the product of their factors, so a pair such as an insult with a group mention can weigh more than its parts.
+the product of their factors, so a pair such as an insult with a group mention can weigh more than its parts.  Terms
+take part that say something about the label alone or in a pair: all pairs of terms in the sample are tested.
 
 Defined cases: null and empty texts get the bias alone; without usable labels of both classes every text gets the
 smoothed share of label 1; repeated rows are scored each; whole texts are read.
@@ -25,7 +26,9 @@ FACTORS = 4
 EPOCHS = 8
 MIN_DOCS = 3
 MIN_EVIDENCE = 12.0
-"""A term counts only if MIN_DOCS sampled documents hold it and its G statistic against the label is this large."""
+"""A term counts if MIN_DOCS sampled documents hold it and its G statistic against the label is this large, or if it is
+half of a pair with evidence (``paired``)."""
+BLOCK_TERMS = 512
 RATE, DECAY = 0.1, 1e-3
 
 
@@ -59,6 +62,67 @@ def evidence(rows: list[np.ndarray], labels: np.ndarray, buckets: int) -> np.nda
     return np.where(held[0] + held[1] >= MIN_DOCS, g, 0.0)
 
 
+def paired(rows: list[np.ndarray], labels: np.ndarray, buckets: int) -> np.ndarray:
+    """Mask of the buckets that are half of a pair which says more about the label than either half.
+
+    For a pair, the G statistic of one term against the label is taken among the documents with the other, both ways; the
+    smaller must pass 2 ln(number of pairs), which less than one pair is expected to do by chance.  G is at most
+    2 ln 2 times the documents looked at, so terms in fewer documents than that allows cannot pass and are not counted.
+    """
+    held = np.zeros(buckets, np.int64)
+    for r in rows:  # terms of a row are distinct
+        held[r] += 1
+    m = int((held >= MIN_DOCS).sum())
+    least = 2 * np.log(max(2, m * (m - 1) / 2))
+    terms = np.flatnonzero(held >= max(MIN_DOCS, least / (2 * np.log(2))))
+    out = np.zeros(buckets, bool)
+    place = np.full(buckets, -1)
+    place[terms] = np.arange(len(terms))
+    cells, end = np.zeros(int(held[terms].sum()), np.int64), 0  # term << 32 | document, the one large array here
+    for i, r in enumerate(rows):
+        mine = place[r]
+        mine = mine[mine >= 0]
+        cells[end:end + len(mine)] = mine << 32 | i
+        end += len(mine)
+    cells.sort()
+    classes = [np.flatnonzero(labels == c) for c in (0, 1)]
+    row = np.zeros(len(rows), np.int64)
+    for c in classes:
+        row[c] = np.arange(len(c))
+    cuts = range(0, len(terms), BLOCK_TERMS)
+    spans = [np.searchsorted(cells, [at << 32, at + BLOCK_TERMS << 32]) for at in cuts]
+    nlogn = np.arange(len(rows) + 1) * np.log(np.maximum(np.arange(len(rows) + 1), 1))
+
+    def block(i: int) -> list[np.ndarray]:
+        a, b = spans[i]
+        d, t = cells[a:b] & 0xFFFFFFFF, (cells[a:b] >> 32) - cuts[i]
+        got = []
+        for c in (0, 1):
+            x = np.zeros((len(classes[c]), min(BLOCK_TERMS, len(terms) - cuts[i])), np.float32)
+            mine = labels[d] == c
+            x[row[d[mine]], t[mine]] = 1
+            got.append(x)
+        return got
+
+    for i in range(len(cuts)):
+        left = block(i)
+        n_left = [x.sum(0).astype(np.int64)[:, None] for x in left]
+        for j in range(i, len(cuts)):
+            right = left if i == j else block(j)
+            n_right = [x.sum(0).astype(np.int64)[None, :] for x in right]
+            both = [(x.T @ y).astype(np.int64) for x, y in zip(left, right)]
+            together = nlogn[both[0]] + nlogn[both[1]] - nlogn[both[0] + both[1]]
+            passed = np.ones(both[0].shape, bool)
+            for n in (n_left, n_right):
+                apart = [n[c] - both[c] for c in (0, 1)]
+                g = 2 * (together + nlogn[apart[0]] + nlogn[apart[1]] - nlogn[apart[0] + apart[1]]
+                         - nlogn[n[0]] - nlogn[n[1]] + nlogn[n[0] + n[1]])
+                passed &= g >= least
+            out[terms[cuts[i] + np.flatnonzero(passed.any(1))]] = True
+            out[terms[cuts[j] + np.flatnonzero(passed.any(0))]] = True
+    return out
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, buckets: int = BUCKETS, factors: int = FACTORS,
         epochs: int = EPOCHS, seed: int = 5) -> FactorizationMachine:
     """Logistic loss, AdaGrad over mini-batches of documents, classes weighted alike."""
@@ -68,7 +132,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, buckets: int = BUCKETS, fact
     w = np.zeros(buckets)
     if not n0 or not n1:
         return FactorizationMachine(float(np.log((n1 + 0.5) / (n0 + 0.5))), w, np.zeros((buckets, factors)), w > 0)
-    seen = evidence(rows, labels, buckets) >= MIN_EVIDENCE
+    seen = (evidence(rows, labels, buckets) >= MIN_EVIDENCE) | paired(rows, labels, buckets)
     v = rng.normal(0, 0.05, (buckets, factors)) * seen[:, None]
     weight = np.where(labels == 1, 0.5 / n1, 0.5 / n0) * len(labels)
     rows = [r[seen[r]] for r in rows]

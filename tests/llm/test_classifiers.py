@@ -57,6 +57,36 @@ def test_pair_weight_is_learned():
     assert (np.array([model.margin(r) > 0 for r in x]) == y).mean() == 1
 
 
+def test_exclusive_or_is_learned():
+    """Two terms that say nothing alone; the others stay out."""
+    rng = np.random.default_rng(1)
+    a, b = rng.random(4000) < 0.5, rng.random(4000) < 0.5
+    x = [np.unique(np.array([3] * int(p) + [9] * int(q) + (20 + rng.integers(0, 500, 30)).tolist(), np.int32)) for p, q in zip(a, b)]
+    y = (a ^ b).astype(int)
+    assert (toxicity.evidence(x, y, 1024)[[3, 9]] < toxicity.MIN_EVIDENCE).all()
+    assert np.flatnonzero(toxicity.paired(x, y, 1024)).tolist() == [3, 9]
+    model = toxicity.fit(x[:3000], y[:3000], buckets=1024, epochs=20)
+    assert (np.array([model.margin(r) > 0 for r in x[3000:]]) == y[3000:]).mean() > 0.98
+
+
+def test_paired_terms_against_a_plain_count(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK_TERMS", 7)
+    rng = np.random.default_rng(2)
+    has = rng.random((600, 20)) < 0.4
+    y = ((has[:, 2] & has[:, 11]) | (has[:, 5] ^ has[:, 17])).astype(int)
+    least = 2 * np.log(20 * 19 / 2)
+
+    def g(x, y):
+        cells = [(x == i) & (y == j) for i in (0, 1) for j in (0, 1)]
+        return 2 * sum(c.sum() * np.log(c.sum() * len(x) / ((x == i).sum() * (y == j).sum()))
+                       for c, (i, j) in zip(cells, [(i, j) for i in (0, 1) for j in (0, 1)]) if c.any())
+
+    want = {t for i in range(20) for j in range(20) if i != j
+            and min(g(has[has[:, i], j], y[has[:, i]]), g(has[has[:, j], i], y[has[:, j]])) >= least for t in (i, j)}
+    got = toxicity.paired([np.flatnonzero(r).astype(np.int32) for r in has], y, 32)
+    assert set(np.flatnonzero(got).tolist()) == want and {2, 11, 5, 17} <= want
+
+
 def test_hash_sample_is_bounded(spark):
     labels = spark.range(50_000).selectExpr("id as doc_id", "cast(id % 10 = 0 as int) as toxic")
     docs = labels.selectExpr("doc_id", "'t' as text")
