@@ -3,12 +3,12 @@
 Words are maximal runs of digits, A-Z (lower-cased) and anything beyond ASCII.  Features are the runs of one to three
 consecutive words joined by one space; a feature's bucket is its CRC-32 modulo ``BUCKETS``.
 
-* *Dictionary*: distinct words, each bounded by a delimiter on both sides, with the payload (CRC of the word, CRC of a
-  space and the word, length).  A worker learns the words it meets, up to ``DICTIONARY_WORDS``, then starts anew; words
-  that it does not hold get their payload computed, so the dictionary's content changes no result.
+* *Dictionary*: distinct words, each bounded by a delimiter on both sides, with the payload (CRC, length).
+  A worker learns the words that it meets repeatedly, up to ``DICTIONARY_WORDS``, then starts anew; words that it does
+  not hold get their payload from their bytes, so the dictionary's content changes no result.
 * *Scan*: the automaton runs over about ``BATCH_BYTES`` of delimited text and emits payloads in text order.
-* *Composition*: the CRC of "a b" follows from those of "a" and " b" and the length of " b" (a linear shift over
-  GF(2), tabulated), so no n-gram is ever put together as a string.
+* *Composition*: the CRC of "a b" follows from those of "a " and "b" and the length of "b" (a linear shift over GF(2),
+  tabulated), so no n-gram is ever put together as a string.
 
 The corpus and the target are scanned once for their bucket counts (one row per task and bucket), then the corpus once
 more for every document's sum of gains.  Ranks come from one range sort of narrow rows and the partitions' sizes.
@@ -39,7 +39,7 @@ MIN_WORDS = 20
 PERCENT = 5
 SEED = 42
 BATCH_BYTES = 1 << 20
-DICTIONARY_WORDS = 100_000
+DICTIONARY_WORDS = 20_000
 LONGEST = 64
 """Longer words are not learned."""
 
@@ -79,72 +79,86 @@ def shift_tables(n: int) -> np.ndarray:
 
 @functools.cache
 def _short_shifts() -> np.ndarray:
-    return np.stack([shift_tables(n) for n in range(LONGEST + 2)])
+    return np.stack([shift_tables(n) for n in range(LONGEST + 1)])
 
 
 def shifted(crc: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Each CRC as if n more bytes of zero register followed, so that crc(a + b) = shifted(crc(a), len(b)) ^ crc(b)."""
-    tables, short = _short_shifts(), np.minimum(n, LONGEST + 1)
+    tables, short = _short_shifts(), np.minimum(n, LONGEST)
     out = (tables[short, 0, crc & 255] ^ tables[short, 1, crc >> 8 & 255] ^ tables[short, 2, crc >> 16 & 255] ^ tables[short, 3, crc >> 24])
-    for size in np.unique(n[n > LONGEST + 1]):
+    for size in np.unique(n[n > LONGEST]):
         mine = n == size
         out[mine] = _combine(shift_tables(int(size)), crc[mine])
     return out
 
 
+def _after_space(crc: np.ndarray) -> np.ndarray:
+    """CRC of each string with a space appended."""
+    c = ~crc
+    return ~(_doubling(0)[0][(c ^ np.uint32(0x20)) & np.uint32(255)] ^ c >> np.uint32(8))
+
+
+def _crc_of(text: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """CRC of each stretch of at most LONGEST bytes: one byte of all of them a step, longest first."""
+    order = np.argsort(-length, kind="stable")
+    at, left, step = start[order], -length[order], _doubling(0)[0]
+    c = np.full(len(order), 0xFFFFFFFF, np.uint32)
+    for j in range(int(-left[0]) if len(left) else 0):
+        m = int(np.searchsorted(left, -j))  # stretches longer than j
+        c[:m] = step[(c[:m] ^ text[at[:m] + j]) & np.uint32(255)] ^ c[:m] >> np.uint32(8)
+    out = np.empty(len(order), np.uint32)
+    out[order] = ~c
+    return out
+
+
 class Dictionary:
-    """Delimiter-bounded words in an automaton; ``payloads`` gives every word's CRC, CRC after a space, and length."""
+    """Delimiter-bounded words in an automaton, each with its CRC and length."""
 
     def __init__(self, words: int = DICTIONARY_WORDS):
         self.words = words
         self._restart()
 
     def _restart(self) -> None:
-        self.size, self.crc, self.spaced, self.length = 0, *(np.zeros(0, t) for t in (np.uint32, np.uint32, np.int64))
-        self.automaton, self.pending = ahocorasick.Automaton(ahocorasick.STORE_INTS), {}
-
-    @staticmethod
-    def payload(word: bytes) -> tuple[int, int, int]:
-        return zlib.crc32(word), zlib.crc32(b" " + word), len(word)
+        self.automaton, self.size, self.news = ahocorasick.Automaton(ahocorasick.STORE_INTS), 0, {}
+        self.crc, self.length = np.zeros(self.words, np.uint32), np.zeros(self.words, np.int64)
 
-    def _learn(self) -> None:
-        """Add the pending words once they are many enough to be worth a new automaton."""
-        if len(self.pending) < max(256, self.size // 8):
+    def learn(self, news: dict[bytes, int]) -> None:
+        """Note words with their CRC; they enter the automaton once they are many enough to be worth a new one."""
+        self.news |= news
+        if len(self.news) < max(256, self.size // 8):
             return
-        if self.size + len(self.pending) > self.words:
-            fresh = dict(itertools.islice(self.pending.items(), self.words))
+        if self.size + len(self.news) > self.words:
+            fresh = dict(itertools.islice(self.news.items(), self.words))
             self._restart()
-            self.pending = fresh
-        for at, word in enumerate(self.pending, self.size):
+            self.news = fresh
+        for at, (word, crc) in enumerate(self.news.items(), self.size):
             self.automaton.add_word(f" {word.decode('latin-1')} ", at)
+            self.crc[at], self.length[at] = crc, len(word)
         self.automaton.make_automaton()
-        new = list(self.pending.values())
-        self.size += len(new)
-        self.crc = np.concatenate([self.crc, np.array([p[0] for p in new], np.uint32)])
-        self.spaced = np.concatenate([self.spaced, np.array([p[1] for p in new], np.uint32)])
-        self.length = np.concatenate([self.length, np.array([p[2] for p in new], np.int64)])
-        self.pending = {}
-
-    def payloads(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(crc, crc after a space, length, end) of every word of a text that starts and ends with a delimiter."""
-        self._learn()
-        inside = np.frombuffer(text, np.uint8) > 0x20
+        self.size, self.news = self.size + len(self.news), {}
+
+    def payloads(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(crc, length, end) of every word of a text that starts and ends with a delimiter.
+
+        Words that the dictionary misses get their payload from their bytes; those that it misses twice here it learns.
+        """
+        raw = np.frombuffer(text, np.uint8)
+        inside = raw > 0x20
         start, end = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1, np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
-        n = len(end)
-        crc, spaced, length = np.zeros(n, np.uint32), np.zeros(n, np.uint32), np.zeros(n, np.int64)
+        crc, length = np.zeros(len(end), np.uint32), np.zeros(len(end), np.int64)
         if self.size:
             hits = np.fromiter(itertools.chain.from_iterable(self.automaton.iter(text.decode("latin-1"))), np.int64).reshape(-1, 2)
             at, word = np.searchsorted(end, hits[:, 0]), hits[:, 1]
-            crc[at], spaced[at], length[at] = self.crc[word], self.spaced[word], self.length[word]
-        for i in np.flatnonzero(length == 0).tolist():
-            word = text[start[i]:end[i]]
-            got = self.pending.get(word)
-            if got is None:
-                got = self.payload(word)
-                if len(word) <= LONGEST and len(self.pending) < self.words:
-                    self.pending[word] = got
-            crc[i], spaced[i], length[i] = got
-        return crc, spaced, length, end
+            crc[at], length[at] = self.crc[word], self.length[word]
+        missed = np.flatnonzero(length == 0)
+        length[missed] = end[missed] - start[missed]
+        for i in missed[length[missed] > LONGEST].tolist():
+            crc[i] = zlib.crc32(text[start[i]:end[i]])
+        missed = missed[length[missed] <= LONGEST]
+        crc[missed] = _crc_of(raw, start[missed], length[missed])
+        _, first, seen = np.unique(crc[missed], return_index=True, return_counts=True)
+        self.learn({text[start[i]:end[i]]: int(crc[i]) for i in missed[first[seen > 1]].tolist()})
+        return crc, length, end
 
 
 @functools.cache
@@ -182,7 +196,7 @@ def features(texts, dictionary: Dictionary) -> Iterator[tuple[np.ndarray, np.nda
     """Per batch: (row, bucket, length in words) of every feature of the texts."""
     for batch in _batches(texts):
         ends = np.cumsum([len(p) + 3 for _, _, p in batch])
-        crc, spaced, length, end = dictionary.payloads(b" " + b" \n ".join(p for _, _, p in batch) + b" ")
+        crc, length, end = dictionary.payloads(b" " + b" \n ".join(p for _, _, p in batch) + b" ")
         piece = np.searchsorted(ends, end)
         row = np.array([r for r, _, _ in batch])[piece]
         nth = np.arange(len(end)) - np.searchsorted(piece, np.arange(len(batch)))[piece]
@@ -190,7 +204,7 @@ def features(texts, dictionary: Dictionary) -> Iterator[tuple[np.ndarray, np.nda
         value = crc
         for words in range(1, ORDER + 1):
             if words > 1:
-                value = shifted(value[:-1], 1 + length[words - 1:]) ^ spaced[words - 1:]
+                value = shifted(_after_space(value[:-1]), length[words - 1:]) ^ crc[words - 1:]
             own = new[words - 1:] & (nth[words - 1:] >= words - 1)
             yield row[words - 1:][own], value[own] % np.uint32(BUCKETS), np.full(int(own.sum()), words)
             if len(value) < 2:
