@@ -11,7 +11,8 @@ consecutive words joined by one space; a feature's bucket is its CRC-32 modulo `
   tabulated), so no n-gram is ever put together as a string.
 
 The corpus and the target are scanned once for their bucket counts (one row per task and bucket), then the corpus once
-more for every document's sum of gains.  Ranks come from one range sort of narrow rows and the partitions' sizes.
+more for every document's sum of gains, which are written.  Ranks come from one range sort of these narrow rows and the
+partitions' sizes.
 
 Defined cases: a null text has no words; a null id is the empty text in the hash and comes after other ids in ties; equal
 (score, id) keep any order; every row counts and is returned, repeated rows alike; very long texts are taken in slices
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantgrid.core import store
+from quantgrid.llm.words import slices
 
 ORDER = 3
 BUCKETS = 10_000
@@ -166,23 +168,11 @@ def _dictionary() -> Dictionary:
     return Dictionary()  # one per Python worker, kept from task to task
 
 
-def _slices(text: bytes, size: int = BATCH_BYTES) -> Iterator[tuple[int, bytes]]:
-    """(context, slice): slices of about ``size`` bytes at word ends, after the first led by up to two words of context."""
-    at, context = 0, b""
-    while True:
-        cut = len(text) if len(text) - at <= size else text.find(b" ", at + size)
-        piece = context + b" " + text[at:cut if cut >= 0 else len(text)]
-        yield len(context.split()), piece
-        if cut < 0 or cut >= len(text):
-            return
-        at, context = cut, b" ".join(piece.rsplit(None, ORDER - 1)[-(ORDER - 1):])
-
-
 def _batches(texts) -> Iterator[list[tuple[int, int, bytes]]]:
     """Lists of (row, context, slice) of about BATCH_BYTES."""
     run, size = [], 0
     for row, text in enumerate(texts):
-        for context, piece in _slices(normal(text)):
+        for context, piece in slices(normal(text), ORDER - 1, BATCH_BYTES):
             run.append((row, context, piece))
             size += len(piece)
             if size >= BATCH_BYTES:
@@ -266,7 +256,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, min_wor
     gain = gains(_vector(bucket_counts(docs)), _vector(bucket_counts(target)))
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
     uniform = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") + 0.5) / F.lit(4294967296.0)
-    scored = weights(docs, gain).withColumn("score", F.col("weight") + F.floor(-1000 * F.log(-F.log(uniform))))
+    scored = store(weights(docs, gain)).withColumn("score", F.col("weight") + F.floor(-1000 * F.log(-F.log(uniform))))
     # the input position as last key: no value is too frequent for a range; the position within the sorted table is in the
     # low 33 bits of the increasing id, its partition above
     ordered = scored.withColumn("_at", F.monotonically_increasing_id()).orderBy(

@@ -74,7 +74,6 @@ def test_small_dictionaries_and_slices_change_nothing(monkeypatch, words):
     dictionary, want = resample.Dictionary(words), [sorted(buckets_of(t)) for t in texts]
     for _ in range(2):
         got = [[] for _ in texts]
-        monkeypatch.setattr(resample._slices, "__defaults__", (500,))
         for row, bucket, _ in resample.features(texts, dictionary):
             for r, b in zip(row.tolist(), bucket.tolist()):
                 got[r].append(b)
