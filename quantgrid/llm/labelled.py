@@ -20,10 +20,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, target: str, bound: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, text, label of a hash sample of the labelled rows that are not held out.
+    """doc_id, label, text of a hash sample of the labelled documents that are not held out.
 
     Only labels are counted; the sampled ids are at most about ``bound`` and meet the documents by a broadcast join.
-    Null labels and ids do not count; a document labelled both ways is left out.
+    Null labels and ids do not count; a document labelled both ways is left out, one of several rows counts once, by its
+    smallest text, so that the sample is bounded whatever repeats.
     """
     known = (labels.where(F.col(target).isNotNull() & ~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.min(target).alias("label"), F.max(target).alias("_max")).where("label = _max").drop("_max"))
@@ -32,7 +33,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, bound: int =
     for label, n in counts.items():
         share = F.when(F.col("label") == label, F.lit(min(1.0, bound / 2 / n))).otherwise(share)
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) < share * (1 << 20))
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 class TermIds:

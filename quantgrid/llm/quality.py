@@ -61,6 +61,15 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip(self.scale * (raw - self.shift) + np.log(THRESHOLD / (1 - THRESHOLD)), -30, 30)))
 
 
+def pair_loss(w: np.ndarray, better: np.ndarray, worse: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean logistic loss of pairs, given as rows of active bins, and its gradient: only differences of the rows count."""
+    n, d = better.shape
+    z = np.clip(w[better].sum(1) - w[worse].sum(1), -30, 30)
+    p = 1 / (1 + np.exp(z))  # chance given to the wrong order
+    g = -(np.bincount(better.ravel(), np.repeat(p, d), len(w)) - np.bincount(worse.ravel(), np.repeat(p, d), len(w))) / n
+    return float(np.logaddexp(0, -z).mean()), g
+
+
 def fit(rows: np.ndarray, labels: np.ndarray, share: float, seed: int = 7) -> Ranker:
     """Gradient descent (Adam) on the pairs' logistic loss; ``share`` is label 1's share of all labels."""
     good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
@@ -75,9 +84,7 @@ def fit(rows: np.ndarray, labels: np.ndarray, share: float, seed: int = 7) -> Ra
     better, worse = at[rng.choice(good, n)], at[rng.choice(bad, n)]
     w, m, v = np.zeros(d * BINS), np.zeros(d * BINS), np.zeros(d * BINS)
     for step in range(1, STEPS + 1):
-        z = w[better].sum(1) - w[worse].sum(1)
-        p = 1 / (1 + np.exp(np.clip(z, -30, 30)))  # chance given to the wrong order
-        g = -(np.bincount(better.ravel(), np.repeat(p, d), d * BINS) - np.bincount(worse.ravel(), np.repeat(p, d), d * BINS)) / n + DECAY * w
+        g = pair_loss(w, better, worse)[1] + DECAY * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - 0.05 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
     s = w[at].sum(1)
