@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from quantgrid.core import ColumnOrName, as_col, attach
 from quantgrid.functions.scalar import log_positive
 from quantgrid.operators import rolling as R
+from quantgrid.operators import scans as S
 from quantgrid.operators.pit import asof_last
+from quantgrid.operators.scans import with_windows
 from quantgrid.operators.xsection import cs_orthogonalise, cs_zscore, winsor
 
 TRADING_DAYS = 242  # fixed value: trading rows per year
@@ -42,12 +44,12 @@ def with_excess(panel: DataFrame, rf: ColumnOrName | None = None, mv: str = "mv"
     return attach(base, market, ["date_idx"]).withColumn("xr", F.col(r) - F.col("_rf")).drop("_rf")
 
 
-def beta(window: int = 242, halflife: float = 62) -> Column:
-    return R.rolling_beta("xr", "xm", window, halflife)
+def beta(panel: DataFrame, window: int = 242, halflife: float = 62, out: str = "beta") -> DataFrame:
+    return with_windows(panel, **{out: S.beta("xr", "xm", window, halflife)})
 
 
-def momentum(window: int = 484, halflife: float = 124, skip: int = 21) -> Column:
-    return R.ew_momentum("xr", window, halflife, skip)
+def momentum(panel: DataFrame, window: int = 484, halflife: float = 124, skip: int = 21, out: str = "momentum") -> DataFrame:
+    return with_windows(panel, **{out: S.momentum("xr", window, halflife, skip)})
 
 
 def size(mv: ColumnOrName = "mv") -> Column:
@@ -63,10 +65,11 @@ def nonlinear_size(panel: DataFrame, mv: str = "mv", out: str = "nonlinear_size"
 def residual_volatility(panel: DataFrame, window: int = 242, hl_std: float = 41, hl_res: float = 62,
                         out: str = "residual_volatility") -> DataFrame:
     """0.74 deviation + 0.16 cumulative range + 0.10 residual deviation of excess returns."""
-    staged = panel.withColumns({"_beta": beta(window, hl_res), "_c": R.running_log_return("xr")})
-    mix = (0.74 * R.exp_weighted_std("xr", window, hl_std, full=True) + 0.16 * R.cum_range("_c", window)
-           + 0.10 * R.residual_vol("xr", "xm", "_beta", window, hl_res))
-    return staged.withColumn(out, mix).drop("_beta", "_c")
+    staged = with_windows(panel.withColumn("_c", R.running_log_return("xr")), _beta=S.beta("xr", "xm", window, hl_res),
+                          _dev=S.ew_std("xr", window, hl_std, full=True), _range=S.cum_range("_c", window))
+    staged = with_windows(staged, _res=S.residual_vol("xr", "xm", "_beta", window, hl_res))
+    mix = 0.74 * F.col("_dev") + 0.16 * F.col("_range") + 0.10 * F.col("_res")
+    return staged.withColumn(out, mix).drop("_beta", "_c", "_dev", "_range", "_res")
 
 
 def book_to_price(book: ColumnOrName, mv: ColumnOrName = "mv") -> Column:
@@ -82,19 +85,20 @@ def liquidity(panel: DataFrame, turnover: str, month: int = 21, quarter: int = 3
     return stom.withColumn(out, mix).drop("_stom")
 
 
-def earnings_yield(forward_profit: ColumnOrName, cash_dividend: ColumnOrName, profit_ttm: ColumnOrName,
-                   close: ColumnOrName = "close", mv: ColumnOrName = "mv", window: int = 242) -> Column:
+def earnings_yield(panel: DataFrame, forward_profit: ColumnOrName, cash_dividend: ColumnOrName, profit_ttm: ColumnOrName,
+                   close: ColumnOrName = "close", mv: ColumnOrName = "mv", window: int = 242, out: str = "earnings_yield") -> DataFrame:
     """0.68 forward + 0.21 trailing cash dividend over price + 0.11 trailing earnings."""
-    return (0.68 * F.try_divide(as_col(forward_profit), as_col(mv))
-            + 0.21 * F.try_divide(R.rolling_nansum(cash_dividend, window), as_col(close))
-            + 0.11 * F.try_divide(as_col(profit_ttm), as_col(mv)))
+    mix = (0.68 * F.try_divide(as_col(forward_profit), as_col(mv)) + 0.21 * F.try_divide(F.col("_paid"), as_col(close))
+           + 0.11 * F.try_divide(as_col(profit_ttm), as_col(mv)))
+    return with_windows(panel, _paid=S.nansum(cash_dividend, window)).withColumn(out, mix).drop("_paid")
 
 
-def growth(long_forward: ColumnOrName, forward_eps: ColumnOrName, eps_ttm: ColumnOrName, eps: ColumnOrName,
-           revenue: ColumnOrName, window: int = 1210) -> Column:
+def growth(panel: DataFrame, long_forward: ColumnOrName, forward_eps: ColumnOrName, eps_ttm: ColumnOrName, eps: ColumnOrName,
+           revenue: ColumnOrName, window: int = 1210, out: str = "growth") -> DataFrame:
     short = F.try_divide(as_col(forward_eps), as_col(eps_ttm) + 1e-8) - 1
-    return (0.18 * as_col(long_forward) + 0.11 * short + 0.24 * R.rolling_slope_over_mean(eps, window)
-            + 0.47 * R.rolling_slope_over_mean(revenue, window))
+    mix = 0.18 * as_col(long_forward) + 0.11 * short + 0.24 * F.col("_eps") + 0.47 * F.col("_rev")
+    trends = with_windows(panel, _eps=S.slope_over_mean(eps, window), _rev=S.slope_over_mean(revenue, window))
+    return trends.withColumn(out, mix).drop("_eps", "_rev")
 
 
 def leverage(mv: ColumnOrName, preferred: ColumnOrName, long_debt: ColumnOrName, liabilities: ColumnOrName,

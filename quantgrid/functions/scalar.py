@@ -90,3 +90,27 @@ def yeo_johnson_value(x: ColumnOrName, lam: ColumnOrName) -> Column:
     up = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1, lam) - 1) / F.nullif(lam, F.lit(0.0)))
     down = F.when(F.abs(l2) < 1e-12, -F.log1p(-x)).otherwise(-(F.pow(1 - x, l2) - 1) / F.nullif(l2, F.lit(0.0)))
     return F.when(x >= 0, up).when(x < 0, down)
+
+
+def _growth(m: Column, size: Column) -> tuple[Column, Column, Column]:
+    """Integrals over t from 0 to ``size`` of exp(m t), t exp(m t) and t^2 exp(m t); by series where m size is small."""
+    z = m * size
+    e = F.exp(z)
+    whole = (F.expm1(z) / z, (z * e - F.expm1(z)) / (z * z), (e * (z * z - 2 * z + 2) - 2) / (z * z * z))
+
+    def series(k: int) -> Column:
+        out = F.lit(0.0)
+        for i in range(12, -1, -1):  # |z| < 0.25: the next term is below 1e-17
+            out = out * z + 1.0 / (math.factorial(i) * (i + 1 + k))
+        return out
+
+    parts = [F.when(F.abs(z) < 0.25, series(k)).otherwise(w) for k, w in enumerate(whole)]
+    return parts[0] * size, parts[1] * size * size, parts[2] * size * size * size
+
+
+def yeo_johnson_derivatives(x: ColumnOrName, lam: ColumnOrName) -> tuple[Column, Column, Column]:
+    """The Yeo-Johnson transform of x and its first two derivatives in the exponent."""
+    x, lam = as_col(x), as_col(lam)
+    up = x >= 0
+    g, g1, g2 = _growth(F.when(up, lam).otherwise(2.0 - lam), F.log1p(F.abs(x)))
+    return F.when(up, g).otherwise(-g), g1, F.when(up, g2).otherwise(-g2)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantgrid.core import ColumnOrName, as_col, attach
+from quantgrid.core import ColumnOrName, as_col, attach, tick_window
 from quantgrid.functions.scalar import zero_fill
 from quantgrid.operators.filters import all_null, select_universe
 from quantgrid.operators.pit import pit_last_k
@@ -22,6 +22,43 @@ def lag_windows(panel: DataFrame, fields: Sequence[str], lag: int, keep: Sequenc
     return panel.select("date_idx", "tick", *keep, seq.alias("seq")).where(F.col("seq").isNotNull())
 
 
+def chunk_span(lag: int) -> int:
+    """Rows of a chunk: four windows, so that the overlap of lag - 1 rows adds less than a quarter."""
+    return 4 * max(1, lag)
+
+
+def chunk_series(panel: DataFrame, fields: Sequence[str], lag: int, keep: Sequence[str] = ()) -> DataFrame:
+    """(tick, chunk, series): a tick's rows cut into chunks that begin with the last lag - 1 rows of the one before.
+
+    This is what samples are stored as: every window of ``lag`` rows lies in one chunk, and a row is kept at most twice
+    instead of ``lag`` times.  Entries hold date_idx, keep and fields in time order.  One exchange on tick.
+    """
+    span = chunk_span(lag)
+    row = F.row_number().over(tick_window()) - 1
+    rows = panel.select("tick", "date_idx", *keep, *fields).withColumn("_row", row)
+    own = F.floor(F.col("_row") / span)
+    last = F.floor((F.count(F.lit(1)).over(Window.partitionBy("tick")) - 1) / span)  # a tick has at most one row a date
+    shared = (F.pmod("_row", F.lit(span)) > span - lag) & (own < F.col("_last"))
+    placed = rows.withColumn("_last", last).withColumn("chunk", F.explode(F.when(
+        shared, F.array(own, own + 1)).otherwise(F.array(own))))
+    entry = F.struct("_row", "date_idx", *keep, *fields)
+    return placed.groupBy("tick", "chunk").agg(F.sort_array(F.collect_list(entry)).alias("series"))
+
+
+def cut_windows(chunks: DataFrame, fields: Sequence[str], lag: int, keep: Sequence[str] = (), where=None) -> DataFrame:
+    """(date_idx, tick, keep, seq) of every full window of stored chunks.
+
+    ``where`` is a condition on the entry that ends a window; windows that fail it are not cut.
+    """
+    ends = F.when(F.size("series") >= lag, F.sequence(F.lit(lag - 1), F.size("series") - 1)).otherwise(F.array().cast("array<int>"))
+    if where is not None:
+        ends = F.filter(ends, lambda p: where(F.get("series", p)))
+    window = F.transform(ends, lambda p: F.struct(
+        F.get("series", p)["date_idx"].alias("date_idx"), F.col("tick"), *[F.get("series", p)[c].alias(c) for c in keep],
+        only(F.slice("series", p - lag + 2, F.lit(lag)), fields).alias("seq")))
+    return chunks.select(F.inline(window))
+
+
 def hash_unit(*parts: ColumnOrName) -> Column:
     """Uniform number in [0, 1) from the text of its arguments; the same on every engine and run."""
     text = F.concat_ws("|", *[as_col(p).cast("string") for p in parts])
@@ -68,11 +105,23 @@ def dead(branches: dict[str, Sequence[str]]) -> Column:
     return F.when(limit > 0, F.exists(F.sequence(F.lit(0), limit - 1), silent)).otherwise(False)
 
 
+STAMPS = ("_month", "_day", "_weekday")
+
+
+def stamped(panel: DataFrame) -> DataFrame:
+    return panel.withColumns({"_month": F.month("date"), "_day": F.dayofmonth("date"), "_weekday": F.weekday("date")})
+
+
+def sample_chunks(panel: DataFrame, fields: Sequence[str], lag: int, label: str, pool: str | None = None) -> DataFrame:
+    """Chunks to store for :func:`assemble_samples`."""
+    return chunk_series(stamped(panel), [*fields, *STAMPS], lag, [c for c in ("date", label, "tradable", pool) if c])
+
+
 def assemble_samples(panel: DataFrame, fields: Sequence[str], lag: int, label: str, mode: str = "universe",
                      minutes: tuple[DataFrame, Sequence[str]] | None = None,
                      events: tuple[DataFrame, Sequence[str], int] | None = None,
                      time_code: bool = False, null_filter_branches: Sequence[str] | None = None,
-                     flatten: bool = False, fill: bool = True, **universe) -> DataFrame:
+                     flatten: bool = False, fill: bool = True, chunks: DataFrame | None = None, **universe) -> DataFrame:
     """One row per (date_idx, tick): ``daily`` lag array, optional minute, time-code and event branches, label.
 
     ``minute_idx`` of the bars counts minutes after midnight; with ``time_code`` the minute branch gets
@@ -84,10 +133,15 @@ def assemble_samples(panel: DataFrame, fields: Sequence[str], lag: int, label: s
     drop out (all sequence branches by default, the daily one only when
     ``flatten``), and NULLs become 0 when ``fill``.  The daily window and the
     event window share the partitioning on tick.
+
+    With ``chunks``, a stored :func:`sample_chunks` of the same panel, windows are cut from it and ``panel`` may be None.
     """
     pick = [c for c in ("date", label, "tradable", universe.get("pool")) if c]
-    stamped = panel.withColumns({"_month": F.month("date"), "_day": F.dayofmonth("date"), "_weekday": F.weekday("date")})
-    df = lag_windows(stamped, [*fields, "_month", "_day", "_weekday"], lag, keep=pick)
+    if chunks is None:
+        df = lag_windows(stamped(panel), [*fields, *STAMPS], lag, keep=pick)
+    else:
+        valid = None if mode == "fix" else lambda e: e["tradable"] & e[label].isNotNull()
+        df = cut_windows(chunks, [*fields, *STAMPS], lag, pick, valid)
     df = select_universe(df, mode, label, **universe)
     checked: dict[str, Sequence[str]] = {"daily": list(fields)}
     if minutes is not None:

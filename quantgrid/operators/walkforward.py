@@ -1,8 +1,8 @@
 """Walk-forward windows, splits, and a linear model fitted for all windows in one pass.
 
-The fit needs only sums of products, so every window (and every ensemble member)
-is one group of a single aggregate; the k x k systems are solved on that result,
-which holds one row per window.
+The fit needs only counts, means and centred products.  One scan of the rows gives these per date and ensemble member;
+the states of dates merge into those of periods and of windows by the pairwise formula, so no row is copied per window or
+member, and validation ICs follow from the dates' states too.  The k x k systems are solved on one row per window.
 """
 
 from __future__ import annotations
@@ -14,8 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantgrid.core import small_side
-from quantgrid.operators.evaluate import ensemble_mean, ic
+from quantgrid.core import settle, small_side, store
 from quantgrid.operators.rolling import value_array
 from quantgrid.operators.samples import hash_unit
 
@@ -60,38 +59,128 @@ def concat_windows(predictions: DataFrame, keys: Sequence[str] = ("date", "tick"
     return one.where(single).drop("_n")
 
 
-def moments(rows: DataFrame, features: Sequence[str], label: str | None, by: Sequence[str]) -> DataFrame:
-    """by + n, feature means and the flattened centred covariance (upper triangle, label last when given).
+class States:
+    """Counts, means and centred products (upper triangles) of several groups, merged by the pairwise formula."""
+
+    def __init__(self, width: int):
+        self.i, self.j = np.triu_indices(width)
+        self.of: dict[object, tuple[int, np.ndarray, np.ndarray]] = {}
+
+    def merge(self, key, n: int, mean: np.ndarray, prod: np.ndarray) -> None:
+        if key in self.of:
+            n0, mean0, prod0 = self.of[key]
+            if n and n0:
+                gap, w = mean - mean0, n / (n0 + n)
+                mean, prod = mean0 + w * gap, prod0 + prod + n0 * w * gap[self.i] * gap[self.j]
+            elif n0:
+                mean, prod = mean0, prod0
+            n += n0
+        self.of[key] = n, mean, prod
+
+    def add(self, codes: np.ndarray, keys: Sequence, x: np.ndarray) -> None:
+        """Rows of x, whose group is keys[code]."""
+        for at in range(0, len(x), 4096):  # bounds the products of rows
+            part, order = codes[at:at + 4096], np.argsort(codes[at:at + 4096], kind="stable")
+            y, part = x[at:at + 4096][order], part[order]
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            n = np.diff(np.r_[starts, len(part)])
+            mean = np.add.reduceat(y, starts) / n[:, None]
+            y = y - np.repeat(mean, n, 0)
+            prod = np.add.reduceat(y[:, self.i] * y[:, self.j], starts)
+            for g, code in enumerate(part[starts].tolist()):
+                self.merge(keys[code], int(n[g]), mean[g], prod[g])
+
+    def frame(self) -> pd.DataFrame:
+        rows = [(k, n, mean.tolist(), prod.tolist()) for k, (n, mean, prod) in self.of.items()]
+        return pd.DataFrame(rows, columns=["_k", "n", "mean", "prod"])
+
+
+STATE = "_k string, n long, mean array<double>, prod array<double>"
+
+
+def merged(states: DataFrame, width: int) -> DataFrame:
+    """One state per _k."""
+    def run(batches):
+        total = States(width)
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                total.merge(row[0], int(row[1]), np.asarray(row[2], float), np.asarray(row[3], float))
+        yield total.frame()
+
+    return states.select("_k", "n", "mean", "prod").repartition("_k").mapInPandas(run, STATE)
+
 
-    Means first; then each task adds up one matrix product per group around them, and the entries are summed with
-    map-side combine.  The plan does not grow with the number of feature pairs.
+def _key(by: Sequence[str]) -> Column:
+    return F.to_json(F.struct(*[F.col(b).alias(b) for b in by])) if by else F.lit("{}")
+
+
+def group_states(rows: DataFrame, names: Sequence[str], by: Sequence[str], members: Sequence[Column] = ()) -> DataFrame:
+    """by + member, n, mean, prod: moments of the rows where every name is known, in one scan without a shuffle of rows.
+
+    ``members`` are conditions; member i holds the rows that meet the i-th, member -1 all rows.  A group whose rows all
+    miss a name has n = 0.  A task holds one state per group and member that it meets.
     """
-    names, by = [*features, *([label] if label else [])], list(by)
-    known = rows
-    for c in names:
-        known = known.where(F.col(c).isNotNull())
-    m = len(names)
-    upper = np.triu_indices(m)
-    key = F.struct(*[F.col(b).alias(b) for b in by]) if by else F.struct(F.lit(0).alias("_all"))
-    tall = known.select(F.to_json(key).alias("_k"), *by, F.array(*[F.col(c).cast("double") for c in names]).alias("_v"))
-    centre = small_side(tall.groupBy("_k", *by).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(F.col("_v")[i]) for i in range(m)]).alias("mean")))
-
-    def products(batches):
-        total: dict[str, np.ndarray] = {}
+    by, width, teams = list(by), len(names), len(members)
+    tall = rows.select(_key(by).alias("_k"), F.array(*members).alias("_in"), *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(names)])
+
+    def run(batches):
+        total = States(width)
         for pdf in batches:
-            for k, g in pdf.groupby("_k", sort=False):
-                x = np.stack(g["_v"].to_list()) - np.asarray(g["mean"].iloc[0])
-                p = (x.T @ x)[upper]
-                total[k] = total[k] + p if k in total else p
-        for k, p in total.items():
-            yield pd.DataFrame({"_k": k, "_i": np.arange(len(p), dtype=np.int32), "_p": p})
+            codes, keys = pd.factorize(pdf["_k"])
+            x = pdf[[f"_v{i}" for i in range(width)]].to_numpy(float)
+            known = ~np.isnan(x).any(1)
+            for k in keys:
+                if (k, -1) not in total.of:
+                    total.of[k, -1] = 0, np.zeros(width), np.zeros(len(total.i))
+            if known.any():
+                total.add(codes[known], [(k, -1) for k in keys], x[known])
+                if teams:
+                    drawn = np.stack(pdf["_in"].to_list()).astype(bool)
+                    for m in range(teams):
+                        mine = known & drawn[:, m]
+                        if mine.any():
+                            total.add(codes[mine], [(k, m) for k in keys], x[mine])
+        out = total.frame()
+        yield out.assign(_k=[f"{m} {k}" for k, m in out["_k"]])
+
+    states = merged(tall.mapInPandas(run, STATE), width)
+    named = states.select(F.substring_index("_k", " ", 1).cast("int").alias("member"),
+                          F.expr("substr(_k, instr(_k, ' ') + 1)").alias("_k"), "n", "mean", "prod")
+    types = dict(rows.select(*by).dtypes)
+    key = F.from_json("_k", ", ".join(f"`{b}` {types[b]}" for b in by)) if by else None
+    return named.select(*[key[b].alias(b) for b in by], "member", "n", "mean", "prod")
 
-    around = (tall.select("_k", "_v").join(centre.select("_k", "mean"), "_k") if by
-              else tall.select("_k", "_v").withColumn("mean", centre.select("mean").scalar()))
-    sums = around.mapInPandas(products, "_k string, _i int, _p double").groupBy("_k", "_i").agg(F.sum("_p").alias("_p"))
-    flat = sums.groupBy("_k").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_p"))), lambda e: e["_p"]).alias("_p"))
-    whole = centre.join(flat, "_k") if by else centre.withColumn("_p", flat.select("_p").scalar())
-    return whole.select(*by, "n", "mean", F.transform("_p", lambda p: p / F.col("n")).alias("cov"))
+
+def moments(rows: DataFrame, features: Sequence[str], label: str | None, by: Sequence[str]) -> DataFrame:
+    """by + n, feature means and the flattened covariance (upper triangle, label last when given); groups with rows only."""
+    names = [*features, *([label] if label else [])]
+    states = group_states(rows, names, by).where("n > 0")
+    return states.select(*by, "n", "mean", F.transform("prod", lambda p: p / F.col("n")).alias("cov"))
+
+
+def periods(windows: DataFrame) -> DataFrame:
+    """One row: the sorted days at which a split of some window starts or has ended."""
+    ends = windows.select(F.explode(F.array("start", F.date_add("end", 1))).alias("day"))
+    return ends.agg(F.sort_array(F.collect_set("day")).alias("days"))
+
+
+def over_windows(states: DataFrame, windows: DataFrame, width: int, date: str = "date") -> DataFrame:
+    """(window, split, member, n, mean, prod) from states per date and member.
+
+    Dates merge into the periods between window borders, periods into windows: a state is copied once per window that
+    its period lies in, rows never.
+    """
+    days = settle(periods(windows))[0].scalar()
+    start = F.array_max(F.filter("_days", lambda d: d <= F.col(date)))
+    placed = states.withColumn("_days", days).withColumn("_p", start).where("_p is not null")
+    by_period = merged(placed.withColumn("_k", F.concat_ws(" ", "member", "_p")), width).select(
+        F.substring_index("_k", " ", 1).cast("int").alias("member"), F.substring_index("_k", " ", -1).cast("date").alias("_p"), "n", "mean", "prod")
+    inside = F.filter("_days", lambda d: (d >= F.col("start")) & (d <= F.col("end")))
+    parts = small_side(windows.withColumn("_days", days).select("window", "split", F.explode(inside).alias("_p")))
+    whole = merged(by_period.join(parts, "_p").withColumn("_k", F.concat_ws(" ", "window", "split", "member")), width)
+    part = F.split("_k", " ")
+    return whole.select(part[0].cast(windows.schema["window"].dataType).alias("window"), part[1].alias("split"),
+                        part[2].cast("int").alias("member"), "n", "mean", "prod")
 
 
 def _square(flat: np.ndarray, m: int) -> np.ndarray:
@@ -100,11 +189,9 @@ def _square(flat: np.ndarray, m: int) -> np.ndarray:
     return out + np.triu(out, 1).T
 
 
-def fit_ridge(train: DataFrame, features: Sequence[str], label: str, by: Sequence[str],
-              penalties: Sequence[float]) -> DataFrame:
-    """by + (penalty, coef, intercept): ridge on the centred moments for every group and penalty."""
-    stats = moments(train, features, label, by)
-    types, k = dict(stats.dtypes), len(features)
+def solve_ridge(stats: DataFrame, width: int, by: Sequence[str], penalties: Sequence[float]) -> DataFrame:
+    """by + (penalty, coef, intercept) from n, mean, cov with the label last."""
+    types, k = dict(stats.dtypes), width - 1
     schema = ", ".join(f"{b} {types[b]}" for b in by) + ", penalty double, coef array<double>, intercept double"
 
     def solve(batches):
@@ -121,6 +208,12 @@ def fit_ridge(train: DataFrame, features: Sequence[str], label: str, by: Sequenc
     return stats.mapInPandas(solve, schema)
 
 
+def fit_ridge(train: DataFrame, features: Sequence[str], label: str, by: Sequence[str],
+              penalties: Sequence[float]) -> DataFrame:
+    """by + (penalty, coef, intercept): ridge on the centred moments for every group and penalty."""
+    return solve_ridge(moments(train, features, label, by), len(features) + 1, by, penalties)
+
+
 def linear_score(features: Sequence[str]) -> Column:
     """Prediction of a joined (coef, intercept); NULL if a feature is."""
     out = F.col("intercept")
@@ -129,36 +222,75 @@ def linear_score(features: Sequence[str]) -> Column:
     return out
 
 
+def linear_ics(valid: DataFrame, models: DataFrame, width: int) -> DataFrame:
+    """(window, member, penalty, ic): mean daily IC of linear predictions, from the states of a window's valid dates.
+
+    A date's IC has both deviations padded by 1e-6 and is 0 without complete rows, as in :func:`evaluate.ic`.
+    """
+    k = width - 1
+
+    def run(key, days, fitted):
+        if not len(days) or not len(fitted):
+            return pd.DataFrame({"window": [], "member": [], "penalty": [], "ic": []})
+        b = np.stack(fitted["coef"].to_list())
+        n = np.maximum(days["n"].to_numpy(), 1)
+        total = np.zeros(len(b))
+        for i, flat in enumerate(days["prod"]):  # at most one row per date of the calendar
+            c = _square(np.asarray(flat, float), width) / n[i]
+            spread = np.sqrt(np.maximum(((b @ c[:k, :k]) * b).sum(1), 0))
+            total += (b @ c[:k, k]) / (spread + 1e-6) / (np.sqrt(c[k, k]) + 1e-6)
+        return fitted[["window", "member", "penalty"]].assign(ic=total / len(days))
+
+    schema = f"window {models.schema['window'].dataType.simpleString()}, member int, penalty double, ic double"
+    return valid.groupBy("window").cogroup(models.groupBy("window")).applyInPandas(run, schema)
+
+
+def choose_models(rows: DataFrame, windows: DataFrame, features: Sequence[str], label: str, penalties: Sequence[float],
+                  members: int = 1, fraction: float = 1.0, seed: int = 0, date: str = "date") -> DataFrame:
+    """(window, member, penalty, coef, intercept): the penalty of the best mean valid IC, ties to the smaller one.
+
+    One scan of the rows.
+    """
+    width = len(features) + 1
+    drawn = [hash_unit("tick", date, F.lit(m) + seed) < fraction for m in range(members)] if fraction < 1 else []
+    states = store(group_states(rows, [*features, label], [date], drawn))
+    whole = over_windows(states.where("n > 0"), windows.where("split = 'train'"), width, date)
+    if drawn:
+        train = whole.where("member >= 0")
+    else:
+        train = whole.where("member = -1").withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(members - 1))))
+    stats = train.select("window", "member", "n", "mean", F.transform("prod", lambda p: p / F.col("n")).alias("cov"))
+    models = small_side(solve_ridge(stats, width, ["window", "member"], penalties))
+    valid = assign_split(states.where("member = -1").drop("member"), windows.where("split = 'valid'"), date)
+    score = small_side(linear_ics(valid, models, width).withColumn("ic", F.round("ic", 9)))
+    best = score.groupBy("window", "member").agg(F.max_by("penalty", F.struct("ic", -F.col("penalty"))).alias("penalty"))
+    return small_side(models.join(small_side(best), ["window", "member", "penalty"]))
+
+
 def walk_forward_predict(rows: DataFrame, windows: DataFrame, features: Sequence[str], label: str,
                          penalties: Sequence[float] = (0.0, 0.1, 1.0, 10.0), members: int = 1,
                          fraction: float = 1.0, seed: int = 0, date: str = "date") -> DataFrame:
-    """(window, member, date, tick, pred): per window fit on train, pick the penalty by mean valid IC, predict test.
+    """(window, member, date, tick, penalty, pred): per window fit on train, pick the penalty by mean valid IC, predict test.
 
     With ``members`` > 1 each member trains on its own hashed share of the rows.
     """
-    tagged = assign_split(rows, windows, date)
-    by = ["window", "member"]
-    team = tagged.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(members - 1))))
-    train = team.where(F.col("split") == "train")
-    if fraction < 1:
-        train = train.where(hash_unit("tick", date, F.col("member") + seed) < fraction)
-    models = small_side(fit_ridge(train, features, label, by, penalties))
-    valid = (team.where(F.col("split") == "valid").join(models, by)
-             .withColumn("pred", linear_score(features)))
-    daily = ic(valid, "pred", label, [*by, "penalty", date])
-    score = daily.groupBy(*by, "penalty").agg(F.round(F.avg("ic"), 9).alias("_ic"))
-    best = score.groupBy(*by).agg(F.max_by("penalty", F.struct("_ic", -F.col("penalty"))).alias("penalty"))
-    chosen = small_side(models.join(small_side(best), [*by, "penalty"]))
-    test = team.where(F.col("split") == "test").join(chosen, by)
+    chosen = choose_models(rows, windows, features, label, penalties, members, fraction, seed, date)
+    test = assign_split(rows, windows.where("split = 'test'"), date).join(chosen, "window")
     return test.select("window", "member", date, "tick", "penalty", linear_score(features).alias("pred"))
 
 
 def bagged_predict(rows: DataFrame, windows: DataFrame, features: Sequence[str], label: str, members: int = 5,
                    fraction: float = 0.8, seed: int = 0, penalties: Sequence[float] = (0.0, 0.1, 1.0, 10.0),
                    date: str = "date") -> DataFrame:
-    """(window, date, tick, pred): mean over members trained on seeded row samples."""
-    each = walk_forward_predict(rows, windows, features, label, penalties, members, fraction, seed, date)
-    return ensemble_mean(each, "pred", ("window", date, "tick"))
+    """(window, date, tick, pred): mean over members trained on seeded row samples.
+
+    The mean of linear models is the model of mean coefficients, so a test row is read once.
+    """
+    chosen = choose_models(rows, windows, features, label, penalties, members, fraction, seed, date)
+    mean = [F.avg(F.col("coef")[i]) for i in range(len(features))]
+    team = small_side(chosen.groupBy("window").agg(F.array(*mean).alias("coef"), F.avg("intercept").alias("intercept")))
+    test = assign_split(rows, windows.where("split = 'test'"), date).join(team, "window")
+    return test.select("window", date, "tick", linear_score(features).alias("pred"))
 
 
 def score_embeddings(panel: DataFrame, col: str, lag: int, dims: int, keep: Sequence[str] = ()) -> DataFrame:

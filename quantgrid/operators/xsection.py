@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantgrid.core import attach, small_side
-from quantgrid.functions.scalar import clip, yeo_johnson_value
+from quantgrid.functions.scalar import clip, null_if_not_finite, yeo_johnson_derivatives, yeo_johnson_value
 from quantgrid.operators.order_stats import average_rank, group_medians, group_quantiles
 
 DATE = ("date_idx",)
@@ -171,22 +171,26 @@ def neutralise_event(df: DataFrame, cols: Sequence[str], group: str = "industry"
     Mean and variance of log size use every row of the group, the covariance only
     rows with both sides (around those means); slope 0 when that variance is at most
     1e-12.  All moments are centred ones, so a flat group has none of their rounding.
+    A line through the only two rows of a group leaves no degree of freedom: residual 0.
     """
     keys = [*by, group]
     s = F.col(log_size)
-    aggs = [F.avg(s).alias("_ms"), F.var_pop(s).alias("_vs")]
+    aggs = [F.avg(s).alias("_ms"), F.var_pop(s).alias("_vs"), F.count(s).alias("_ns")]
     for c in cols:
         x, both = F.col(c), F.when(F.col(c).isNotNull(), s)
         aggs += [F.avg(x).alias(f"{c}_mx"), F.covar_pop(x, s).alias(f"{c}_mxs"),
-                 F.avg(F.when(s.isNotNull(), x)).alias(f"{c}_mxb"), F.avg(both).alias(f"{c}_msb")]
+                 F.avg(F.when(s.isNotNull(), x)).alias(f"{c}_mxb"), F.avg(both).alias(f"{c}_msb"),
+                 F.count(x).alias(f"{c}_nx"), F.count(both).alias(f"{c}_nb")]
     j = attach(df, df.groupBy(*keys).agg(*aggs).where(F.col(group).isNotNull()), keys)
     new = {}
     for c in cols:
         mx, ms = F.col(f"{c}_mx"), F.col("_ms")
         cov = F.col(f"{c}_mxs") + (F.col(f"{c}_mxb") - mx) * (F.col(f"{c}_msb") - ms)
         beta = F.when(F.col("_vs") > 1e-12, cov / F.nullif(F.col("_vs"), F.lit(0.0))).otherwise(0.0)
-        new[c + suffix] = F.col(c) - mx - beta * (s - ms)
-    return _with(j, new, ["_ms", "_vs"] + [f"{c}_{t}" for c in cols for t in ("mx", "mxs", "mxb", "msb")])
+        fitted = (F.col("_vs") > 1e-12) & (F.col("_ns") == 2) & (F.col(f"{c}_nx") == 2) & (F.col(f"{c}_nb") == 2)
+        residual = F.col(c) - mx - beta * (s - ms)
+        new[c + suffix] = F.when(fitted & residual.isNotNull(), 0.0).otherwise(residual)
+    return _with(j, new, ["_ms", "_vs", "_ns"] + [f"{c}_{t}" for c in cols for t in ("mx", "mxs", "mxb", "msb", "nx", "nb")])
 
 
 def fill_industry_median(df: DataFrame, cols: Sequence[str], group: str = "industry",
@@ -215,51 +219,59 @@ def cs_orthogonalise(df: DataFrame, y: str, x: str, by: Sequence[str] = DATE, ou
     return _with(j, {out: F.col(y) - (F.col("_a") + F.col("_b") * F.col(x))}, ["_a", "_b"])
 
 
-def yeo_johnson_lambda(df: DataFrame, x: str, by: Sequence[str] = DATE, levels: int = 4, points: int = 21,
-                       low: float = -2.0, high: float = 4.0) -> DataFrame:
-    """by + lam: maximum-likelihood exponent per group by successively finer grids.
-
-    Each level tries ``points`` exponents around the best one so far.  A group whose best exponent lies at the edge of
-    its grid moves there with twice the width first, so the start interval is no bound.  Candidates multiply rows only
-    inside the map-side aggregate, so no group meets in a task and the shuffle carries points x groups rows.  Constant
-    groups give no row.
+def yeo_johnson_slopes(df: DataFrame, x: str, lam: str, by: Sequence[str]) -> DataFrame:
+    """by + first and second derivative of the log-likelihood in the exponent column ``lam``, NULL where it overflows or
+    the transformed values do not vary."""
+    y, y1, y2 = yeo_johnson_derivatives(x, lam)
+    stats = df.select(*by, lam, F.col(x).alias("_x"), y.alias("_y"), y1.alias("_y1"), y2.alias("_y2")).groupBy(*by, lam).agg(
+        F.count(F.lit(1)).alias("n"), F.var_pop("_y").alias("v"), F.covar_pop("_y", "_y1").alias("c1"), F.var_pop("_y1").alias("v1"),
+        F.covar_pop("_y", "_y2").alias("c2"), F.sum(F.signum("_x") * F.log1p(F.abs("_x"))).alias("j"))
+    lean = F.try_divide(F.col("c1"), F.col("v"))
+    slope = F.col("j") - F.col("n") * lean
+    curve = -F.col("n") * (F.try_divide(F.col("v1") + F.col("c2"), F.col("v")) - 2 * lean * lean)
+    usable = (F.col("v") > 1e-300) & (F.col("v") < float("inf"))
+    return stats.select(*by, lam, F.when(usable, null_if_not_finite(slope)).alias("slope"), F.when(usable, null_if_not_finite(curve)).alias("curve"))
+
+
+def yeo_johnson_lambda(df: DataFrame, x: str, by: Sequence[str] = DATE, start: float = 1.0, tol: float = 1e-9,
+                       limit: float = 1e6) -> DataFrame:
+    """by + lam: maximum-likelihood exponent per group by safeguarded Newton steps from ``start``.
+
+    A round is one aggregate: each row is transformed once, at its group's present exponent.  The sign of the slope keeps
+    a bracket; a step that leaves it, or that goes uphill in curvature, becomes a bisection, or doubles the distance while
+    one side is open.  A group is done when its step is at most ``tol`` (relative above 1), so the result does not depend
+    on where the search started.  Constant groups give no row; a likelihood that rises beyond ``limit`` gives the limit.
     """
     known = df.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"))
-    at = F.sequence(F.lit(0), F.lit(points - 1))
-    best, done = None, None
+    varied = known.groupBy(*by).agg(F.min("_x").alias("_mn"), F.max("_x").alias("_mx")).where("_mn < _mx")
+    nothing = F.lit(None).cast("double")
+    state = small_side(varied.select(*by, F.lit(float(start)).alias("lam"), nothing.alias("_lo"), nothing.alias("_hi")))
+    done = None
     while True:
-        if best is None:
-            tried = known.select(*by, "_x", F.lit(low).alias("_low"), F.lit((high - low) / (points - 1)).alias("_step"), F.lit(1).alias("_level"))
-        else:
-            tried = known.join(best, list(by)).select(*by, "_x", "_low", "_step", "_level")
-        tried = tried.select(*by, "_x", "_low", "_step", "_level", F.explode(at).alias("_i"))
-        lam = F.col("_low") + F.col("_i") * F.col("_step")
-        y = yeo_johnson_value("_x", lam)
-        fit = (tried.groupBy(*by, "_low", "_step", "_level", "_i")
-               .agg(F.count(F.lit(1)).alias("_n"), F.var_pop(y).alias("_v"),
-                    F.sum(F.signum("_x") * F.log1p(F.abs("_x"))).alias("_j"))
-               .where((F.col("_v") > 1e-300) & (F.col("_v") < float("inf")))
-               .withColumn("_llf", -F.col("_n") / 2.0 * F.ln("_v") + (lam - 1) * F.col("_j")))
-        found = (fit.groupBy(*by, "_low", "_step", "_level").agg(F.max_by("_i", F.struct("_llf", -F.col("_i"))).alias("_i"))
-                 .withColumn("lam", lam).withColumn("_edge", F.col("_i").isin(0, points - 1)))
-        found = small_side(found)
-        open_ = F.col("_edge") | (F.col("_level") < levels)
-        ready = found.where(~open_).select(*by, "lam")
+        at = yeo_johnson_slopes(known.join(state.select(*by, "lam"), list(by)), "_x", "lam", by).join(state.drop("lam"), list(by))
+        # beyond the representable exponents the likelihood only falls
+        rising = F.coalesce(F.col("slope") > 0, F.col("lam") < start)
+        lo, hi = F.when(rising, F.col("lam")).otherwise(F.col("_lo")), F.when(rising, F.col("_hi")).otherwise(F.col("lam"))
+        newton = F.when(F.col("curve") < 0, F.col("lam") - F.col("slope") / F.col("curve"))
+        reach = 2 * F.greatest(F.abs(F.col("lam") - start), F.lit(1.0))
+        safe = (F.coalesce(newton > lo, newton > F.col("lam") - reach) & F.coalesce(newton < hi, newton < F.col("lam") + reach))
+        step = F.coalesce((lo + hi) / 2, F.when(rising, F.col("lam") + reach).otherwise(F.col("lam") - reach))
+        after = F.when(F.col("slope") == 0, F.col("lam")).when(F.coalesce(safe, F.lit(False)), newton).otherwise(step)
+        near = F.lit(tol) * F.greatest(F.abs("lam"), F.lit(1.0))
+        moved = small_side(at.select(*by, "lam", lo.alias("_lo"), hi.alias("_hi"), after.alias("_to"), near.alias("_near")).withColumn(
+            "_done", (F.abs(F.col("_to") - F.col("lam")) <= F.col("_near")) | F.coalesce(F.col("_hi") - F.col("_lo") <= F.col("_near"), F.lit(False))
+            | (F.abs("_to") >= limit)))
+        ready = moved.where("_done").select(*by, F.least(F.greatest("_to", F.lit(-limit)), F.lit(limit)).alias("lam"))
         done = ready if done is None else done.unionByName(ready)
-        if found.where(open_).isEmpty():
+        if moved.where("not _done").isEmpty():
             return done
-        wide = F.col("_step") * (points - 1)
-        fine = 2 * F.col("_step") / (points - 1)
-        best = small_side(found.where(open_).select(
-            *by, F.when(F.col("_edge"), F.col("lam") - wide).otherwise(F.col("lam") - F.col("_step")).alias("_low"),
-            F.when(F.col("_edge"), 2 * F.col("_step")).otherwise(fine).alias("_step"),
-            F.when(F.col("_edge"), F.col("_level")).otherwise(F.col("_level") + 1).alias("_level")))
+        state = moved.where("not _done").select(*by, F.col("_to").alias("lam"), "_lo", "_hi")
 
 
-def yeo_johnson(df: DataFrame, col: str, by: Sequence[str] = DATE, out: str = "yeo", **grid) -> DataFrame:
+def yeo_johnson(df: DataFrame, col: str, by: Sequence[str] = DATE, out: str = "yeo", **search) -> DataFrame:
     """Power transform with the group's exponent, then population z-score; constant groups give NULL."""
     spread = df.groupBy(*by).agg(F.min(col).alias("_mn"), F.max(col).alias("_mx"))
-    lam = yeo_johnson_lambda(df, col, by, **grid)
+    lam = yeo_johnson_lambda(df, col, by, **search)
     stats = spread.join(lam, list(by)).where(F.col("_mx") > F.col("_mn")).select(*by, "lam")
     j = attach(df, stats, by).withColumn("_y", yeo_johnson_value(col, "lam"))
     return cs_zscore(j, ["_y"], by).withColumn(out, F.col("_y")).drop("_y", "lam")

@@ -51,9 +51,9 @@ def excess(s, d) -> DataFrame:
 
 
 query("beta", f"{EXCESS} select date_idx, tick, {sql_cols(beta=BETA)} from p2m")(
-    lambda s, d: show(excess(s, d), KEYS, beta=ST.beta(24, 6)))
+    lambda s, d: show(ST.beta(excess(s, d), 24, 6), KEYS, beta="beta"))
 query("momentum", f"{EXCESS} select date_idx, tick, {sql_cols(momentum=f'case when date_idx >= 26 then {MOM} end')} from p2m")(
-    lambda s, d: show(excess(s, d), KEYS, momentum=ST.momentum(24, 12, 3)))
+    lambda s, d: show(ST.momentum(excess(s, d), 24, 12, 3), KEYS, momentum="momentum"))
 on_p2("size", dict(size="case when mv > 0 then ln(mv) end"), size=lambda: ST.size())
 
 query("nonlinear_size", f"""{P2}, z as (select *, (ln(mv) - avg(ln(mv)) {D}) / nullif(stddev_pop(ln(mv)) {D}, 0) as z from p2),
@@ -78,16 +78,16 @@ select date_idx, tick, {sql_cols(liq="0.35 * m + 0.35 * case when q > 0 then ln(
     lambda s, d: show(ST.liquidity(p2(s, d), "volume", 3, 3, 6), KEYS, liq="liquidity"))
 
 DIVIDEND = "case when volume >= 3 then volume * 100 end"
-on_p2("earnings_yield",
-      dict(ey=f"0.68 * amount / nullif(mv, 0) + 0.21 * (case when date_idx >= 11 then coalesce(sum({DIVIDEND}) {W12}, 0) end) / nullif(close, 0)"
-              f" + 0.11 * (sum(amount) {W6}) / nullif(mv, 0)"),
-      ey=lambda: ST.earnings_yield("amount", F.when(F.col("volume") >= 3, F.col("volume") * 100),
-                                   F.sum("amount").over(R.past(6)), window=12))
+EY = (f"0.68 * amount / nullif(mv, 0) + 0.21 * (case when date_idx >= 11 then coalesce(sum({DIVIDEND}) {W12}, 0) end) / nullif(close, 0)"
+      f" + 0.11 * (sum(amount) {W6}) / nullif(mv, 0)")
+query("earnings_yield", f"{P2} select date_idx, tick, {sql_cols(ey=EY)} from p2")(
+    lambda s, d: show(ST.earnings_yield(p2(s, d), "amount", F.when(F.col("volume") >= 3, F.col("volume") * 100),
+                                        F.sum("amount").over(R.past(6)), window=12), KEYS, ey="earnings_yield"))
 
 SLOPE_V = SLOPE.replace("amount", "volume")
-on_p2("growth",
-      dict(g=f"0.18 * (r) + 0.11 * (close / (open + 1e-8) - 1) + 0.24 * ({SLOPE_V}) + 0.47 * ({SLOPE})"),
-      g=lambda: ST.growth("r", "close", "open", "volume", "amount", 24))
+GROWTH = f"0.18 * (r) + 0.11 * (close / (open + 1e-8) - 1) + 0.24 * ({SLOPE_V}) + 0.47 * ({SLOPE})"
+query("growth", f"{P2} select date_idx, tick, {sql_cols(g=GROWTH)} from p2")(
+    lambda s, d: show(ST.growth(p2(s, d), "r", "close", "open", "volume", "amount", 24), KEYS, g="growth"))
 
 on_p2("leverage",
       dict(lev="0.38 * (mv + volume + amount) / nullif(mv, 0) + 0.35 * amount / nullif(high, 0) + 0.27 * (close + amount) / nullif(close - volume, 0)"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quantgrid.functions.scalar import log_positive
 from quantgrid.operators import rolling as R
+from quantgrid.operators import scans as S
 from quantgrid.plans.fixtures import P1, P2, P3_BARS, e1, E1, p1, p2, p3_bars
 from quantgrid.plans.registry import query, rnd, show, sql_cols, sql_rnd
 
@@ -241,6 +242,42 @@ def minute_zscore(spark, sf):
     return show(op(p3_bars(spark, sf), ["volume"], trim=(1, 3)), ["date", "tick", "minute_idx"], z="volume_z")
 
 
+LONG = 60
+W60, AHEAD60 = frame(1 - LONG), frame(0, LONG - 1)
+
+
+def _pair60(z: str) -> str:
+    return wmean_sql(z, W60, 20.0)
+
+
+COV60 = f"({_pair60('r*rm')} - {_pair60('r')} * {_pair60('rm')})"
+VM60, VR60 = (f"({_pair60(f'{x}*{x}')} - {_pair60(x)} * {_pair60(x)})" for x in ("rm", "r"))
+FULL60 = f"date_idx >= {LONG - 1}"
+BETA60 = f"case when {FULL60} then case when {VM60} <= 1e-18 then 0 else {COV60} / {VM60} end end"
+MOM60 = ewm_sql("case when r > -1 then ln(1 + r) end", 30.0, frame(-LONG - 2, -3))
+SLOPE60 = (SLOPE.replace(W24, W60).replace("date_idx >= 23", FULL60).replace("11.5", str((LONG - 1) / 2))
+           .replace("24 * (24 * 24 - 1)", f"{LONG} * ({LONG} * {LONG} - 1)"))
+
+
+@query("long_windows", f"""{P2}{MKT}, c as (select *, sum(coalesce(case when r > -1 then ln(1 + r) end, 0)) {ALL} as c, {BETA60} as beta,
+  {COV60} as cov, {VM60} as vm, {VR60} as vr from p2m), v as (select *, vr - 2 * beta * cov + beta * beta * vm as v from c)
+select date_idx, tick, {sql_cols(4, avg_close=f"avg(close) {W60}", sd_close=f"stddev_pop(close) {W60}", top=f"max(high) {W60}", bottom=f"min(low) {W60}",
+  past=f"coalesce(product(1 + r) {W60}, 1) - 1", future=f"case when count(*) {AHEAD60} = {LONG} then coalesce(product(1 + r) {AHEAD60}, 1) - 1 end",
+  corr=corr_sql("r", "volume", W60, LONG - 1), paid=f"case when {FULL60} then coalesce(sum(volume) {W60}, 0) end",
+  beta="beta", mom=f"case when date_idx >= {LONG + 2} then {MOM60} end", cmra=f"case when {FULL60} then max(c) {W60} - min(c) {W60} end",
+  vol="sqrt(case when v < 0 then 0 else v end)", trend=SLOPE60)} from v""")
+def long_windows(spark, sf):
+    """Every long window by linear scans; those of one length share two sorts."""
+    panel = with_market(spark, sf).withColumn("c", R.running_log_return("r"))
+    out = S.with_windows(panel, avg_close=S.mean("close", LONG), sd_close=S.std("close", LONG), top=S.top("high", LONG),
+                         bottom=S.bottom("low", LONG), past=S.retprod("r", LONG, future=False), future=S.retprod("r", LONG),
+                         corr=S.corr("r", "volume", LONG), paid=S.nansum("volume", LONG), beta=S.beta("r", "rm", LONG, 20),
+                         mom=S.momentum("r", LONG, 30, 3), cmra=S.cum_range("c", LONG), trend=S.slope_over_mean("amount", LONG))
+    out = S.with_windows(out, vol=S.residual_vol("r", "rm", "beta", LONG, 20))
+    return show(out, KEYS, 4, **{k: k for k in ("avg_close", "sd_close", "top", "bottom", "past", "future", "corr", "paid", "beta", "mom",
+                                                "cmra", "vol", "trend")})
+
+
 over_p2("log_math",
         dict(lg="case when amount > 0 then ln(amount) end", l1="ln(1 + volume)", pw="pow(volume, 1.5)", sg="sign(r)",
              ab="abs(r)", th="tanh(r)", ex="exp(-abs(r))"),

@@ -119,7 +119,8 @@ def _store(panel):
 from ok left join el using (date_idx, tick) where {ALIVE}""")
 def _batch_samples(s, d):
     panel = base(s, d)
-    df = S.assemble_samples(panel, ["close", "volume"], 4, "y", events=(_store(panel), ["x"], 2), time_code=True)
+    chunks = stage(S.sample_chunks(panel, ["close", "volume"], 4, "y"))
+    df = S.assemble_samples(None, ["close", "volume"], 4, "y", events=(_store(panel), ["x"], 2), time_code=True, chunks=chunks)
     return df.select(big(), "tick", F.col("daily.close").alias("closes"), F.col("daily.volume").alias("volumes"),
                      F.col("time_code.month").cast("array<bigint>").alias("months"), F.col("events.x").alias("events"),
                      rnd("label").alias("label"))
@@ -146,8 +147,8 @@ def _minute_samples(s, d):
 
 query("flatten_samples", f"""{LISTS} select date_idx, tick, {ZC.format("c", "closes")}, {ZC.format("v", "volumes")}, {sql_cols(label="y")}
 from ok where pool and {ALIVE}""")(
-    lambda s, d: S.assemble_samples(base(s, d), ["close", "volume"], 4, "y", mode="pool", pool="pool", flatten=True).select(
-        big(), "tick", F.col("daily.close").alias("closes"), F.col("daily.volume").alias("volumes"), rnd("label").alias("label")))
+    lambda s, d: S.assemble_samples(None, ["close", "volume"], 4, "y", mode="pool", pool="pool", flatten=True, chunks=stage(
+        S.sample_chunks(base(s, d), ["close", "volume"], 4, "y", pool="pool"))).select(big(), "tick", F.col("daily.close").alias("closes"), F.col("daily.volume").alias("volumes"), rnd("label").alias("label")))
 
 @query("collate", f"""{LISTS}, sm as (select date_idx, tick, c, y, count(*) over (partition by date_idx) as n from ok where {ALIVE}),
 bt as (select *, floor({HASH.format("tick::varchar")} * ceil(n / 16.0))::bigint as batch from sm)
@@ -230,40 +231,80 @@ g as (select dim, m0, m1, sign(case when round(abs(q), 9) > round(abs(p), 9) the
 select date_idx, tick, dim::bigint as dim, {sql_cols(value="sg * (p * (x0 - m0) + q * (x1 - m1))")} from k, g""")(
     lambda s, d: show(W.score_embeddings(p2(s, d), "volume", 2, 2), ["date_idx", "tick", "dim"], value="value"))
 
-# Moments at the reference's widths: 18 features per window, 60 lags in one group.
+# Full widths: 18 features per window, 60 lags in one group.
 LAGGED = [f"{x}_{i}" for x in ("x1", "x2") for i in range(9)]
 PAIRS18 = [(a, b) for i, a in enumerate([*LAGGED, "y"]) for b in [*LAGGED, "y"][i:]]
+LAGGED_SQL = f"""f as (select date, tick, {retprod_sql(3)} as y, {", ".join(
+    f"lag({e}, {i}) over (partition by tick order by date_idx) as {x}_{i}" for x, e in (("x1", "r"), ("x2", "ln(volume)")) for i in range(9))} from p2)"""
+COV18 = f"""[{", ".join(f"covar_pop({a}, {b})" for a, b in PAIRS18)}]"""
+KNOWN18 = " and ".join(f"{c} is not null" for c in [*LAGGED, "y"])
 
 
-@query("walk_forward_moments", f"""{P2}, {WIN}, f as (select date, tick, {retprod_sql(3)} as y, {", ".join(
-    f"lag({e}, {i}) over (partition by tick order by date_idx) as {x}_{i}" for x, e in (("x1", "r"), ("x2", "ln(volume)")) for i in range(9))} from p2),
-tr as (select "window", f.* from f join win on date between "start" and "end" where split = 'train' and {" and ".join(f"{c} is not null" for c in [*LAGGED, "y"])}),
-mo as (select "window", count(*) as n, [{", ".join(f"covar_pop({a}, {b})" for a, b in PAIRS18)}] as c from tr group by 1)
-select "window", n, i - 1 as pair, floor(c[i] * 100000000.0::double + 0.5) / 100000000.0::double as cov from mo, range(1, {len(PAIRS18) + 1}) t(i)""")
-def _window_moments(s, d):
+def _lagged(s, d) -> DataFrame:
     w = Window.partitionBy("tick").orderBy("date_idx")
     panel = p2(s, d).withColumns({"y": R.rolling_retprod("r", 3), "v": F.ln("volume")})
-    rows = panel.select("date", "tick", "y", *[F.lag(e, i).over(w).alias(f"{x}_{i}") for x, e in (("x1", "r"), ("x2", "v")) for i in range(9)])
-    train = W.assign_split(rows, _windows(s, d)).where("split = 'train'")
-    out = W.moments(train, LAGGED, "y", ["window"])
-    return out.select(big("window"), "n", F.posexplode("cov").alias("pair", "cov")).select("window", "n", big("pair"), rnd("cov", 8).alias("cov"))
+    return panel.select("date", "tick", "y", *[F.lag(e, i).over(w).alias(f"{x}_{i}") for x, e in (("x1", "r"), ("x2", "v")) for i in range(9)])
+
+
+@query("walk_forward_moments", f"""{P2}, {WIN}, {LAGGED_SQL},
+tr as (select "window", f.* from f join win on date between "start" and "end" where split = 'train' and {KNOWN18}),
+mo as (select "window", count(*) as n, {COV18} as c from tr group by 1)
+select "window", n, i - 1 as pair, floor(c[i] * 100000000.0::double + 0.5) / 100000000.0::double as cov from mo, range(1, {len(PAIRS18) + 1}) t(i)""")
+def _window_moments(s, d):
+    names = [*LAGGED, "y"]
+    states = W.group_states(_lagged(s, d), names, ["date"]).where("n > 0")
+    out = W.over_windows(states, _windows(s, d).where("split = 'train'"), len(names))
+    cov = F.transform("prod", lambda p: p / F.col("n"))
+    return out.select(big("window"), "n", F.posexplode(cov).alias("pair", "cov")).select("window", "n", big("pair"), rnd("cov", 8).alias("cov"))
+
 
+def _system(i: int) -> str:
+    """Row i of the penalised normal equations, the right-hand side last."""
+    at = {p: k + 1 for k, p in enumerate(PAIRS18)}
+    cells = [f"c[{at[(a, b) if (a, b) in at else (b, a)]}]" for a in [LAGGED[i]] for b in [*LAGGED, "y"]]
+    cells[i] += " + p"
+    return f"[{', '.join(cells)}]"
 
-PAIRS60 = [(i, j) for i in range(60) for j in (i, i + 1, i + 7, 59) if j < 60]
+
+# Gauss-Jordan steps, one pivot a round.
+WIDE_FIT = f"""{P2.replace("with ", "with recursive ", 1)}, {WIN}, {LAGGED_SQL},
+tg as (select "window", split, f.* from f join win on date between "start" and "end"),
+mo as (select "window", [{", ".join(f"avg({c})" for c in [*LAGGED, "y"])}] as m, {COV18} as c from tg where split = 'train' and {KNOWN18} group by 1),
+g as (select "window", p, m, 1 as k, [{", ".join(_system(i) for i in range(18))}] as a from mo, (select unnest([0.0, 0.1, 1.0]::double[]) as p) pp
+  union all select "window", p, m, k + 1, list_transform(a, lambda w, i: case when i = k then list_transform(w, lambda v: v / a[k][k])
+    else list_transform(w, lambda v, j: v - w[k] / a[k][k] * a[k][j]) end) from g where k <= 18),
+cf as (select "window", p, m, list_transform(a, lambda w: w[19]) as b from g where k = 19),
+va as (select "window", p, date, y, m[19] + {" + ".join(f"b[{i + 1}] * ({c} - m[{i + 1}])" for i, c in enumerate(LAGGED))} as pred, tick, split
+  from tg join cf using ("window") where split <> 'train'),
+vi as ({ic_sql("pred", "y", "va").replace("date_idx", '"window", p, date').replace("group by 1", "where split = 'valid' group by 1, 2, 3")}),
+sc as (select "window", p, round(avg(ic), 9) as s from vi group by 1, 2), be as (select "window", arg_max(p, (s, -p)) as p from sc group by 1)
+select "window", date, tick, p as penalty, {sql_cols(pred="pred")} from va join be using ("window", p) where split = 'test'"""
+
+
+@query("walk_forward_predict_wide", WIDE_FIT)
+def _predict_wide(s, d):
+    out = W.walk_forward_predict(stage(_lagged(s, d)), _windows(s, d), LAGGED, "y", PEN)
+    return out.select(big("window"), "date", "tick", "penalty", rnd("pred").alias("pred"))
+
+
+PAIRS60 = [(i, j) for i in range(60) for j in range(i, 60)]
 
 
 @query("embedding_moments", f"""{P2}, a as (select list(volume) over (partition by tick order by date_idx rows between 59 preceding and current row) as x,
   count(volume) over (partition by tick order by date_idx rows between 59 preceding and current row) as k from p2),
-v as (select x from a where k = 60)
-select i, j, cov from (select unnest([{", ".join(str(i) for i, _ in PAIRS60)}]) as i, unnest([{", ".join(str(j) for _, j in PAIRS60)}]) as j,
-  unnest((select [{", ".join(f"covar_pop(x[{i + 1}], x[{j + 1}])" for i, j in PAIRS60)}] from v)) as cov)""".replace(
-    "select i, j, cov from", "select i::bigint as i, j::bigint as j, floor(cov * 1000000.0::double + 0.5) / 1000000.0::double as cov from"))
+v as (select x from a where k = 60),
+m as (select [{", ".join(f"covar_pop(x[{i + 1}], x[{j + 1}])" for i, j in PAIRS60)}] as c from v)
+select n - 1 as pair, floor(c[n] * 1000000.0::double + 0.5) / 1000000.0::double as cov from m, range(1, {len(PAIRS60) + 1}) t(n)""")
 def _embedding_moments(s, d):
     a = S.lag_windows(p2(s, d), ["volume"], 60).select(F.col("seq.volume").alias("x")).where(F.forall("x", lambda v: v.isNotNull()))
     out = W.moments(a.select(*[F.col("x")[i].alias(f"c{i}") for i in range(60)]), [f"c{i}" for i in range(60)], None, [])
-    at = {p: n for n, p in enumerate((i, j) for i in range(60) for j in range(i, 60))}
-    picked = F.array(*[F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(j).cast("bigint").alias("j"), rnd(F.col("cov")[at[i, j]]).alias("cov")) for i, j in PAIRS60])
-    return out.select(F.inline(picked))
+    return out.select(F.posexplode("cov").alias("pair", "cov")).select(big("pair"), rnd("cov").alias("cov"))
+
+
+@query("score_embeddings_wide")
+def _embeddings_wide(s, d):
+    """The first 8 of 60 components; eigenvectors are beyond SQL, tests/test_walkforward.py compares them with NumPy."""
+    return show(W.score_embeddings(p2(s, d), "volume", 60, 8), ["date_idx", "tick", "dim"], value="value")
 
 
 query("dominant_periods", f"""{P2}, c as (select tick, date_idx, coalesce(volume, 0) as v, count(*) over (partition by tick) as n from p2),

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quantgrid.core import scratch, stage
 from quantgrid.functions import scalar as SC
 from quantgrid.functions import timecode as TC
 from quantgrid.operators import filters as FL
-from quantgrid.plans.fixtures import E1, P1, P2, e1, e1_days, p1, p1_bars, p1_days, p2, table
+from quantgrid.operators import scans as S
+from quantgrid.operators.scans import with_windows
+from quantgrid.plans.fixtures import E1, P1, P2, e1, e1_days, p1, p1_bars, p1_days, p2, p2_bars, p2_days, table
 from quantgrid.plans.pit_queries import month_events
 from quantgrid.plans.registry import query, rnd, show, sql_cols
 from quantgrid.sources import panel_io as IO
-from quantgrid.sources.axis import date_axis, tick_axis
+from quantgrid.sources.axis import date_axis, densify, tick_axis
 
 KEYS = ["date_idx", "tick"]
 
@@ -58,6 +62,17 @@ def write_panel(s, d):
         F.count(F.lit(1)).alias("cells"), F.count("close").alias("traded"))
 
 
+@query("windows_on_stored_panel", f"""{P2} select date_idx, tick, {sql_cols(
+    m="case when date_idx >= 4 then avg(close) over (partition by tick order by date_idx rows between 4 preceding and current row) end",
+    top="max(high) over (partition by tick order by date_idx rows between 59 preceding and current row)")} from p2""")
+def windows_on_stored_panel(s, d):
+    """Facts stored by tick, made dense and windowed without an exchange on tick."""
+    name = f"bars_{uuid.uuid4().hex}"
+    IO.write_panel_by_tick(p2_bars(s, d), folder(s), name, 4, order="date")
+    grid = densify(IO.scan_facts_by_tick(s, name, ["high", "close"]), ["high", "close"], days=p2_days(s, d))
+    return show(with_windows(grid, m=S.mean("close", 5, full=True), top=S.top("high", 60)), KEYS, m="m", top="top")
+
+
 @query("scan_daily_files", f"""{P1} select a.date_idx, a.date, b.tick, b.close from p1_days a
 left join (select * from p1_bars where dayofweek(date) <> 0) b on b.date = a.date""")
 def scan_daily_files(s, d):

@@ -88,18 +88,25 @@ def yj_sql(x: str, lam: str) -> str:
             f"when {x} < 0 then case when abs(2 - {lam}) < 1e-12 then -ln(1 - {x}) else -(pow(1 - {x}, 2 - {lam}) - 1) / (2 - {lam}) end end")
 
 
-def _level(n: int, source: str, lam: str) -> str:
+def yj_search(name: str, source: str, low: str, high: str) -> str:
+    """Best exponent per date by bisection on the sign of the likelihood's slope; 70 halvings, constant dates left out."""
+    y = yj_sql("x", "lam")
+    y1 = (f"case when x >= 0 then (pow(x + 1, lam) * ln(x + 1) - {y}) / lam "
+          f"else (pow(1 - x, 2 - lam) * ln(1 - x) + {y}) / (2 - lam) end")
     return f"""
-t{n} as (select date_idx, {lam} as lam, x from {source}),
-g{n} as (select date_idx, lam, -count(*) / 2.0::double * ln(var_pop({yj_sql('x', 'lam')})) + (lam - 1) * sum(sign(x) * ln(1 + abs(x))) as llf
-  from t{n} group by 1, 2),
-l{n} as (select date_idx, arg_max(lam, (llf, -lam)) as lam from g{n} group by 1)"""
+{name}_s as (select date_idx, {low}::double as lo, {high}::double as hi, 1 as k from {source} group by 1 having max(x) > min(x)
+  union all select date_idx, case when up then lam else lo end, case when up then hi else lam end, k + 1 from (
+    select date_idx, lo, hi, lam, k, sum(sign(x) * ln(1 + abs(x))) > count(*) * covar_pop(y, y1) / var_pop(y) as up from (
+      select date_idx, lo, hi, lam, k, x, {y} as y, {y1} as y1
+      from (select *, (lo + hi) / 2 as lam from {name}_s where k <= 70) join {source} using (date_idx)) group by all)),
+{name} as (select date_idx, (lo + hi) / 2 as lam from {name}_s where k = 71)"""
 
 
-STEP = "(6.0::double / 20)"
-YEO = f"""{P1}, x as (select date_idx, ln(close) as x from p1 where close > 0),
-{_level(1, "x, range(21) s(i)", f"-2.0 + i * {STEP}")},
-{_level(2, "x join l1 using (date_idx), range(21) s(i)", f"lam - {STEP} + i * (2 * {STEP} / 20)")}"""
+def recursive(sql: str) -> str:
+    return sql.replace("with ", "with recursive ", 1)
+
+
+YEO = f"""{recursive(P1)}, x as (select date_idx, ln(close) as x from p1 where close > 0), {yj_search("l2", "x", "-13.3", "11.9")}"""
 
 
 def _log_close(s, d):
@@ -107,11 +114,11 @@ def _log_close(s, d):
 
 
 query("yeo_johnson_lambda", f"{YEO} select date_idx, {sql_cols(lam='lam')} from l2")(
-    lambda s, d: show(X.yeo_johnson_lambda(_log_close(s, d), "x", levels=2), ["date_idx"], lam="lam"))
+    lambda s, d: show(X.yeo_johnson_lambda(_log_close(s, d), "x"), ["date_idx"], lam="lam"))
 
 query("yeo_johnson", f"""{YEO}, y as (select date_idx, tick, {yj_sql('ln(close)', 'lam')} as y from p1 left join l2 using (date_idx))
 select date_idx, tick, {sql_cols(yeo=f"(y - avg(y) {D}) / stddev_pop(y) {D}")} from y""")(
-    lambda s, d: show(X.yeo_johnson(_log_close(s, d), "x", levels=2), KEYS, yeo="yeo"))
+    lambda s, d: show(X.yeo_johnson(_log_close(s, d), "x"), KEYS, yeo="yeo"))
 
 query("neutralise_ind_size", f"""{P2}, b as (select *, ln(mv) as s,
   case when amount is not null and mv > 0 then amount / 1000 end as x from p2g),
@@ -123,9 +130,11 @@ select date_idx, tick, {sql_cols(4, n=f"(res - avg(res) {DI}) / (stddev_pop(res)
     lambda s, d: show(X.neutralise(stage(p2g(s, d)).withColumn("x", F.col("amount") / 1000), ["x"]), KEYS, 4, n="x"))
 
 query("neutralise_event", f"""{P2}, b as (select *, ln(mv) as s from p2g),
-m as (select *, avg(close) {DI} as mx, avg(s) {DI} as ms, var_pop(s) {DI} as vs from b),
+m as (select *, avg(close) {DI} as mx, avg(s) {DI} as ms, var_pop(s) {DI} as vs,
+  count(s) {DI} = 2 and count(close) {DI} = 2 and count(close + s) {DI} = 2 as two from b),
 c as (select *, avg((close - mx) * (s - ms)) {DI} as cov from m),
-e as (select *, close - mx - case when vs > 1e-12 then cov / vs else 0 end * (s - ms) as res from c)
+e as (select *, case when close + s is not null and two and vs > 1e-12 then 0
+  else close - mx - case when vs > 1e-12 then cov / vs else 0 end * (s - ms) end as res from c)
 select date_idx, tick, {sql_cols(4, n="res")} from e""")(
     lambda s, d: show(X.neutralise_event(p2g(s, d).withColumn("logmv", X.F.ln("mv")), ["close"]), KEYS, 4, n="close"))
 
@@ -136,14 +145,15 @@ select date_idx, tick, {sql_cols(c="coalesce(close, med)")} from p2g left join m
 
 def _clean_sql(x: str, n: int, source: str, neutral: bool) -> str:
     """One feature through fill, clip, neutralise, z-score; stages are numbered CTEs."""
-    fit = "(y - mx - case when vs > 1e-12 then cov / vs else 0 end * (s - ms))"
+    fit = "case when y is not null and s is not null and two and vs > 1e-12 then 0 else y - mx - case when vs > 1e-12 then cov / vs else 0 end * (s - ms) end"
     res = fit if neutral else "y"
     return f"""
 f{n} as (select *, coalesce({x}, median({x}) {DI}) as f from {source}),
 fm{n} as (select *, median(f) {D} as med from f{n}),
 fd{n} as (select *, median(abs(f - med)) {D} as mad from fm{n}),
 w{n} as (select *, {mad_sql("f")} as y, ln(mv) as s from fd{n}),
-n{n} as (select *, avg(y) {DI} as mx, avg(s) {DI} as ms, var_pop(s) {DI} as vs from w{n}),
+n{n} as (select *, avg(y) {DI} as mx, avg(s) {DI} as ms, var_pop(s) {DI} as vs,
+  count(s) {DI} = 2 and count(y) {DI} = 2 and count(y + s) {DI} = 2 as two from w{n}),
 c{n} as (select *, avg((y - mx) * (s - ms)) {DI} as cov from n{n}),
 r{n} as (select date_idx, tick, {res} as r from c{n}),
 z{n} as (select date_idx, tick, case when stddev_samp(r) {D} is null or stddev_samp(r) {D} = 0 then 0
@@ -198,11 +208,9 @@ def retprod_sql(w: int) -> str:
     return f"case when count(*) {f} = {w} then coalesce(product(1 + r) {f}, 1) - 1 end"
 
 
-@query("label_family", f"""{P2}, y as (select *, {retprod_sql(1)} as y1, {retprod_sql(3)} as y3 from p2g),
+@query("label_family", f"""{recursive(P2)}, y as (select *, {retprod_sql(1)} as y1, {retprod_sql(3)} as y3 from p2g),
 x as (select date_idx, y3 as x from y where y3 is not null),
-{_level(1, "x, range(21) s(i)", "-80.0::double + i * 8.0::double")},
-{_level(2, "x join l1 using (date_idx), range(21) s(i)", "lam - 8.0::double + i * 0.8::double")},
-{_level(3, "x join l2 using (date_idx), range(21) s(i)", "lam - 0.8::double + i * 0.08::double")},
+{yj_search("l3", "x", "-251.3", "249.9")},
 yt as (select date_idx, tick, {yj_sql('y3', 'lam')} as t from y left join l3 using (date_idx)),
 yz as (select date_idx, tick, case when stddev_pop(t) {D} >= 1e-8 then (t - avg(t) {D}) / stddev_pop(t) {D} end as y3_yeo from yt),
 nb as (select date_idx, tick, industry, case when y3 is not null and mv > 0 then y3 end as x, case when y3 is not null and mv > 0 then ln(mv) end as z from y),
@@ -221,6 +229,6 @@ select date_idx, tick, {sql_cols(
 from k left join q using (date_idx) left join yz using (date_idx, tick) left join nz using (date_idx, tick)""")
 def label_family(s, d):
     from quantgrid.factors.labels import gross_return, label_family as op
-    df = op(stage(p2g(s, d)), "r", [1, 3], p=0.1, yeo={"low": -80.0, "high": 80.0, "levels": 3})
+    df = op(stage(p2g(s, d)), "r", [1, 3], p=0.1)
     df = df.withColumn("gross", gross_return("close", 3))
     return show(df, KEYS, y3_yeo=rnd("y3_yeo", 3), y3_neutral=rnd("y3_neutral", 4), y1="y1", y3="y3", y3_z="y3_z", y3_rank="y3_rank", y3_shrink="y3_shrink", gross="gross")

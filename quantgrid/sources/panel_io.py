@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Sequence
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantgrid.core import ColumnOrName, as_col, attach, stage
+from quantgrid.core import ColumnOrName, as_col, attach, small_side, stage
 from quantgrid.functions.scalar import code_suffix, null_if_not_finite
 from quantgrid.sources.axis import tick_axis
 
@@ -40,9 +44,33 @@ def write_panel(panel: DataFrame, path: str, date: str = "date", mode: str = "ov
     panel.withColumn("year", F.year(date)).write.mode(mode).partitionBy("year").parquet(path)
 
 
-def scan_panel(spark: SparkSession, path: str, fields: Sequence[str], start=None, end=None) -> DataFrame:
-    """Chosen fields of a stored panel; a date range prunes the year folders as well."""
-    df = spark.read.parquet(path)
+def write_panel_by_tick(panel: DataFrame, path: str, table: str, buckets: int, date: str = "date", order: str = "date_idx",
+                        mode: str = "overwrite") -> None:
+    """The panel as a bucketed table: year folders, a tick's rows of a year in one file, sorted by time.
+
+    A scan of the table reports its distribution, so windows, densifying and joins on tick need no exchange; year
+    folders are pruned as usual.  ``buckets`` bounds the tasks of such a scan: take about the panel's size over 256 MB.
+    The layout is written beside the data for :func:`open_panel`.
+    """
+    yearly = panel.withColumn("year", F.year(date))
+    (yearly.repartition(buckets, "tick").write.mode(mode).partitionBy("year").bucketBy(buckets, "tick").sortBy("tick", order)
+     .option("path", path).saveAsTable(table))
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in yearly.schema)
+    layout = yearly.sparkSession.createDataFrame([(columns, buckets, order)], "columns string, buckets int, order string")
+    layout.coalesce(1).write.mode("overwrite").json(f"{path}-layout")
+
+
+def open_panel(spark: SparkSession, path: str, table: str) -> None:
+    """Register a panel of :func:`write_panel_by_tick` in a session that did not write it."""
+    layout = spark.read.json(f"{path}-layout").first()
+    spark.sql(f"create table {table} ({layout['columns']}) using parquet partitioned by (year) "
+              f"clustered by (tick) sorted by (tick, {layout['order']}) into {layout['buckets']} buckets location '{path}'")
+    spark.sql(f"alter table {table} recover partitions")
+
+
+def scan_panel(spark: SparkSession, path: str | None, fields: Sequence[str], start=None, end=None, table: str | None = None) -> DataFrame:
+    """Chosen fields of a stored panel, by path or by table; a date range prunes the year folders as well."""
+    df = spark.read.parquet(path) if table is None else spark.table(table)
     if start is not None:
         df = df.where((F.col("year") >= F.year(F.lit(start).cast("date"))) & (F.col("date") >= F.lit(start).cast("date")))
     if end is not None:
@@ -50,16 +78,50 @@ def scan_panel(spark: SparkSession, path: str, fields: Sequence[str], start=None
     return df.select("date_idx", "date", "tick", *fields)
 
 
+def scan_facts_by_tick(spark: SparkSession, table: str, fields: Sequence[str]) -> DataFrame:
+    """(tick, date, fields) of a bucketed table, for :func:`quantgrid.sources.axis.densify` without an exchange."""
+    return spark.table(table).select("tick", "date", *fields)
+
+
 def write_daily_files(df: DataFrame, path: str, date: str = "date") -> None:
     """A folder per date; adaptive rebalancing gives a small date one file and splits a large one over tasks."""
     df.hint("rebalance", F.col(date)).write.mode("overwrite").partitionBy(date).parquet(path)
 
 
+def footer_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(file, rows) of every parquet file under a path, from its footer; a file without a readable footer has none."""
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for name, content in zip(pdf["file"], pdf["content"]):
+                try:
+                    rows.append((name, pq.ParquetFile(io.BytesIO(content)).metadata.num_rows))
+                except (pa.ArrowException, OSError):
+                    continue
+            yield pd.DataFrame(rows, columns=["file", "rows"])
+
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+             .option("ignoreMissingFiles", "true").load(path))
+    return files.select(F.col("_metadata.file_path").alias("file"), "content").mapInPandas(run, "file string, rows long")
+
+
 def scan_daily_files(spark: SparkSession, path: str, axis: DataFrame, schema: str, date: str = "date") -> DataFrame:
-    """Rows of the per-date files for every axis date; a missing or corrupt file is a day of NULLs."""
+    """Rows of the per-date files for every axis date; a day with a missing or corrupt file is a day of NULLs.
+
+    Of a file that is damaged behind its first rows the reader returns what came before, so the rows that were read are
+    written and counted, and a day counts only if each of its files gave as many rows as its footer names.
+    """
     files = (spark.read.schema(f"{schema}, {date} date").option("ignoreCorruptFiles", "true")
              .option("ignoreMissingFiles", "true").parquet(path))
-    return axis.select("date_idx", date).join(files, date, "left")
+    read = stage(files.withColumn("_file", F.col("_metadata.file_path")))
+    got = read.groupBy("_file", date).agg(F.count(F.lit(1)).alias("_read"))
+    whole = footer_rows(spark, path).withColumnRenamed("file", "_file")
+    # the folder names the day, also of files that gave no row
+    day = F.regexp_extract("_file", f"{date}=([^/]+)/", 1).cast("date")
+    short = (whole.join(got.drop(date), "_file", "left").where(F.coalesce("_read", F.lit(0)) < F.col("rows"))
+             .select(day.alias(date)).distinct())
+    kept = read.drop("_file").join(small_side(short), date, "left_anti")
+    return axis.select("date_idx", date).join(kept, date, "left")
 
 
 def _wide_line(chunks: Column, count: int) -> Column:
