@@ -56,6 +56,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf = sc._jsc.hadoopConfiguration()
         path = sc._jvm.org.apache.hadoop.fs.Path(conf.get("hadoop.tmp.dir"), f"quantgrid-{sc.applicationId}")
         files = path.getFileSystem(conf)
+        if files.getScheme() == "file" and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         files.mkdirs(path)
         files.deleteOnExit(path)
         current = files.makeQualified(path).toString()

@@ -119,10 +119,10 @@ query("pairwise_rank_loss", f"""{PAIRS} select a.date_idx, {sql_cols(
     rank_loss="coalesce(avg(case when a.y <> b.y then greatest(-sign(a.y - b.y) * (a.p - b.p), 0) "
               "+ ln(1 + exp(-abs(a.p - b.p))) end), 0)")}
 from g a join g b using (date_idx) group by 1""")(
-    lambda s, d: show(PR.pairwise_rank_loss(_scaled(s, d), block_rows=32), ["date_idx"], rank_loss="rank_loss"))
+    lambda s, d: show(PR.pairwise_rank_loss(_scaled(s, d)), ["date_idx"], rank_loss="rank_loss"))
 query("monotonic_logistic_loss", f"""{PAIRS} select a.date_idx, {sql_cols(
     logistic_loss="avg(ln(1 + exp(-tanh(a.p - b.p) * tanh(a.y - b.y))))")} from g a join g b using (date_idx) group by 1""")(
-    lambda s, d: show(PR.monotonic_logistic_loss(_scaled(s, d), block_rows=32), ["date_idx"], logistic_loss="logistic_loss"))
+    lambda s, d: show(PR.monotonic_logistic_loss(_scaled(s, d)), ["date_idx"], logistic_loss="logistic_loss"))
 
 # --- peers ------------------------------------------------------------------------------------
 
@@ -147,7 +147,7 @@ def _peer_panel(s, d):
 
 
 query("peer_topk_corr", f"{PEERS} select date_idx, tick, peer_tick, {sql_cols(corr='corr')} from peers")(
-    lambda s, d: show(PR.peer_topk_corr(_peer_panel(s, d), "x", 6, 5, block_rows=32), ["date_idx", "tick", "peer_tick"],
+    lambda s, d: show(PR.peer_topk_corr(_peer_panel(s, d), "x", 6, 5), ["date_idx", "tick", "peer_tick"],
                       corr="corr"))
 
 @query("peer_zscore", f"""{PEERS}, l as (select v0.date_idx, v0.tick, v0.y, avg(q.y) as m, stddev_pop(q.y) as s
@@ -156,7 +156,7 @@ query("peer_topk_corr", f"{PEERS} select date_idx, tick, peer_tick, {sql_cols(co
 select date_idx, tick, {sql_cols(peer_zscore="case when s > 1e-12 then (y - m) / s end", peer_excess="y - m")} from l""")
 def peer_zscore(s, d):
     panel = stage(_peer_panel(s, d))
-    edges = PR.peer_topk_corr(panel, "x", 6, 5, block_rows=32)
+    edges = PR.peer_topk_corr(panel, "x", 6, 5)
     return show(X.peer_stats(edges, panel, "y"), KEYS, peer_zscore="peer_zscore", peer_excess="peer_excess")
 
 
@@ -181,7 +181,7 @@ edges as (select date_idx, src, dst, w from e where w > 0.6 union all select dat
 
 def _edges(s, d, panel=None):
     panel = p2(s, d) if panel is None else panel
-    return PR.corr_graph_edges(panel.withColumn("m", F.col("amount") / 1000), ["volume", "m"], 8, 0.6, block_rows=32)
+    return PR.corr_graph_edges(panel.withColumn("m", F.col("amount") / 1000), ["volume", "m"], 8, 0.6)
 
 
 query("corr_graph_edges", f"{EDGES} select date_idx, src, dst, {sql_cols(w='w')} from edges")(
@@ -192,7 +192,7 @@ query("corr_graph_edges", f"{EDGES} select date_idx, src, dst, {sql_cols(w='w')}
 from edges e join p2 on p2.date_idx = e.date_idx and p2.tick = e.dst group by 1, 2""")
 def neighbor_aggregate(s, d):
     panel = stage(p2(s, d)).withColumn("m", F.col("amount") / 1000)
-    return show(PR.graph_aggregate(panel, ["volume", "m"], ["close"], 8, 0.6, block_rows=32), KEYS, 4, close_nb="close_nb")
+    return show(PR.graph_aggregate(panel, ["volume", "m"], ["close"], 8, 0.6), KEYS, 4, close_nb="close_nb")
 
 
 # --- the minimum end-to-end slice ---------------------------------------------------------------

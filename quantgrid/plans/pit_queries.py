@@ -9,6 +9,7 @@ from quantgrid.core import stage
 from quantgrid.factors import events as EV
 from quantgrid.functions.scalar import event_age_bucket, event_age_decay_inputs
 from quantgrid.operators import filters as FL
+from quantgrid.operators import intervals as I
 from quantgrid.operators import pit as P
 from quantgrid.operators import xsection as X
 from quantgrid.plans.fixtures import E1, P1, P2, e1, e1_days, orders_raw, p1, p2_days, table
@@ -331,6 +332,18 @@ def event_panel_query(s, d):
 
 query("event_panel", f"{EPANEL} select date_idx, tick, x, last_value(m ignore nulls) {W} as filled from o1")(event_panel_query)
 
+@query("event_panel_intervals", f"""{EPANEL}, o2 as (select date_idx, tick, last_value(m ignore nulls) {W} as filled from o1)
+select date_idx, tick, filled from o2 where date_idx >= 60 and filled is not null""")
+def event_panel_intervals(s, d):
+    """The carried-forward panel from the sixtieth month on, expanded from one stored row per report."""
+    dates = month_days(s, d).select(F.posexplode("days").alias("date_idx", "date"))
+    traded = e1(s, d).select("tick", F.trunc("date", "month").alias("date")).distinct().join(F.broadcast(dates), "date").select("tick", "date_idx")
+    ev = month_events(s, d).groupBy("tick", F.col("effective_idx").alias("date_idx")).agg(F.max_by("value", "event_id").alias("filled"))
+    spans = stage(I.traded_intervals(ev, traded, ["filled"]))
+    last = dates.agg(F.max("date_idx")).first()[0]
+    return I.expand(spans, ["filled"], 60, last).select(F.col("date_idx").cast("bigint").alias("date_idx"), "tick", "filled")
+
+
 AGES = f"""{MONTHS}, ag as (select g.date_idx, g.tick, coalesce(g.date_idx - max(m.date_idx), -1) as age from grid g
   left join (e1 join m_days m on m.date = cast(date_trunc('month', e1.date) + interval 1 month as date))
   on e1.tick = g.tick and m.date_idx <= g.date_idx group by 1, 2)"""

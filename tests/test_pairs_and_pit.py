@@ -41,6 +41,30 @@ def test_top_k_is_exact_for_any_block_size(vectors, block):
         assert sorted(r.peer_tick for r in got if r.tick == i) == sorted(want)
 
 
+@pytest.mark.parametrize("block", [40, 120])
+@pytest.mark.parametrize("text", [False, True])
+def test_top_k_skips_blocks_that_cannot_gain(spark, monkeypatch, block, text):
+    """Sectors of similar vectors: the result is exact, and most pairs of blocks are never compared."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(8, 20))
+    v = centre[np.arange(640) % 8] + 0.05 * rng.normal(size=(640, 20))
+    v -= v.mean(axis=1, keepdims=True)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    names = [f"t{i:03d}" for i in range(640)] if text else list(range(640))
+    df = spark.createDataFrame([(0, names[i], v[i].tolist()) for i in range(640)], f"date_idx int, tick {'string' if text else 'long'}, vec array<double>")
+    seen, plain = [], PR.candidate_blocks
+    monkeypatch.setattr(PR, "candidate_blocks", lambda stats, by: seen.append(plain(stats, by)) or seen[-1])
+    got = {}
+    for r in PR.similar_top_k(df, 6, block_rows=block).collect():
+        got.setdefault(r.tick, []).append(r.peer_tick)
+    sim = np.round(v @ v.T, 10)
+    np.fill_diagonal(sim, -np.inf)
+    for i in range(640):
+        assert sorted(got[names[i]]) == sorted(names[j] for j in sorted(range(640), key=lambda j: (-sim[i, j], j))[:6])
+    kept = [r.kept for r in seen[0].collect()]
+    assert len(kept) >= 10 and sum(kept) <= 0.5 * len(kept)
+
+
 @pytest.mark.parametrize("block", [5, 64])
 def test_pair_losses(spark, block):
     rng = np.random.default_rng(6)
