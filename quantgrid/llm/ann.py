@@ -3,8 +3,8 @@
 A bounded hash sample is joined into an exact neighbour graph; the graph is cut into balanced parts by recursive
 bisection; a small network learns each sampled vector's distribution over parts (of itself and its neighbours).  Every
 row is indexed under its most probable part.  A query goes to its most probable parts until their probability passes
-``reach``; the least reach is chosen whose measured recall on the sample is ``TARGET_RECALL``.  Candidates of the
-visited parts are ranked by the exact inner product in double precision.  The rows of every part are counted before
+``reach``: the least that finds ``TARGET_RECALL`` of the exact neighbours, in the whole table, of up to ``ASKED_ROWS`` rows
+that were kept out of the sample (one linear pass).  Candidates of the visited parts are ranked by the exact inner product in double precision.  The rows of every part are counted before
 queries are routed: a query goes on to its next parts until those it visits hold k rows besides itself, or to all parts.
 
 Parts are cut into blocks of bounded size by a hash of the id, queries too, so a part or a vector that holds a third
@@ -32,7 +32,8 @@ SAMPLE_ROWS = 8_192
 ROWS_PER_PART, MAX_PARTS = 512, 128
 GRAPH_NEIGHBOURS = 10
 HIDDEN, EPOCHS, BATCH, RATE = 128, 40, 256, 3e-3
-TARGET_RECALL = 0.97
+TARGET_RECALL = 0.95
+ASKED_ROWS = 256
 REACHES = (0.3, 0.5, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995, 0.999, 0.9999, 1.0)
 BLOCK_ROWS, QUERY_ROWS = 8_192, 1_024
 
@@ -152,21 +153,48 @@ def train_router(x: np.ndarray, target: np.ndarray, seed: int = 12) -> Router:
     return Router(scale, *w, reach=1.0)
 
 
-def learn(x: np.ndarray, parts: int, k: int) -> Router:
-    """Router of a sample: graph, balanced cut, classifier, and the reach that recalls its neighbours."""
+def learn(x: np.ndarray, parts: int) -> Router:
+    """Router of a sample: graph, balanced cut, classifier; every part is in reach until :func:`calibrated`."""
     near = exact_neighbours(x, min(GRAPH_NEIGHBOURS, len(x) - 1))
     part = balanced_parts(near, parts)
     target = np.zeros((len(x), parts))
     for column in (np.arange(len(x)), *near.T):
         target[np.arange(len(x)), part[column]] += 1
-    router = train_router(x, target / target.sum(1, keepdims=True))
+    return train_router(x, target / target.sum(1, keepdims=True))
+
+
+def parts_of_nearest(indexed: DataFrame, ids: np.ndarray, x: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each asked row the parts of its k nearest among all rows; a task keeps k of its rows for each."""
+    shared = indexed.sparkSession.sparkContext.broadcast((ids, x))  # ASKED_ROWS vectors
+
+    def run(frames):
+        ids, x = shared.value
+        score, part = np.full((len(x), k), -np.inf), np.zeros((len(x), k), np.int64)
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            s = x @ np.stack(pdf["embedding"]).astype(np.float64).T
+            s[ids[:, None] == pdf["vec_id"].to_numpy()[None, :]] = -np.inf
+            s, p = np.concatenate([score, s], 1), np.concatenate([part, np.tile(pdf["part"].to_numpy(), (len(x), 1))], 1)
+            top = np.argpartition(-s, k - 1, 1)[:, :k]
+            score, part = np.take_along_axis(s, top, 1), np.take_along_axis(p, top, 1)
+        asked, at = np.nonzero(np.isfinite(score))
+        yield pd.DataFrame({"asked": asked, "part": part[asked, at], "score": score[asked, at]})
+
+    found = indexed.select("vec_id", "embedding", "part").mapInPandas(run, "asked long, part int, score double")
+    best = Window.partitionBy("asked").orderBy(F.desc("score"))
+    got = found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).select("asked", "part").toPandas()
+    return [got["part"][got["asked"] == i].to_numpy() for i in range(len(x))]
+
+
+def calibrated(router: Router, x: np.ndarray, wanted: list[np.ndarray], held: np.ndarray, k: int) -> Router:
+    """The router with the least reach that finds TARGET_RECALL of the wanted neighbours."""
     p = router.probabilities(x)
-    home = p.argmax(1)
-    some = np.random.default_rng(13).permutation(len(x))[:1024]
-    wanted = home[exact_neighbours(x, min(k, len(x) - 1))[some]]
     for reach in REACHES:
         router.reach = reach
-        if np.take_along_axis(router.visits(p[some]), wanted, 1).mean() >= TARGET_RECALL:
+        seen = router.visits(p, held, k + 1)
+        hits = [seen[i][w].mean() for i, w in enumerate(wanted) if len(w)]
+        if not hits or np.mean(hits) >= TARGET_RECALL:
             break
     return router
 
@@ -294,14 +322,19 @@ def nearest(table: DataFrame, queries, k: int = 20, sample_rows: int = SAMPLE_RO
     """query_id, rank, vec_id, score for the rows of ``table`` that ``queries`` (a condition on vec_id) picks."""
     vectors = store(usable_vectors(table))
     n = vectors.count()
-    parts = 1 << int(np.log2(min(MAX_PARTS, max(1, n // ROWS_PER_PART)))) if n >= 8 * ROWS_PER_PART else (4 if n >= 256 else 1)
-    router = None
-    if parts > 1:
+    parts, router = max(4, 1 << int(np.log2(max(1, min(MAX_PARTS, n // ROWS_PER_PART))))), None
+    if n > parts:
+        few = vectors.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(min(ASKED_ROWS, max(1, n // 8))).toPandas()
         share = min(1.0, sample_rows / n)
-        drawn = vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)))
+        drawn = vectors.where((F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)))
+                              & ~F.col("vec_id").isin(few["vec_id"].tolist()))
         sample = drawn.toPandas().sort_values("vec_id")
-        router = learn(np.stack(sample["embedding"]).astype(np.float64), parts, k)
+        router = learn(np.stack(sample["embedding"]).astype(np.float64), parts)
     indexed = store(index(vectors, router))
     rows = part_rows(indexed)
+    if router is not None:
+        x = np.stack(few["embedding"]).astype(np.float64)
+        held = np.array([rows.get(p, 0) for p in range(parts)])
+        router = calibrated(router, x, parts_of_nearest(indexed, few["vec_id"].to_numpy(), x, k), held, k)
     routed = store(route(vectors.where(queries), router, rows, k))
     return search(indexed, routed, rows, k)

@@ -85,3 +85,26 @@ def test_full_lists_with_a_hot_third_and_small_parts(spark, monkeypatch):
     got = listed(ann.nearest(df, "vec_id >= 0", 20))
     assert len(got) == 900 and {len(v) for v in got.values()} == {20}
     assert all(q not in [i for i, _ in v] and len({i for i, _ in v}) == 20 for q, v in got.items())
+
+
+def test_recall_and_visited_share_beyond_the_sample(spark, monkeypatch):
+    """24,000 vectors around 300 centres, three times the sample: unseen queries, few rows visited."""
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=(300, 24))
+    x = centre[rng.integers(0, 300, 24_000)] + 0.35 * rng.normal(size=(24_000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(24_000)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    seen, plain = [], ann.search
+    monkeypatch.setattr(ann, "search", lambda indexed, routed, rows, k: seen.append((routed, rows)) or plain(indexed, routed, rows, k))
+    got = listed(ann.nearest(df, "vec_id % 100 = 0", 20))
+    want = {}
+    for i in range(0, 24_000, 100):
+        s = x @ x[i]
+        s[i] = -np.inf
+        want[i] = set(np.argsort(-s, kind="stable")[:20].tolist())
+    recall = np.mean([len({a for a, _ in got[q]} & want[q]) / 20 for q in want])
+    routed, rows = seen[0]
+    visited = np.mean([sum(rows.get(p, 0) for p in r.visit) for r in routed.collect()]) / 24_000
+    print(f"recall {recall:.3f}, visited {visited:.3f}")
+    assert len(got) == 240 and recall >= 0.9 and visited < 0.4
