@@ -2,10 +2,11 @@
 
 Writing is a text sink whose line separator is the record terminator, so the files are WARC/1.1 (gzip).  Reading
 takes whole files (kept short by ``records_per_file``) and slices records by Content-Length.  Assembly follows the
-concurrent-to identifiers in either direction and over any number of hops.
+concurrent-to identifiers over any number of hops: a record belongs to every response that it names, that names it, or that
+a record it names belongs to; one that comes to none so belongs where the records that name it belong.
 
-Defined cases: a null payload is empty; a null page id is written empty and sorts last; rows with equal page id and
-payload are one capture; line breaks in a URL are percent-encoded; records that lead to no response form a capture
+Defined cases: a null payload is empty; a null page id is written empty and sorts last; repeated rows are captures of
+their own, and those with equal page id and payload all are responses or all revisit the same; line breaks in a URL are percent-encoded; records that lead to no response form a capture
 with a null record_type under the identifier they name; a capture with more than ``MEMBERS_PER_ROW`` members of one
 kind continues in further rows (``part`` 1, 2, ...), so no row holds an unbounded group.
 """
@@ -42,26 +43,33 @@ def record_uuid(*parts: Column) -> Column:
 
 
 def plan_transactions(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, digest, first_id: first_id is the smallest page id with the same payload.
+    """page_id, url, payload, digest, first_id, nth: first_id is the smallest page id with the same payload.
 
     Payloads below ``min_bytes`` are never shared.  Only digests are grouped; the payload itself crosses one shuffle.
+    ``nth`` tells rows of one page id and payload apart: 0 for one of them, and for all others.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select("page_id", "url", payload.alias("payload"), base32_sha1(payload).alias("digest"))
+    rows = pages.select("page_id", "url", payload.alias("payload"), base32_sha1(payload).alias("digest"),
+                        (F.monotonically_increasing_id() + 1).alias("_row"))
+    repeats = (rows.groupBy("page_id", "digest").agg(F.min("_row").alias("_main"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+               .select(F.col("page_id").alias("_q"), F.col("digest").alias("_e"), "_main"))
+    rows = (rows.join(repeats, F.expr("page_id <=> _q and digest = _e"), "left")
+            .withColumn("nth", F.when(F.col("_main").isNull() | (F.col("_main") == F.col("_row")), 0).otherwise(F.col("_row"))))
     light = rows.where(F.length("payload") >= min_bytes).select("page_id", "digest")
     first = light.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
     revisits = (light.join(first, "digest").where("page_id is null or page_id > first_id")
                 .groupBy("page_id", "digest").agg(F.min("first_id").alias("first_id")))
     again = revisits.select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "first_id")
     return (rows.join(again, F.expr("page_id <=> _p and digest = _d"), "left")
-            .select("page_id", "url", "payload", "digest", "first_id"))
+            .select("page_id", "url", "payload", "digest", "first_id", "nth"))
 
 
 def write_warc(transactions: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
     """A request, a response or revisit, and a metadata record per row of :func:`plan_transactions`."""
     t = transactions
-    own = record_uuid(F.lit("response"), F.col("page_id"), F.col("digest"))
-    origin = record_uuid(F.lit("response"), F.col("first_id"), F.col("digest"))
+    row = [F.col("page_id"), F.col("digest"), F.nullif(F.col("nth"), F.lit(0))]
+    own = record_uuid(F.lit("response"), *row)
+    origin = record_uuid(F.lit("response"), F.col("first_id"), F.col("digest"), F.lit(None))
     revisit = F.col("first_id").isNotNull()
     uri = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     text = F.col("payload").cast("string")
@@ -81,9 +89,9 @@ def write_warc(transactions: DataFrame, path: str, records_per_file: int = RECOR
                                         f"{CRLF}WARC-Refers-To: "), origin))],
         F.concat(http, F.when(revisit, F.lit("")).otherwise(text)))
     linked = [F.concat(F.lit("WARC-Concurrent-To: "), own)]
-    request = record(F.lit("request"), record_uuid(F.lit("request"), F.col("page_id"), F.col("digest")),
+    request = record(F.lit("request"), record_uuid(F.lit("request"), *row),
                      "application/http; msgtype=request", linked, F.lit(f"GET / HTTP/1.1{CRLF}{CRLF}"))
-    metadata = record(F.lit("metadata"), record_uuid(F.lit("metadata"), F.col("page_id"), F.col("digest")),
+    metadata = record(F.lit("metadata"), record_uuid(F.lit("metadata"), *row),
                       "application/warc-fields", linked,
                       F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF)))
     (t.select(F.explode(F.array(request, answer, metadata)).alias("value"))
@@ -170,17 +178,22 @@ def resolve_captures(records: DataFrame) -> DataFrame | None:
 
     ids = store(ids.distinct())
     anchors = ids.where(anchor)
-    links = ids.where(~anchor).select("record_id", F.explode("concurrent_to").alias("target")).distinct()
+    others = ids.where(~anchor).select("record_id")
+    links = store(ids.where(~anchor).select("record_id", F.explode("concurrent_to").alias("target")).distinct())
     reverse = anchors.select(F.explode("concurrent_to").alias("record_id"), F.col("record_id").alias("capture_id"))
     direct = links.join(anchors.select(F.col("record_id").alias("target")), "target").select("record_id", F.col("target").alias("capture_id"))
-    found = direct.unionByName(reverse.join(ids.where(~anchor).select("record_id"), "record_id").select("record_id", "capture_id")).distinct()
-    open_links = store(links.join(found.select("record_id").distinct(), "record_id", "left_anti"))
-    while not open_links.isEmpty():
-        more = store(open_links.join(found.withColumnRenamed("record_id", "target"), "target").select("record_id", "capture_id").distinct())
-        if more.isEmpty():
-            break
-        found = found.unionByName(more)
-        open_links = store(open_links.join(more.select("record_id").distinct(), "record_id", "left_anti"))
+    found = store(direct.unionByName(reverse.join(others, "record_id").select("record_id", "capture_id")).distinct())
+    latest = found
+    while not latest.isEmpty():
+        # each round adds the pairs that one more named record gives
+        latest = store(links.join(latest.withColumnRenamed("record_id", "target"), "target").select("record_id", "capture_id")
+                       .distinct().join(found, ["record_id", "capture_id"], "left_anti"))
+        found = found.unionByName(latest)
+        if latest.isEmpty():
+            loose = others.join(found.select("record_id").distinct(), "record_id", "left_anti")
+            latest = store(links.join(found, "record_id").select(F.col("target").alias("record_id"), "capture_id")
+                           .join(loose, "record_id").select("record_id", "capture_id").distinct())
+            found = found.unionByName(latest)
     orphans = (ids.where(~anchor).join(found.select("record_id").distinct(), "record_id", "left_anti")
                .select("record_id", F.coalesce(F.try_element_at("concurrent_to", F.lit(1)), "record_id").alias("capture_id")))
     return found.unionByName(orphans)

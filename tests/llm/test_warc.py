@@ -5,11 +5,11 @@ import gzip
 import hashlib
 
 from quantgrid.core import scratch
-from quantgrid.llm import warc
+from quantgrid.llm import queries, warc
 
 
 def plain(rows, least=0):
-    rows = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     out, first = [], {}
     for page, html in rows:
         data = html.encode()
@@ -35,6 +35,20 @@ def test_hot_payload(spark):
     assert got == plain([(i, "same" if i % 3 == 0 else f"own{i}") for i in range(3000)])
 
 
+def test_repeated_rows_equal_the_sql(spark):
+    """Unequal numbers of repeats, of first pages and of revisits, with one and with several urls."""
+    import duckdb
+    rows = [(1, "u", "a")] * 3 + [(2, "u", "a")] * 2 + [(2, "v", "a"), (3, "u", "b"), (4, "u", ""), (5, "u", None), (5, "u", None)] + [(6, "u", "c")] * 40
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", rows)
+    cur = con.execute(queries.WARC_SQL)
+    names = [d[0] for d in cur.description]
+    got = warc.archive_round_trip(df).select(*names).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, cur.fetchall()))
+
+
 def test_small_payloads_may_stay_responses(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     firsts = {r.page_id: r.first_id for r in warc.plan_transactions(df, min_bytes=5).collect()}
@@ -74,6 +88,23 @@ def test_links_in_either_direction_and_over_hops(spark, monkeypatch):
     assert got["<nowhere>"][0].record_type is None and got["<lost>"][0].requests[0].record_id == "<lost>"
 
 
+def test_links_over_requests_and_several_captures(spark):
+    """(record, type, names): what each record belongs to."""
+    rows = [("a", "response", []), ("b", "response", []), ("c", "revisit", ["rc"]),
+            ("ra", "request", ["a", "ma"]), ("ma", "metadata", []),            # named by the request only
+            ("rb", "request", ["b"]), ("mb", "metadata", ["rb", "a"]),         # one link direct, one over a record
+            ("rc", "request", []), ("mc", "metadata", ["rc"]), ("nc", "metadata", ["mc", "rb"]),
+            ("x", "metadata", ["y"]), ("y", "metadata", ["x"]), ("z", "metadata", ["nowhere"]),  # a ring without response
+            ("d1", "metadata", ["d2"]), ("d2", "metadata", ["d3"]), ("d3", "metadata", ["ra"]), ("e", "metadata", [])]
+    rows += [("d2", "metadata", ["d3"]), ("f", "request", ["b", "e"])]
+    df = spark.createDataFrame(rows, "record_id string, record_type string, concurrent_to array<string>")
+    got = {}
+    for r in warc.resolve_captures(df).collect():
+        got.setdefault(r.record_id, set()).add(r.capture_id)
+    assert got == {"ra": {"a"}, "ma": {"a"}, "rb": {"b"}, "mb": {"a", "b"}, "rc": {"c"}, "mc": {"c"}, "nc": {"b", "c"}, "d1": {"a"}, "d2": {"a"},
+                   "d3": {"a"}, "e": {"b"}, "f": {"b"}, "x": {"y"}, "y": {"x"}, "z": {"nowhere"}}
+
+
 def test_base32(spark):
     data = [b"", b"abc", bytes(range(256))]
     df = spark.createDataFrame([(d,) for d in data], "d binary")
