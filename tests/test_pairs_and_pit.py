@@ -10,6 +10,7 @@ from quantgrid.operators import evaluate as E
 from quantgrid.operators import filters as FL
 from quantgrid.operators import pairs as PR
 from quantgrid.operators import pit as P
+from quantgrid.operators import ranksum as RS
 from quantgrid.operators import samples as S
 from quantgrid.operators import walkforward as W
 from quantgrid.sources import axis as A
@@ -80,6 +81,40 @@ def test_pair_losses(spark, block):
     assert got[0] == pytest.approx(logistic) and got[1] == pytest.approx(np.log(2))
 
 
+def rank_sum(p, y):
+    higher = y[:, None] > y[None, :]
+    return np.logaddexp(0.0, p[None, :] - p[:, None])[higher].sum(), int(higher.sum())
+
+
+@pytest.mark.parametrize("spread", [0.3, 5.0, 300.0, 1e9])
+def test_ordered_sums_by_nodes(spread, monkeypatch):
+    """To 1e-9 of all pairs: near and far predictions, ties in labels and predictions, hot labels."""
+    monkeypatch.setattr(RS, "RUN", 16)
+    rng = np.random.default_rng(11)
+    for n in (1, 2, 15, 16, 17, 300, 700):
+        p = rng.normal(size=n) * spread
+        p[: n // 4] = np.round(p[: n // 4])
+        for y in (rng.normal(size=n), np.round(rng.normal(size=n)), np.zeros(n), np.where(np.arange(n) % 3 == 0, 1.0, rng.normal(size=n))):
+            total, pairs = RS.ordered_sum(p, y)
+            want, count = rank_sum(p, y)
+            assert pairs == count and total == pytest.approx(want, rel=1e-9, abs=1e-9)
+
+
+@pytest.mark.parametrize("block", [20, 100, 5000])
+def test_rank_loss_of_large_dates(spark, monkeypatch, block):
+    monkeypatch.setattr(RS, "RUN", 16)
+    rng = np.random.default_rng(12)
+    rows, want = [], {}
+    for d, n in ((0, 900), (1, 1), (2, 130)):
+        p, y = rng.normal(size=n) * 3, np.where(rng.random(n) < 0.35, 0.5, np.round(rng.normal(size=n), 2))
+        rows += [(d, i, float(a), float(b)) for i, (a, b) in enumerate(zip(p, y))]
+        total, pairs = rank_sum(p, y)
+        want[d] = total / pairs if pairs else 0.0
+    df = spark.createDataFrame(rows + [(0, 9000, None, 1.0), (0, 9001, 1.0, None)], "date_idx int, tick long, pred double, label double")
+    got = {r.date_idx: r.rank_loss for r in PR.pairwise_rank_loss(df, block_rows=block).collect()}
+    assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d], rel=1e-9) for d in want)
+
+
 @pytest.mark.parametrize("today", [True, False])
 @pytest.mark.parametrize("k", [1, 3])
 def test_last_k_against_brute_force(spark, today, k):
