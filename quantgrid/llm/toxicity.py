@@ -62,10 +62,17 @@ def _nlogn(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
+def presence(rows: list[np.ndarray], buckets: int) -> np.ndarray:
+    """Number of rows that hold each bucket; a few rows at a time, as counting widens their terms."""
+    out = np.zeros(buckets, np.int64)
+    for at in range(0, len(rows), 512):
+        out += np.bincount(np.concatenate(rows[at:at + 512]), minlength=buckets)
+    return out
+
+
 def evidence(rows: list[np.ndarray], labels: np.ndarray, buckets: int) -> np.ndarray:
     """G statistic of each bucket's presence against the label."""
-    held = [np.bincount(np.concatenate([*(r for r, y in zip(rows, labels) if y == c), np.zeros(0, np.int32)]), minlength=buckets).astype(float)
-            for c in (0, 1)]
+    held = [presence([r for r, y in zip(rows, labels) if y == c], buckets).astype(float) for c in (0, 1)]
     n = [float((labels == c).sum()) for c in (0, 1)]
     both, total = held[0] + held[1], n[0] + n[1]
     cells = sum(_nlogn(held[c]) + _nlogn(n[c] - held[c]) for c in (0, 1))
@@ -82,7 +89,7 @@ class PairBlocks:
     """
 
     def __init__(self, rows: list[np.ndarray], labels: np.ndarray, buckets: int):
-        held = np.bincount(np.concatenate([*rows, np.zeros(0, np.int32)]), minlength=buckets)
+        held = presence(rows, buckets)
         m = max(2, int((held > 0).sum()))
         self.least = 2 * np.log(max(2, m * (m - 1) / 2))
         self.terms = np.flatnonzero(held >= self.least / (2 * np.log(2)))
@@ -189,7 +196,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, buckets: int = BUCKETS, fact
     if not n0 or not n1:
         none = np.zeros(buckets)
         return FactorizationMachine(float(np.log((n1 + 0.5) / (n0 + 0.5))), none, np.zeros((buckets, factors)), none > 0)
-    held = np.flatnonzero(np.bincount(np.concatenate(rows), minlength=buckets))
+    held = np.flatnonzero(presence(rows, buckets))
     place = np.zeros(buckets, np.int32)
     place[held] = np.arange(len(held))
     rows = [place[r] for r in rows]
@@ -239,8 +246,11 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", bound: int
     fitting = order[order["bytes"].cumsum() <= 4 * SAMPLE_TERMS]
     if len(fitting) < len(order):
         terms = terms.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) <= int(fitting["h"].max()))
-    got = terms.toPandas().sort_values("doc_id", kind="stable")
-    rows, label = [np.frombuffer(b, np.int32) for b in got["terms"]], got["label"].to_numpy(np.int64)
+    got = terms.select("doc_id", "label", "terms").toArrow()  # at most 4 * SAMPLE_TERMS bytes
+    order, label = np.argsort(got["doc_id"].to_numpy(), kind="stable"), got["label"].to_numpy().astype(np.int64)
+    packed = got["terms"].to_pylist()
+    rows, label = [np.frombuffer(packed[i], np.int32) for i in order], label[order]
+    del got, packed
     if len(set(label.tolist())) < 2:
         return fit(rows, label)
     few = np.sort(np.random.default_rng(3).permutation(len(rows))[:PAIR_ROWS])
