@@ -239,8 +239,8 @@ def yeo_johnson_lambda(df: DataFrame, x: str, by: Sequence[str] = DATE, start: f
 
     A round is one aggregate: each row is transformed once, at its group's present exponent.  The sign of the slope keeps
     a bracket; a step that leaves it, or that goes uphill in curvature, becomes a bisection, or doubles the distance while
-    one side is open.  A group is done when its step is at most ``tol`` (relative above 1), so the result does not depend
-    on where the search started.  Constant groups give no row; a likelihood that rises beyond ``limit`` gives the limit.
+    one side is open.  A group is done when its error is about ``tol`` (relative above 1), so the result does not depend on
+    where the search started.  Constant groups give no row; a likelihood that rises beyond ``limit`` gives the limit.
     """
     known = df.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"))
     varied = known.groupBy(*by).agg(F.min("_x").alias("_mn"), F.max("_x").alias("_mx")).where("_mn < _mx")
@@ -257,9 +257,11 @@ def yeo_johnson_lambda(df: DataFrame, x: str, by: Sequence[str] = DATE, start: f
         safe = (F.coalesce(newton > lo, newton > F.col("lam") - reach) & F.coalesce(newton < hi, newton < F.col("lam") + reach))
         step = F.coalesce((lo + hi) / 2, F.when(rising, F.col("lam") + reach).otherwise(F.col("lam") - reach))
         after = F.when(F.col("slope") == 0, F.col("lam")).when(F.coalesce(safe, F.lit(False)), newton).otherwise(step)
-        near = F.lit(tol) * F.greatest(F.abs("lam"), F.lit(1.0))
-        moved = small_side(at.select(*by, "lam", lo.alias("_lo"), hi.alias("_hi"), after.alias("_to"), near.alias("_near")).withColumn(
-            "_done", (F.abs(F.col("_to") - F.col("lam")) <= F.col("_near")) | F.coalesce(F.col("_hi") - F.col("_lo") <= F.col("_near"), F.lit(False))
+        # a Newton step this small leaves about its square
+        size = F.greatest(F.abs("lam"), F.lit(1.0))
+        near = F.when(F.coalesce(safe, F.lit(False)), F.lit(tol ** 0.5 / 3)).otherwise(F.lit(tol)) * size
+        moved = small_side(at.select(*by, "lam", lo.alias("_lo"), hi.alias("_hi"), after.alias("_to"), near.alias("_near"), (tol * size).alias("_tol")).withColumn(
+            "_done", (F.abs(F.col("_to") - F.col("lam")) <= F.col("_near")) | F.coalesce(F.col("_hi") - F.col("_lo") <= F.col("_tol"), F.lit(False))
             | (F.abs("_to") >= limit)))
         ready = moved.where("_done").select(*by, F.least(F.greatest("_to", F.lit(-limit)), F.lit(limit)).alias("lam"))
         done = ready if done is None else done.unionByName(ready)

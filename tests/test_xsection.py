@@ -116,6 +116,24 @@ def test_yeo_johnson_beats_neighbours(data):
     assert np.isnan(z[7]).all() and np.isnan(z[9]).all()    # no value, one value
 
 
+def test_exponent_does_not_depend_on_the_start(spark):
+    """Within 1e-6 of a fine plain search from either side, also far from the usual exponents."""
+    rng = np.random.default_rng(5)
+    groups = [rng.lognormal(1, 0.8, 60), 0.02 * rng.normal(size=80), rng.normal(3, 1, 40) ** 3]
+    df = spark.createDataFrame([(g, float(v)) for g, a in enumerate(groups) for v in a], "date_idx int, x double")
+    found = [{r.date_idx: r.lam for r in X.yeo_johnson_lambda(df, "x", start=s).collect()} for s in (1.0, -7.0)]
+
+    def llf(a, q):
+        y = np.where(a >= 0, np.expm1(q * np.log1p(np.abs(a))) / q, -np.expm1((2 - q) * np.log1p(np.abs(a))) / (2 - q))
+        return -len(a) / 2 * np.log(y.var()) + (q - 1) * (np.sign(a) * np.log1p(np.abs(a))).sum()
+
+    for g, a in enumerate(groups):
+        assert abs(found[0][g] - found[1][g]) < 1e-6
+        q, h = found[0][g], 1e-3  # the vertex of the parabola through three likelihoods around it
+        low, mid, high = llf(a, q - h), llf(a, q), llf(a, q + h)
+        assert mid > low and mid > high and abs(h * (high - low) / (2 * (2 * mid - high - low))) < 1e-5
+
+
 def test_quantiles_on_extreme_values_and_hot_ties(spark):
     """One group holds a third of all rows, a third of those share one value, magnitudes span 1e-300 to 1e300."""
     rng = np.random.default_rng(3)
