@@ -66,6 +66,30 @@ def test_top_k_skips_blocks_that_cannot_gain(spark, monkeypatch, block, text):
     assert len(kept) >= 10 and sum(kept) <= 0.5 * len(kept)
 
 
+@pytest.fixture(params=[64, 10 ** 6])
+def graph(spark, monkeypatch, request):
+    """A panel, its edges and values by NumPy, how many rows were dealt over tasks, and the most there may be."""
+    monkeypatch.setattr(PR, "DATE_ROWS", request.param, raising=False)
+    monkeypatch.setattr(PR, "TILE", (16, 48), raising=False)
+    rng = np.random.default_rng(21)
+    x, value = rng.normal(size=(6, 200)), rng.normal(size=200)
+    x[:, 1] = x[:, 0]
+    rows = [(d, t, float(x[d, t]), None if t % 7 == 0 else float(value[t])) for d in range(6) for t in range(200)]
+    panel = spark.createDataFrame(rows, "date_idx int, tick long, x double, c double")
+    dealt, real = [], type(panel).repartition
+    monkeypatch.setattr(type(panel), "repartition", lambda self, *a: (dealt.append(self.count()), real(self, *a))[1])
+    u = (x - x.mean(0)) / np.linalg.norm(x - x.mean(0), axis=0)
+    w = np.round(u.T @ u, 10)
+    np.fill_diagonal(w, 1.0)
+    return panel, {(i, j): w[i, j] for i, j in zip(*np.nonzero(w > 0.6))}, value, dealt, 200 * (2 if request.param > 200 else 8)
+
+
+def test_edges_without_a_copy_for_each_block(graph):
+    panel, want, _, dealt, most = graph
+    got = {(r.src, r.dst): r.w for r in PR.corr_graph_edges(panel, ["x"], 6, 0.6, block_rows=10).collect()}
+    assert got == pytest.approx(want) and len(want) > 1000 and 200 <= max(dealt) <= most
+
+
 @pytest.mark.parametrize("block", [5, 64])
 def test_pair_losses(spark, block):
     rng = np.random.default_rng(6)
