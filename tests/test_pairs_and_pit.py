@@ -90,6 +90,14 @@ def test_edges_without_a_copy_for_each_block(graph):
     assert got == pytest.approx(want) and len(want) > 1000 and 200 <= max(dealt) <= most
 
 
+def test_neighbour_sums_without_a_copy_for_each_block(graph):
+    panel, want, value, dealt, most = graph
+    sums = {r.tick: r.c_nb for r in PR.graph_aggregate(panel, ["x"], ["c"], 6, 0.6, block_rows=10).collect()}
+    for t in range(200):
+        assert sums[t] == pytest.approx(sum(w * value[j] for (i, j), w in want.items() if i == t and j % 7))
+    assert 200 <= max(dealt) <= most
+
+
 @pytest.mark.parametrize("block", [5, 64])
 def test_pair_losses(spark, block):
     rng = np.random.default_rng(6)
