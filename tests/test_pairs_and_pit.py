@@ -3,11 +3,13 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quantgrid.operators import evaluate as E
 from quantgrid.operators import filters as FL
+from quantgrid.operators import logisticsum as LS
 from quantgrid.operators import pairs as PR
 from quantgrid.operators import pit as P
 from quantgrid.operators import ranksum as RS
@@ -113,6 +115,39 @@ def test_pair_losses(spark, block):
     assert got[0] == pytest.approx(logistic) and got[1] == pytest.approx(np.log(2))
 
 
+@pytest.mark.parametrize("spread", [20.0, 1e18])
+def test_logistic_sums_by_tiles(spark, monkeypatch, spread):
+    """All pairs' mean: near and far values in either direction, equal and infinite ones, NaN, tiles as points and as grids."""
+    rng = np.random.default_rng(31)
+    want, rows = {}, []
+    for d, n in ((0, 900), (1, 1), (2, 60)):
+        p, y = rng.normal(size=n) * 3, rng.normal(size=n) * spread
+        p[: n // 3] *= spread
+        y[n // 2:] = np.round(y[n // 2:])
+        if d == 2:
+            p[:9], y[5:12] = [np.inf] * 4 + [-np.inf] * 3 + [np.nan] * 2, [np.inf] * 4 + [-np.inf] * 3
+        rows += [(d, i, float(a), float(b)) for i, (a, b) in enumerate(zip(p, y))]
+        with np.errstate(invalid="ignore"):
+            want[d] = np.nanmean(np.logaddexp(0, -np.tanh(p[:, None] - p) * np.tanh(y[:, None] - y)))
+    df = spark.createDataFrame([*rows, (3, 0, float("nan"), 1.0), (4, 0, None, 1.0)], "date_idx int, tick long, pred double, label double")
+    for direct in (10, 1024):
+        monkeypatch.setattr(LS, "DIRECT", direct)
+        got = {r.date_idx: r.logistic_loss for r in PR.monotonic_logistic_loss(df, block_rows=100).collect()}
+        assert got.pop(3) is None and got == pytest.approx(want, abs=1e-11)
+
+
+def test_logistic_loss_takes_linear_time(spark):
+    """40,000 ticks of one date, 1.6 billion pairs: no matrix of pairs is made."""
+    rng = np.random.default_rng(32)
+    p, y = rng.normal(size=40_000), rng.normal(size=40_000)
+    df = spark.createDataFrame(pd.DataFrame({"date_idx": 0, "tick": range(40_000), "pred": p, "label": y}))
+    tiles = LS.Tile(np.zeros(0), np.zeros(0), LS.grid_weights(p, y), 40_000)
+    some = rng.integers(0, 40_000, (2, 4_000_000))
+    guess = np.logaddexp(0, -np.tanh(p[some[0]] - p[some[1]]) * np.tanh(y[some[0]] - y[some[1]])).mean()
+    got = PR.monotonic_logistic_loss(df).first().logistic_loss
+    assert got == pytest.approx(tiles.near(tiles, 0, 0) / 1.6e9, abs=1e-11) and got == pytest.approx(guess, abs=1e-3)
+
+
 def rank_sum(p, y):
     higher = y[:, None] > y[None, :]
     return np.logaddexp(0.0, p[None, :] - p[:, None])[higher].sum(), int(higher.sum())
