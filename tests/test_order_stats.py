@@ -53,3 +53,14 @@ def test_no_large_reducer(spark, tight):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sum(sizes) == 4000 and max(sizes) < 1200
+
+
+def test_quantile_histogram_combines(spark, monkeypatch):
+    """20,000 different values of one group fall into few buckets, and the quantiles are still exact."""
+    x = np.random.default_rng(8).lognormal(size=20_000)
+    df = spark.createDataFrame([(0, float(v)) for v in x], "d int, x double")
+    seen, real = [], order_stats.order_bucket
+    monkeypatch.setattr(order_stats, "order_bucket", lambda c, *a: (seen.append(real(c, *a)), seen[-1])[1])
+    got = order_stats.group_quantiles(df, ["d"], ["x"], [0.25, 0.5]).first()
+    np.testing.assert_allclose([got["x_q0"], got["x_q1"]], np.quantile(x, [0.25, 0.5]), rtol=1e-13)
+    assert df.select(df.x.alias("_x")).select(seen[0]).distinct().count() < 300
