@@ -68,6 +68,32 @@ def test_top_k_skips_blocks_that_cannot_gain(spark, monkeypatch, block, text):
     assert len(kept) >= 10 and sum(kept) <= 0.5 * len(kept)
 
 
+@pytest.mark.parametrize("date_rows, found_rows, most", [(10 ** 6, 10 ** 6, 2), (10 ** 6, 300, 5), (64, 10 ** 6, 9)])
+def test_top_k_without_a_copy_for_each_block(spark, monkeypatch, date_rows, found_rows, most):
+    """Dates of 15 blocks: no row is copied for each block, whole dates and cut ones give the same, and ties go to the lower tick."""
+    monkeypatch.setattr(PR, "DATE_ROWS", date_rows)
+    monkeypatch.setattr(PR, "FOUND_ROWS", found_rows, raising=False)
+    monkeypatch.setattr(PR, "TOP_TILE", (16, 48), raising=False)
+    monkeypatch.setattr(PR, "TOP_FIRST", 8, raising=False)
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(2, 300, 8))
+    v[1, :120] = v[1, 0]
+    v -= v.mean(axis=2, keepdims=True)
+    v /= np.linalg.norm(v, axis=2, keepdims=True)
+    df = spark.createDataFrame([(d, 1000 - t, v[d, t].tolist()) for d in range(2) for t in range(300)], "date_idx int, tick long, vec array<double>")
+    dealt, real = [], type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, *a: ("vec" in self.columns and dealt.append(self.count()), real(self, *a))[1])
+    got = {}
+    for r in PR.similar_top_k(df, 5, block_rows=20).collect():
+        got.setdefault((r.date_idx, r.tick), {})[r.peer_tick] = r.corr
+    for d in range(2):
+        sim = np.round(v[d] @ v[d].T, 10)
+        np.fill_diagonal(sim, -np.inf)
+        for t in range(300):
+            assert got[d, 1000 - t] == pytest.approx({1000 - j: sim[t, j] for j in sorted(range(300), key=lambda j: (-sim[t, j], -j))[:5]})
+    assert 600 <= max(dealt) <= 600 * most
+
+
 @pytest.fixture(params=[64, 10 ** 6])
 def graph(spark, monkeypatch, request):
     """A panel, its edges and values by NumPy, how many rows were dealt over tasks, and the most there may be."""
