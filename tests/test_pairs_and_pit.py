@@ -126,6 +126,41 @@ def test_neighbour_sums_without_a_copy_for_each_block(graph):
     assert 200 <= max(dealt) <= most
 
 
+@pytest.mark.parametrize("slices, chunks", [(1, 1), (2, 1), (3, 4)])
+def test_a_pair_of_a_date_is_multiplied_once(slices, chunks):
+    """Over the tasks of a date, tiles hold every pair of its rows once and no row with itself."""
+    rng = np.random.default_rng(4)
+    x, s, c = rng.normal(size=(50, 3)), rng.integers(0, slices, 50), rng.integers(0, chunks, 50)
+    seen = np.zeros((50, 50), int)
+    for i in range(slices):
+        for j in range(chunks):
+            for mine, theirs, sim in PR._tiles(x, np.flatnonzero(s == i), np.flatnonzero(c == j), 2.0, (4, 7)):
+                at = np.isfinite(sim)
+                np.testing.assert_allclose(sim[at], 2 * (x[mine] @ x[theirs].T)[at])
+                seen[np.ix_(mine, theirs)] += at
+    assert (seen == np.triu(np.ones((50, 50), int), 1)).all()
+
+
+@pytest.mark.parametrize("threshold", [0.3, -0.2])
+def test_neighbour_sums_of_unknown_values(spark, threshold):
+    """A tick has a sum if any of its neighbours' values is known, its own or one with weight 0 too."""
+    rng = np.random.default_rng(9)
+    x, value = rng.normal(size=(4, 40)), rng.normal(size=(2, 40))
+    value[0, 4:], value[1, ::3] = np.nan, np.nan
+    panel = spark.createDataFrame([(d, t, float(x[d, t]), *[None if np.isnan(v) else float(v) for v in value[:, t]]) for d in range(4) for t in range(40)],
+                                  "date_idx int, tick long, x double, c double, e double")
+    u = (x - x.mean(0)) / np.linalg.norm(x - x.mean(0), axis=0)
+    w = np.round(u.T @ u, 10)
+    np.fill_diagonal(w, 1.0)
+    got = {r.tick: (r.c_nb, r.e_nb) for r in PR.graph_aggregate(panel, ["x"], ["c", "e"], 4, threshold).collect()}
+    for t in range(40):
+        near = w[t] > threshold
+        for k in range(2):
+            known = near & ~np.isnan(value[k])
+            assert got[t][k] == (pytest.approx((w[t] * value[k])[known].sum()) if known.any() else None)
+    assert any(v[0] is None for v in got.values()) or threshold < 0
+
+
 @pytest.mark.parametrize("block", [5, 64])
 def test_pair_losses(spark, block):
     rng = np.random.default_rng(6)
